@@ -54,6 +54,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A table of long texts. One that would be read by fewer tasks than there are
+    cores (a few small files) is spread over all of them; a large one is read
+    as it lies, without a shuffle."""
+    df = table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    full_split = 128 << 20
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores, key) if size < cores * full_split else df
+
+
 def pick(values: list, e: Column) -> Column:
     """Element ``e mod n`` of a literal list."""
     return F.element_at(F.array(*[F.lit(v) for v in values]), (e % len(values) + 1).cast("int"))
@@ -186,7 +197,7 @@ def feed_a(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     html = F.concat(F.col("html"), F.lit("<div><p>"), say["required"], F.lit("&nbsp;</p><p>R&amp;D "),
                     say["preferred"], F.lit("</p></div>"))
-    return table(spark, sf_dir, "pages").select(
+    return text_table(spark, sf_dir, "pages", "page_id").select(
         F.concat(F.lit("board_"), k % 4).alias("board"),
         k.alias("pos"),
         k.alias("id"),
@@ -208,7 +219,7 @@ def feed_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feed B rows from the documents: the whole text between the requirement texts."""
     k = F.col("doc_id")
     say = posting_sentences(k)
-    return table(spark, sf_dir, "documents").select(
+    return text_table(spark, sf_dir, "documents", "doc_id").select(
         F.col("source").alias("board"),
         k.alias("pos"),
         k.cast("string").alias("id"),

@@ -13,6 +13,11 @@ from rolefit.functions import vocab
 UNSPECIFIED, PREFERRED, REQUIRED = 0, 1, 2
 
 
+def lowered(text: Column) -> Column:
+    """Text as all functions below take it, lower-cased once for all of them."""
+    return F.lower(F.coalesce(text, F.lit("")))
+
+
 # --- sections ------------------------------------------------------------------
 
 def _after_first(text: Column, headings: list[str]) -> Column:
@@ -20,15 +25,11 @@ def _after_first(text: Column, headings: list[str]) -> Column:
 
 
 def section_requirements(text: Column) -> Column:
-    return _after_first(F.lower(F.coalesce(text, F.lit(""))), vocab.REQUIREMENT_HEADINGS)
+    return _after_first(text, vocab.REQUIREMENT_HEADINGS)
 
 
 def section_preferred(text: Column) -> Column:
-    return _after_first(F.lower(F.coalesce(text, F.lit(""))), vocab.PREFERRED_HEADINGS)
-
-
-def section_all(text: Column) -> Column:
-    return F.lower(F.coalesce(text, F.lit("")))
+    return _after_first(text, vocab.PREFERRED_HEADINGS)
 
 
 # --- skills --------------------------------------------------------------------
@@ -83,13 +84,13 @@ def _context_label(context: Column) -> Column:
     )
 
 
-def hit_text(section: Column) -> Column:
-    """Text as hits are searched in it.
+def hit_text(section: Column, collapsed: bool = False) -> Column:
+    """Lower-cased text as hits are searched in it; ``collapsed`` if it has no blank runs.
 
     The leading blank keeps an alias at the very start from being cut off.
     Collapsed text holds no line feed, so that can mark the cuts.
     """
-    return F.concat(F.lit(" "), X.clean_text(F.lower(section)))
+    return F.concat(F.lit(" "), F.trim(section) if collapsed else X.clean_text(section))
 
 
 def hit_parts(text: Column, patterns: SkillPatterns) -> Column:
@@ -104,9 +105,14 @@ def hit_parts(text: Column, patterns: SkillPatterns) -> Column:
 
 
 def skill_hits(parts: Column, patterns: SkillPatterns) -> Column:
-    """All hits as array<struct<skill, label>>, in text order.
+    """All hits as array<struct<skill, label>>, in text order."""
+    # Bound to a lambda variable: a plain column would be worked out anew
+    # inside the lambda for every hit.
+    return F.flatten(F.transform(F.array(parts), lambda p: _hits_of(p, patterns)))
+
 
-    The left context of a hit is the tail of the pieces before it (a piece has
+def _hits_of(parts: Column, patterns: SkillPatterns) -> Column:
+    """The left context of a hit is the tail of the pieces before it (a piece has
     at least one character, so CONTEXT_CHARS pieces always suffice); the right
     context was read ahead by the pattern. The work per hit is bounded, so it
     grows with the text length and not with its square. Each step binds its
@@ -155,22 +161,30 @@ def skills_with_label(hits: Column, label: int) -> Column:
     return F.array_sort(found)
 
 
-def with_hits(df, sections: dict[str, Column], taxonomy: dict[str, list[str]] | None = None):
+def with_hits(df, sections: dict[str, Column], taxonomy: dict[str, list[str]] | None = None,
+              collapsed: bool = False):
     """Add one column of hits per section."""
     patterns = SkillPatterns(taxonomy)
-    df = df.withColumns({name: hit_text(section) for name, section in sections.items()})
+    df = df.withColumns({name: hit_text(section, collapsed) for name, section in sections.items()})
     df = df.withColumns({name: hit_parts(F.col(name), patterns) for name in sections})
     return df.withColumns({name: skill_hits(F.col(name), patterns) for name in sections})
 
 
-def with_skills(df, text: str, taxonomy: dict[str, list[str]] | None = None):
-    """Add required_skills, preferred_skills and other_skills_found for a text column."""
+def hit_rows(df, hits: str, *keys: str):
+    """One row per hit. The outer form keeps the planner from working out the hits a
+    second time just to test for empty lists."""
+    rows = df.select(*keys, F.inline_outer(hits))
+    return rows.filter(F.col("skill").isNotNull())
+
+
+def with_skills(df, text: str, taxonomy: dict[str, list[str]] | None = None, collapsed: bool = False):
+    """Add required_skills, preferred_skills and other_skills_found for a lowered text column."""
     t = F.col(text)
     hits = with_hits(df, {
         "__req": section_requirements(t),
         "__pref": section_preferred(t),
-        "__all": section_all(t),
-    }, taxonomy)
+        "__all": t,
+    }, taxonomy, collapsed)
     required = hits.withColumns({
         "required_skills": skills_with_label(F.col("__req"), REQUIRED),
         "__pref": skills_with_label(F.col("__pref"), PREFERRED),
@@ -188,7 +202,7 @@ def with_skills(df, text: str, taxonomy: dict[str, list[str]] | None = None):
 
 def years_of_experience(text: Column) -> Column:
     """Largest number named as years, a minimum or a range end; NULL if none."""
-    t = F.lower(F.coalesce(text, F.lit("")))
+    t = text
     ws, num = X.WS, f"({X.DIGIT}+)"
     years, yrs = X.fold_pattern("years"), X.fold_pattern("yrs")
     # fixed values: number patterns, with a plain word each needs (a cheap test first)
@@ -221,10 +235,9 @@ def _education_pattern(phrase: str) -> str:
 
 def education_required(text: Column) -> Column:
     """Lowest education level named in a text; NULL if none."""
-    t = F.lower(F.coalesce(text, F.lit("")))
     ordered = sorted(vocab.EDUCATION_PHRASES, key=vocab.EDUCATION_RANK.get)
     return F.coalesce(*[
-        F.when(t.rlike("|".join(_education_pattern(p) for p in vocab.EDUCATION_PHRASES[level])),
+        F.when(text.rlike("|".join(_education_pattern(p) for p in vocab.EDUCATION_PHRASES[level])),
                F.lit(level))
         for level in ordered
     ])
@@ -234,10 +247,9 @@ def education_required(text: Column) -> Column:
 
 def posting_seniority(title: Column, text: Column, years: Column) -> Column:
     t = F.lower(F.coalesce(title, F.lit("")))
-    d = F.lower(F.coalesce(text, F.lit("")))
     # fixed values: words and year limits, in order
     return (
-        F.when(F.contains(t, F.lit("intern")) | F.contains(d, F.lit("internship")), "intern")
+        F.when(F.contains(t, F.lit("intern")) | F.contains(text, F.lit("internship")), "intern")
         .when(X.any_contains(t, ["junior", "entry-level", "entry level"]), "entry")
         .when(X.any_contains(t, ["manager", "director", "head", "vp", "principal"]), "manager")
         .when(X.any_contains(t, ["senior", "sr", "lead", "staff"]), "senior")

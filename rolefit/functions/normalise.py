@@ -65,9 +65,14 @@ def region(country_name: Column) -> Column:
 def workplace(location: Column, description: Column) -> Column:
     """Remote, hybrid and onsite flags with the resulting workplace type."""
     place = X.clean_text(location)
-    combined = F.lower(F.concat(place, F.lit(" "), X.clean_text(description)))
-    remote = F.contains(combined, F.lit("remote"))
-    hybrid = F.contains(combined, F.lit("hybrid"))
+    # Neither word holds a blank, so the texts need no collapsing and can be
+    # looked at one by one.
+    where, about = F.lower(place), F.lower(F.coalesce(description, F.lit("")))
+
+    def named(word):
+        return F.contains(where, F.lit(word)) | F.contains(about, F.lit(word))
+
+    remote, hybrid = named("remote"), named("hybrid")
     kind = F.when(remote, "remote").when(hybrid, "hybrid").when(place != "", "onsite").otherwise("")
     return F.struct(
         remote.alias("is_remote"),

@@ -17,7 +17,10 @@ DIGIT = r"\p{Nd}"
 
 # One blank that is alone stays as it is, so only the other runs are matched.
 _BLANK_RUN = r"[\p{Z}\t-\r\x1c-\x1f\x85&&[^ ]]" + WS + "*| " + WS + "+"
-_EDGE_BLANKS = "^" + WS + "+|" + WS + "+$"
+# The same characters one by one, for trimming without a pattern.
+_BLANKS = "".join(map(chr, [
+    *range(0x09, 0x0E), *range(0x1C, 0x20), 0x20, 0x85, 0xA0, 0x1680,
+    *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def empty_strings() -> Column:
@@ -47,7 +50,7 @@ def collapse(c: Column) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, _EDGE_BLANKS, "")
+    return F.trim(c, F.lit(_BLANKS))
 
 
 def clean_text(c: Column) -> Column:
@@ -70,7 +73,7 @@ def stable_hash(c: Column) -> Column:
 
 def clean_html(c: Column) -> Column:
     no_tags = F.regexp_replace(c, "<[^>]+>", " ")
-    no_entities = F.regexp_replace(no_tags, "&nbsp;|&amp;|&lt;|&gt;|&#39;|&quot;", " ")
+    no_entities = F.regexp_replace(no_tags, "&(?:nbsp|amp|lt|gt|#39|quot);", " ")
     return clean_text(no_entities)
 
 

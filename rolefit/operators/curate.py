@@ -25,8 +25,8 @@ def normalize_texts(df: DataFrame) -> DataFrame:
         "description_clean": X.clean_text(F.col("description_clean")),
         "language": F.coalesce("language", F.lit("")),
     })
-    return cleaned.withColumn(
-        "description_normalized", X.clean_text(F.lower("description_clean")))
+    # Clean text is collapsed and stripped already.
+    return cleaned.withColumn("description_normalized", F.lower("description_clean"))
 
 
 def normalize_titles(df: DataFrame) -> DataFrame:
@@ -49,9 +49,13 @@ def normalize_locations(df: DataFrame) -> DataFrame:
 
 
 def add_record_hash(df: DataFrame) -> DataFrame:
-    parts = [X.clean_text(F.col(c)) for c in
-             ["job_uid", "title_normalized", "location_normalized", "description_clean"]]
-    return df.withColumn("curated_record_hash", X.stable_hash(F.concat_ws("::", *parts)))
+    """Hash of the identifying fields; ``description_clean`` has to be clean.
+
+    Joining clean parts by '::' gives clean text, so it is hashed as it is.
+    """
+    parts = [X.clean_text(F.col(c)) for c in ["job_uid", "title_normalized", "location_normalized"]]
+    joined = F.concat_ws("::", *parts, F.coalesce("description_clean", F.lit("")))
+    return df.withColumn("curated_record_hash", F.sha2(joined, 256))
 
 
 def select_curated(df: DataFrame) -> DataFrame:

@@ -19,10 +19,11 @@ def first_rows(df: DataFrame, keys: list[str], order: str, carry: list[str] | No
 def keep_rows(df: DataFrame, survivors: DataFrame, order: str) -> DataFrame:
     """Rows whose unique order number survived.
 
-    Only this join moves the wide rows, at most once and on a unique key, so
-    it cannot be skewed.
+    Only this join moves the wide rows, once and on a unique key, so it cannot
+    be skewed. The survivors are numbers only: hashing them per partition
+    spares sorting the wide rows.
     """
-    return df.join(survivors.select(order), order, "left_semi")
+    return df.join(survivors.select(order).hint("shuffle_hash"), order, "left_semi")
 
 
 def keep_first(df: DataFrame, keys: list[str], order: str = "ord") -> DataFrame:

@@ -25,8 +25,8 @@ def posting_title(df: DataFrame) -> Column:
 def enrich(df: DataFrame, taxonomy: dict[str, list[str]] | None = None) -> DataFrame:
     """Append the six extracted columns. Row-wise: one pass, no shuffle."""
     columns = df.columns
-    texts = df.withColumn("__text", posting_text(df))
-    skills = E.with_skills(texts, "__text", taxonomy)
+    texts = df.withColumn("__text", E.lowered(posting_text(df)))
+    skills = E.with_skills(texts, "__text", taxonomy, collapsed=True)
     facts = skills.withColumns({
         "years_experience_extracted": E.years_of_experience(F.col("__text")),
         "education_extracted": E.education_required(F.col("__text")),

@@ -332,7 +332,7 @@ def best_preferred_jobs(jobs: DataFrame, candidates: DataFrame, k: int) -> DataF
     """
     facets = [*JOB_SIGNATURE, *Pref.FACETS]
     signatures = job_signatures(Pref.with_facets(jobs), facets, k)
-    keyed_jobs = signatures.select("*", F.explode(F.array_distinct(Pref.job_keys())).alias("key"))
+    keyed_jobs = signatures.select("*", F.explode_outer(F.array_distinct(Pref.job_keys())).alias("key"))
     groups = candidate_groups(candidates, [*CANDIDATE_SIGNATURE, "preferences"])
     p = F.col("preferences")
     keyed_groups = groups.withColumn("keys", Pref.preference_keys(p)).select(

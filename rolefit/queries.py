@@ -78,35 +78,36 @@ def staging(spark, sf_dir):
 def texts(spark, sf_dir):
     """Posting text as extraction sees it, with title."""
     rows = C.normalize_postings(staging(spark, sf_dir))
-    return rows.select("job_uid", En.posting_title(rows).alias("title"), En.posting_text(rows).alias("text"))
+    return rows.select("job_uid", En.posting_title(rows).alias("title"),
+                       E.lowered(En.posting_text(rows)).alias("text"))
 
 
 # --- text ------------------------------------------------------------------------------
 
 @query
 def clean_text_docs(spark, sf_dir):
-    return fx.table(spark, sf_dir, "documents").select("doc_id", X.clean_text(F.col("text")).alias("cleaned"))
+    return fx.text_table(spark, sf_dir, "documents", "doc_id").select("doc_id", X.clean_text(F.col("text")).alias("cleaned"))
 
 
 @query
 def normalize_text_basic_docs(spark, sf_dir):
-    return fx.table(spark, sf_dir, "documents").select(
+    return fx.text_table(spark, sf_dir, "documents", "doc_id").select(
         "doc_id", X.normalize_text_basic(F.col("text")).alias("normalized"))
 
 
 @query
 def stable_hash_docs(spark, sf_dir):
-    return fx.table(spark, sf_dir, "documents").select("doc_id", X.stable_hash(F.col("text")).alias("hash"))
+    return fx.text_table(spark, sf_dir, "documents", "doc_id").select("doc_id", X.stable_hash(F.col("text")).alias("hash"))
 
 
 @query
 def html_text_pages(spark, sf_dir):
-    return fx.table(spark, sf_dir, "pages").select("page_id", X.html_to_text(F.col("html")).alias("text"))
+    return fx.text_table(spark, sf_dir, "pages", "page_id").select("page_id", X.html_to_text(F.col("html")).alias("text"))
 
 
 @query
 def clean_html_pages(spark, sf_dir):
-    return fx.table(spark, sf_dir, "pages").select("page_id", X.clean_html(F.col("html")).alias("text"))
+    return fx.text_table(spark, sf_dir, "pages", "page_id").select("page_id", X.clean_html(F.col("html")).alias("text"))
 
 
 @query
@@ -247,7 +248,7 @@ def staging_dedup(spark, sf_dir):
 @query
 def dedup_documents(spark, sf_dir):
     """First document per equal cleaned text."""
-    docs = fx.table(spark, sf_dir, "documents").withColumn("hash", X.stable_hash(F.col("text")))
+    docs = fx.text_table(spark, sf_dir, "documents", "doc_id").withColumn("hash", X.stable_hash(F.col("text")))
     return D.keep_first(docs, ["hash"], "doc_id").select("doc_id", "hash", "source", "text")
 
 
@@ -330,20 +331,19 @@ def curated_dedup(spark, sf_dir):
 def section_split(spark, sf_dir):
     return texts(spark, sf_dir).select(
         "job_uid", E.section_requirements(F.col("text")).alias("requirements"),
-        E.section_preferred(F.col("text")).alias("preferred"), E.section_all(F.col("text")).alias("other"))
+        E.section_preferred(F.col("text")).alias("preferred"), F.col("text").alias("other"))
 
 
 @query
 def skill_hits(spark, sf_dir):
     """Hits per posting, skill and label in the whole text."""
-    rows = E.with_hits(texts(spark, sf_dir), {"hits": E.section_all(F.col("text"))})
-    hits = rows.select("job_uid", F.inline("hits"))
-    return hits.groupBy("job_uid", "skill", "label").agg(F.count("*").alias("n_hits"))
+    rows = E.with_hits(texts(spark, sf_dir), {"hits": F.col("text")}, collapsed=True)
+    return E.hit_rows(rows, "hits", "job_uid").groupBy("job_uid", "skill", "label").agg(F.count("*").alias("n_hits"))
 
 
 @query
 def skills_required_preferred(spark, sf_dir):
-    rows = E.with_skills(texts(spark, sf_dir), "text")
+    rows = E.with_skills(texts(spark, sf_dir), "text", collapsed=True)
     return rows.select("job_uid", flat("required_skills"), flat("preferred_skills"), flat("other_skills_found"))
 
 

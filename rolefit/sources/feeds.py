@@ -50,8 +50,9 @@ def read_payloads(spark: SparkSession, path: str, feed: str) -> DataFrame:
         wrapped = F.from_json("value", f"STRUCT<{key}: ARRAY<STRUCT<{row}>>>")[key]
         rows = F.when(F.ltrim("value").startswith("{"), wrapped).otherwise(rows)
     board = F.regexp_extract("file", rf"^{feed}_(.+)_jobs_raw_", 1)
-    return (files.select(board.alias("board"), F.posexplode(rows).alias("pos", "row"))
-            .select("board", "pos", "row.*"))
+    # Outer, so that the planner does not parse every file twice to test for rows.
+    return (files.select(board.alias("board"), F.posexplode_outer(rows).alias("pos", "row"))
+            .filter(F.col("pos").isNotNull()).select("board", "pos", "row.*"))
 
 
 def write_raw_snapshot(rows: DataFrame, base: str, feed: str, run_ts: str) -> None:
