@@ -1,0 +1,135 @@
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from rolefit.functions import normalise as N
+from rolefit.functions import text as X
+
+
+def column(spark, values, kind="string"):
+    schema = T.StructType([T.StructField("i", T.LongType()), T.StructField("v", T._parse_datatype_string(kind))])
+    return spark.createDataFrame(list(enumerate(values)), schema)
+
+
+def apply(spark, values, fn, kind="string"):
+    rows = column(spark, values, kind).select("i", fn(F.col("v")).alias("out")).collect()
+    return [r["out"] for r in sorted(rows, key=lambda r: r["i"])]
+
+
+def test_clean_text_equals_definition_on_unicode(spark):
+    rng = random.Random(1)
+    alphabet = [" ", "\t", "\n", "\r", "\x1c", "\x85", "\xa0", " ", " ", "　", "a", "É", "ß", "1", ".", "​"]
+    values = ["".join(rng.choices(alphabet, k=rng.randint(0, 12))) for _ in range(400)]
+    expected = [re.sub(r"\s+", " ", v).strip() for v in values]
+    assert apply(spark, values, X.clean_text) == expected
+    assert apply(spark, values, X.strip) == [v.strip() for v in values]
+
+
+def test_clean_text_missing(spark):
+    assert apply(spark, [None, "", " \n "], X.clean_text) == ["", "", ""]
+
+
+def test_normalize_text_basic(spark):
+    values = ["C++ / C#, .NET!", "Été — 3.5+\tyears", "a_b", "x٣y", None]
+    expected = [re.sub(r"\s+", " ", re.sub(r"[^\w\s+#.]", " ", " ".join((v or "").split()).lower())).strip()
+                for v in values]
+    assert apply(spark, values, X.normalize_text_basic) == expected
+
+
+def test_html(spark):
+    html = "a &amp;lt; b &#39;x&#x27; &copy; &bogus; & z<br><script>if(a<b){}</script>ok<!-- no -->&eacute;&#0;"
+    assert apply(spark, [html, "", None], X.html_to_text) == ["a &lt; b 'x' © &bogus; & z ok é&#0;", "", ""]
+    assert apply(spark, ["<p>R&amp;D</p>&nbsp;x &copy;"], X.clean_html) == ["R D x &copy;"]
+
+
+def test_rounding_equals_python(spark):
+    rng = random.Random(2)
+    values = [2.675, 0.125, 0.67855, 1.005, 0.0, 100.0, 45.0, 62.5]
+    values += [rng.uniform(0, 100) for _ in range(3000)]
+    values += [rng.randint(0, 10 ** 5) / 1000 for _ in range(6000)]
+    values += [sum(w * rng.randint(0, 12) / 12 for w in (.38, .12, .2, .08, .12, .1)) * 100 for _ in range(6000)]
+    assert apply(spark, values, lambda c: X.round_binary(c, 2), "double") == [round(v, 2) for v in values]
+    assert apply(spark, values, lambda c: X.round_binary(c, 4), "double") == [round(v, 4) for v in values]
+
+
+def test_general_number(spark):
+    assert apply(spark, [6.0, 2.5, 0.0, None], X.general_number, "double") == ["6", "2.5", "0", None]
+
+
+@pytest.mark.parametrize("text,expected", [
+    ("New York N.Y.", "new york, ny"), ("Remote - United States", "remote, united states"),
+    ("  Paris ,  France", "Paris , France"), (None, ""),
+])
+def test_location_text(value, text, expected):
+    assert value(X.normalize_location_text, F.lit(text).cast("string")) == expected
+
+
+@pytest.mark.parametrize("text,expected", [
+    ("3+ years of experience", 3), ("5 yr experience", 5), ("years of experience", None), (None, None),
+])
+def test_first_years(value, text, expected):
+    assert value(X.first_years_of_experience, F.lit(text).cast("string")) == expected
+
+
+def test_lists(spark):
+    lists = [[" B", "a", "b", "", " "], [], None, [None, "Z"]]
+    assert apply(spark, lists, X.item_set, "array<string>") == [["a", "b"], [], [], ["z"]]
+    assert apply(spark, lists, X.clean_items, "array<string>") == [["b", "a", "b"], [], [], ["z"]]
+    assert apply(spark, ["SQL; python,sql / Git", "", None], lambda c: X.candidate_list(c, False)) == [
+        ["git", "python", "sql"], [], []]
+
+
+def test_cell_lists(spark):
+    cells = ['["a", "b "]', "['a', 'b']", "a, b,,", "  ", None, "[broken", "[]"]
+    assert apply(spark, cells, X.cell_list) == [["a", "b"], ["a", "b"], ["a", "b"], [], [], ["[broken"], []]
+
+
+def test_json_lists(spark):
+    assert apply(spark, [["é", 'q"'], None], X.list_to_json, "array<string>") == ['["é","q\\""]', "[]"]
+    assert apply(spark, ['["x"]', "oops", None], X.json_to_list) == [["x"], [], []]
+    assert apply(spark, [{"b": "1", "a": "2"}, None], X.json_of_map, "map<string,string>") == [
+        '{"a":"2","b":"1"}', "{}"]
+
+
+def test_comma_text(spark):
+    assert apply(spark, ["a, b ,,c", None], lambda c: X.join_list(X.comma_list(c))) == ["a, b, c", ""]
+
+
+@pytest.mark.parametrize("title,expected", [
+    ("Senior ML Engineer", ("machine_learning_engineer", "machine_learning", "data", "senior")),
+    ("Chef de Partie!", ("chef_de_partie", "", "", "")),
+    ("Principal Engineer", ("principal_engineer", "", "", "senior")),
+    ("Jr. Software  Engineer", ("software_engineer", "software_engineering", "engineering", "junior")),
+    ("Internal Auditor", ("internal_auditor", "", "", "")),
+    ("Product Manager", ("product_manager", "product", "product", "manager")),
+    ("Datascientist", ("datascientist", "", "", "")),
+])
+def test_titles(value, title, expected):
+    assert tuple(value(N.title_record, title)) == expected
+
+
+@pytest.mark.parametrize("place,expected", [
+    ("Milwaukee, WI", "united kingdom"), ("Indiana", "india"), ("Boston, U.S.", "united states"),
+    ("Lausanne", "united states"), ("Mars", ""),
+])
+def test_country_keeps_substring_rule(value, place, expected):
+    assert value(N.country, place) == expected
+
+
+@pytest.mark.parametrize("place,about,expected", [
+    ("", "great team", (False, False, True, "")),
+    ("Dublin", "hybrid or remote", (True, True, False, "remote")),
+    ("Dublin", "office", (False, False, True, "onsite")),
+    ("Hybrid - Rome", None, (False, True, False, "hybrid")),
+])
+def test_workplace(value, place, about, expected):
+    assert tuple(value(N.workplace, place, F.lit(about).cast("string"))) == expected
+
+
+def test_skill_terms(spark):
+    terms = [["Power BI", "powerbi", "C++", "Rest API", "Cobol 85", "SQL"], None]
+    assert apply(spark, terms, N.normalize_skill_terms, "array<string>") == [
+        ["power_bi", "c++", "api", "cobol_85", "sql"], []]
