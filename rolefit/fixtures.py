@@ -50,24 +50,23 @@ SKILL_STEPS = [(7, 0), (11, 5), (13, 10), (5, 15)]
 TOOL_STEPS = [(19, 20), (23, 7)]
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def text_table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
-    """A table of long texts. One that would be read by fewer tasks than there are
-    cores (a few small files) is spread over all of them; a large one is read
-    as it lies, without a shuffle."""
-    df = table(spark, sf_dir, name)
+def table(spark: SparkSession, sf_dir: str, name: str, spread_by: str | None = None) -> DataFrame:
+    """A given table.
+
+    With ``spread_by``, a table that would be read by fewer tasks than there are
+    cores (a few small files) is spread over all of them, for the work per row
+    that follows; a large one is read as it lies, without a shuffle.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
     full_split = 128 << 20
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores, key) if size < cores * full_split else df
+    return df.repartition(cores, spread_by) if spread_by and size < cores * full_split else df
 
 
 def pick(values: list, e: Column) -> Column:
     """Element ``e mod n`` of a literal list."""
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (e % len(values) + 1).cast("int"))
+    return F.element_at(X.literal_array(values), (e % len(values) + 1).cast("int"))
 
 
 def first(items: list[Column], n: Column) -> Column:
@@ -75,14 +74,14 @@ def first(items: list[Column], n: Column) -> Column:
 
 
 def sorted_distinct(items: Column) -> Column:
-    return F.array_sort(F.array_distinct(items))
+    return F.sort_array(F.array_distinct(items))
 
 
 # --- match-ready jobs and candidate payloads -------------------------------------------
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
-    return table(spark, sf_dir, "part").select(
+    return table(spark, sf_dir, "part", "p_partkey").select(
         F.concat(F.lit("fx::"), k % 5, F.lit("::"), k).alias("job_id"),
         k.alias("ord"),
         pick(TITLES, k).alias("title"),
@@ -112,7 +111,7 @@ def job_id(key: Column) -> Column:
 def candidate_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("c_custkey")
     skills = [pick(SKILLS, m * c + i) for m, i in SKILL_STEPS]
-    return table(spark, sf_dir, "customer").select(
+    return table(spark, sf_dir, "customer", "c_custkey").select(
         candidate_id(c).alias("candidate_id"),
         F.col("c_name").alias("full_name"),
         pick(TITLES, 5 * c + 2).alias("current_title"),
@@ -151,7 +150,7 @@ def preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     def only(kind: int, value: Column) -> Column:
         return F.when(c % 6 == kind, value).otherwise(none)
 
-    return table(spark, sf_dir, "customer").filter(c % 3 != 0).select(
+    return table(spark, sf_dir, "customer", "c_custkey").filter(c % 3 != 0).select(
         candidate_id(c).alias("candidate_id"),
         F.struct(
             only(1, F.array(pick(["Engineer", " data ", "analyst", "manager"], c), F.lit("zzz")))
@@ -197,7 +196,7 @@ def feed_a(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     html = F.concat(F.col("html"), F.lit("<div><p>"), say["required"], F.lit("&nbsp;</p><p>R&amp;D "),
                     say["preferred"], F.lit("</p></div>"))
-    return text_table(spark, sf_dir, "pages", "page_id").select(
+    return table(spark, sf_dir, "pages", "page_id").select(
         F.concat(F.lit("board_"), k % 4).alias("board"),
         k.alias("pos"),
         k.alias("id"),
@@ -219,7 +218,7 @@ def feed_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feed B rows from the documents: the whole text between the requirement texts."""
     k = F.col("doc_id")
     say = posting_sentences(k)
-    return text_table(spark, sf_dir, "documents", "doc_id").select(
+    return table(spark, sf_dir, "documents", "doc_id").select(
         F.col("source").alias("board"),
         k.alias("pos"),
         k.cast("string").alias("id"),

@@ -119,12 +119,10 @@ def _hits_of(parts: Column, patterns: SkillPatterns) -> Column:
     result to a lambda variable, so nothing is computed twice per hit.
     """
     n = vocab.CONTEXT_CHARS
-    starts_table = F.create_map(*[
-        x for alias, starts in sorted(patterns.at_start.items())
-        for x in (F.lit(alias), F.array(*[
-            F.struct(F.lit(skill).alias("skill"), F.lit(length).alias("length"))
-            for skill, length in starts]))
-    ])
+    starts_table = F.expr("map(" + ", ".join(
+        f"{X.sql_literal(alias)}, array(" + ", ".join(
+            f"named_struct('skill', {X.sql_literal(skill)}, 'length', {length})" for skill, length in starts) + ")"
+        for alias, starts in sorted(patterns.at_start.items())) + ")")
     tails = parts["tails"]
 
     def locate(following: Column, i: Column) -> Column:
@@ -158,7 +156,7 @@ def skills_with_label(hits: Column, label: int) -> Column:
     found = named(label)
     if label < REQUIRED:
         found = F.array_except(found, named(label + 1))
-    return F.array_sort(found)
+    return F.sort_array(found)
 
 
 def with_hits(df, sections: dict[str, Column], taxonomy: dict[str, list[str]] | None = None,

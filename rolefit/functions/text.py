@@ -27,8 +27,22 @@ def empty_strings() -> Column:
     return F.array().cast(T.ArrayType(T.StringType()))
 
 
+def sql_literal(value) -> str:
+    if value is None:
+        return "CAST(NULL AS STRING)"
+    if isinstance(value, str):
+        escaped = value.replace("\\", "\\\\").replace("'", "\\'")
+        return f"'{escaped}'"
+    return str(value)
+
+
+def literal_array(values: list) -> Column:
+    return F.expr("array(" + ", ".join(map(sql_literal, values)) + ")")
+
+
 def literal_map(entries: dict) -> Column:
-    return F.create_map(*[F.lit(x) for kv in entries.items() for x in kv])
+    """A fixed table as one expression (one call instead of one per entry)."""
+    return F.expr("map(" + ", ".join(sql_literal(x) for kv in entries.items() for x in kv) + ")")
 
 
 def lookup(entries: dict, key: Column) -> Column:
@@ -133,7 +147,7 @@ def clean_items(items: Column) -> Column:
 
 
 def item_set(items: Column) -> Column:
-    return F.array_sort(F.array_distinct(clean_items(items)))
+    return F.sort_array(F.array_distinct(clean_items(items)))
 
 
 def merge_unique(*lists: Column) -> Column:
@@ -145,7 +159,7 @@ def candidate_list(c: Column, is_array: bool) -> Column:
     """Cleaned, lowered, sorted and distinct items of a list or a delimited string."""
     items = c if is_array else F.split(c, r"[;,|/]+")
     cleaned = F.transform(F.coalesce(items, empty_strings()), lambda v: F.lower(clean_text(v)))
-    return F.array_sort(F.array_distinct(F.filter(cleaned, lambda v: v != "")))
+    return F.sort_array(F.array_distinct(F.filter(cleaned, lambda v: v != "")))
 
 
 def cell_list(c: Column) -> Column:
@@ -181,7 +195,7 @@ def json_to_list(c: Column) -> Column:
 
 def json_of_map(m: Column) -> Column:
     """JSON object with its keys sorted; a missing map gives '{}'."""
-    entries = F.array_sort(F.map_entries(m))
+    entries = F.sort_array(F.map_entries(m))
     return F.coalesce(F.to_json(F.map_from_entries(entries)), F.lit("{}"))
 
 

@@ -179,8 +179,8 @@ def match_candidates(features: DataFrame) -> DataFrame:
     extra = [c for c in ["preferences"] if c in features.columns]
     return features.select(
         "candidate_id", *extra,
-        F.array_sort(F.array_distinct("skills")).alias("c_skills"),
-        F.array_sort(F.array_distinct("domains")).alias("c_dom"),
+        F.sort_array(F.array_distinct("skills")).alias("c_skills"),
+        F.sort_array(F.array_distinct("domains")).alias("c_dom"),
         F.col("years_experience").cast("double").alias("c_years"),
         F.col("education").alias("c_edu"),
         X.lookup(vocab.EDUCATION_RANK, X.norm_key(F.col("education"))).alias("c_edu_rank"),

@@ -78,7 +78,7 @@ def _keys(kind: str, values: Column) -> Column:
 def preference_keys(p: Column) -> Column:
     """Keys of the one test a preference is looked up by, the usually narrowest first.
 
-    Any job that passes has one of these keys among ``job_keys``: a title that
+    Any job that passes has one of these keys (``with_job_keys``): a title that
     contains a wanted phrase contains its first characters.
     """
     return (
@@ -91,15 +91,27 @@ def preference_keys(p: Column) -> Column:
     )
 
 
-def job_keys() -> Column:
+def title_keys(titles: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Wanted keys of each title: its parts of one to GRAM characters, if anyone asks for them."""
     title = F.col("f_title")
-    grams = F.flatten(F.transform(
-        F.when(F.length(title) > 0, F.sequence(F.lit(1), F.length(title))).otherwise(
-            F.array().cast("array<int>")),
+    parts = F.flatten(F.transform(
+        F.sequence(F.lit(1), F.length(title)),
         lambda i: F.array(*[F.substr(title, i, F.lit(n)) for n in range(1, GRAM + 1)])))
-    return F.concat(
-        _keys("t", grams), _keys("l", F.array("f_location")), _keys("d", F.col("j_dom")),
+    keys = titles.filter(title != "").select(
+        "f_title", F.explode_outer(_keys("t", parts)).alias("key"))
+    return keys.join(wanted, "key", "left_semi").groupBy("f_title").agg(
+        F.collect_set("key").alias("title_keys"))
+
+
+def with_job_keys(jobs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """One row per job and key; title parts are worked out once per distinct title."""
+    titles = title_keys(jobs.select("f_title").distinct(), wanted)
+    keys = F.concat(
+        F.coalesce("title_keys", X.empty_strings()),
+        _keys("l", F.array("f_location")), _keys("d", F.col("j_dom")),
         _keys("s", F.array("f_seniority")), _keys("w", F.array("f_workplace")))
+    return (jobs.join(titles, "f_title", "left")
+            .select(*jobs.columns, F.explode_outer(keys).alias("key")))
 
 
 def key_fits_job(key: Column) -> Column:

@@ -12,10 +12,10 @@ Here three exact facts make that feasible for many candidates and many jobs:
    fixed vocabulary. Scoring a pair as if it shared nothing never gives more
    than its true score, so the k best jobs by class score are a lower bound:
    the k-th of them is a threshold every other answer has to reach.
-3. A pair that can beat the threshold must share at least ``need`` of the n
-   required skills, hence one of the n - need + 1 rarest ones (prefix filter).
-   The same holds for preferred skills and domains where required skills
-   cannot decide. Pairs that share only frequent items are never built.
+3. With each job's items ordered rarest first, the place of the first shared
+   item bounds what a pair can reach (a prefix filter). Pairs whose bound stays
+   below the threshold, such as those that share only frequent items of a job
+   that asks for rare ones, are never built.
 
 Joins are plain equi-joins on items. Frequent items are split on both sides
 into blocks (see ``block_join``), so no task gets a hot item whole.
@@ -221,7 +221,37 @@ def by_rarity(signatures: DataFrame) -> DataFrame:
 
 
 def job_items(signatures: DataFrame) -> DataFrame:
-    return signatures.select("*", F.inline(_items({f: job for f, (job, _) in FAMILIES.items()})))
+    """One row per item with what a pair can still reach from there.
+
+    A pair is built at its first shared item: required skills come first, then
+    preferred skills, then domains, each rarest first. If that item stands at
+    place p of n, at most n - p + 1 items of its list are shared and none of
+    the lists before. ``reach`` is the most that skills and domains can then
+    add to the score (``reach_no_dom`` for candidates without domains), and
+    ``cap`` the limit that holds for it.
+    """
+    w = {name: 100 * weight for name, weight in vocab.WEIGHTS.items()}
+    w_req, w_pref, w_dom = (w["required_skill_score"], w["preferred_skill_score"], w["domain_score"])
+    rows = signatures.select("*", F.inline(_items({f: job for f, (job, _) in FAMILIES.items()})))
+    n = F.when(F.col("family") == "req", F.col("n_req")).when(
+        F.col("family") == "pref", F.col("n_pref")).otherwise(F.col("n_dom"))
+    share = (n - F.col("place") + 1) / n
+    is_req, is_pref = F.col("family") == "req", F.col("family") == "pref"
+    free_req = F.when(F.col("n_req") == 0, w_req).otherwise(0.0)
+    free_pref = F.when(F.col("n_pref") == 0, w_pref).otherwise(0.0)
+    skills = (
+        F.when(is_req, w_req * F.when(share < 0.5, share * 0.75).otherwise(share) + w_pref)
+        .when(is_pref, free_req + w_pref * share)
+        .otherwise(free_req + free_pref)
+    )
+    domains = F.when(is_req | is_pref, w_dom).otherwise(w_dom * share)
+    no_domains = F.when(F.col("n_dom") > 0, 0.5 * w_dom).otherwise(w_dom)
+    cap = (
+        F.when(is_req, F.when(share < 0.5, vocab.CAP_FEW_REQUIRED).otherwise(100.0))
+        .otherwise(F.when(F.col("n_req") > 0, vocab.CAP_NO_REQUIRED).otherwise(100.0))
+    )
+    return rows.withColumns({
+        "reach": skills + domains, "reach_no_dom": skills + no_domains, "cap": cap}).drop("place")
 
 
 def candidate_items(groups: DataFrame) -> DataFrame:
@@ -229,48 +259,18 @@ def candidate_items(groups: DataFrame) -> DataFrame:
     return groups.select("*", F.inline(items)).drop("place")
 
 
-def _needs() -> dict[str, Column]:
-    """Least number of shared items per family for a pair to reach the floor.
+def _can_reach_floor() -> Column:
+    """Upper bound of the score against the candidate group's floor.
 
-    Each need assumes everything else at its best, so it never asks too much.
-    ``need_req`` of 0 means the pair can reach the floor with no required skill.
+    One sum with every term once: it is evaluated inside the join, before a
+    pair is built.
     """
-    w = {name: 100 * weight for name, weight in vocab.WEIGHTS.items()}
-    floor, base = F.col("floor") - SLACK, F.col("profile")
-    w_req, w_pref, w_dom = (w["required_skill_score"], w["preferred_skill_score"], w["domain_score"])
-    dom_best = F.when((F.col("n_dom") > 0) & (F.col("n_cand_dom") == 0), 0.5 * w_dom).otherwise(w_dom)
-
-    def at_least(share: Column, n: Column) -> Column:
-        return F.ceil(share * n - 1e-9).cast("int")
-
-    # Below half of the required skills counts three quarters, and caps hold.
-    share = (floor - base - w_pref - dom_best) / w_req
-    reach = F.when(share <= 0.375, share / 0.75).otherwise(F.greatest(F.lit(0.5), share))
-    reach = F.when(F.col("floor") > vocab.CAP_FEW_REQUIRED, F.greatest(reach, F.lit(0.5))).otherwise(reach)
-    without = F.least(base + w_pref + dom_best, F.lit(vocab.CAP_NO_REQUIRED)) >= floor
-    return {
-        "need_req": F.when(F.col("n_req") == 0, 0).when(without, 0)
-                     .otherwise(F.greatest(F.lit(1), at_least(reach, F.col("n_req")))),
-        "need_pref": F.when(F.col("n_pref") == 0, 0).otherwise(F.greatest(F.lit(0), at_least(
-            (floor - base - w_req - dom_best) / w_pref, F.col("n_pref")))),
-        "need_dom": F.when((F.col("n_dom") == 0) | (F.col("n_cand_dom") == 0), 0).otherwise(
-            F.greatest(F.lit(0), at_least((floor - base - w_req - w_pref) / w_dom, F.col("n_dom")))),
-    }
-
-
-def _in_prefix() -> Column:
-    """Whether this shared item is one by which the pair has to be found."""
-    def found(n, need):
-        return F.col("place") <= F.col(n) - F.greatest(F.col(need), F.lit(1)) + 1
-
-    free_req = F.col("need_req") == 0
-    free_pref = F.col("need_pref") == 0
-    reachable = ((F.col("need_req") <= F.col("n_req")) & (F.col("need_pref") <= F.col("n_pref"))
-                 & (F.col("need_dom") <= F.col("n_dom")))
-    return reachable & (
-        F.when(F.col("family") == "req", found("n_req", "need_req"))
-        .when(F.col("family") == "pref", free_req & found("n_pref", "need_pref"))
-        .otherwise(free_req & free_pref & found("n_dom", "need_dom")))
+    parts, w = P.component_columns(), vocab.WEIGHTS
+    profile = 100 * (parts["experience_score"] * w["experience_score"]
+                     + parts["education_score"] * w["education_score"]
+                     + parts["seniority_score"] * w["seniority_score"])
+    reach = F.when(F.col("n_cand_dom") > 0, F.col("reach")).otherwise(F.col("reach_no_dom"))
+    return (F.col("cap") >= F.col("floor")) & (profile + reach >= F.col("floor") - SLACK)
 
 
 def _first_shared() -> Column:
@@ -288,23 +288,18 @@ def _first_shared() -> Column:
 def sharing_pairs(signatures: DataFrame, groups: DataFrame, k: int) -> DataFrame:
     """Best k signatures per candidate group among the pairs that share an item and
     can reach the group's floor."""
-    sized = by_rarity(signatures).withColumns({
+    sized = by_rarity(signatures.drop("members")).withColumns({
         "n_req": F.size("j_req"), "n_pref": F.size("j_pref"), "n_dom": F.size("j_dom")})
     met = block_join(candidate_items(groups), job_items(sized), ["family", "item"], "gid", "sid")
-    parts = P.component_columns()
-    w = vocab.WEIGHTS
-    profile = 100 * (parts["experience_score"] * w["experience_score"]
-                     + parts["education_score"] * w["education_score"]
-                     + parts["seniority_score"] * w["seniority_score"])
-    needs = met.withColumn("profile", profile).withColumns(_needs()).withColumn("__near", _in_prefix())
-    near = settled(needs, "__near").filter("__near")
+    near = met.filter(_can_reach_floor())
     shared = near.withColumns({f"__{f}": F.array_intersect(job, have)
                                for f, (job, have) in FAMILIES.items()})
     counted = shared.withColumns({
         "__once": _first_shared(), **{f"{f}_hits": F.size(f"__{f}") for f in FAMILIES}})
     once = settled(counted, "__once").filter("__once")
     scored = settled(P.score_from_counts(once), "score").filter(F.col("score") >= F.col("floor"))
-    return top_k(scored.select("gid", "sid", "members", "score"), ["gid"], _best_first("sid"), k)
+    best = top_k(scored.select("gid", "sid", "score"), ["gid"], _best_first("sid"), k)
+    return best.drop("rank").join(signatures.select("sid", "members"), "sid")
 
 
 # --- recommendations ---------------------------------------------------------------------
@@ -332,11 +327,11 @@ def best_preferred_jobs(jobs: DataFrame, candidates: DataFrame, k: int) -> DataF
     """
     facets = [*JOB_SIGNATURE, *Pref.FACETS]
     signatures = job_signatures(Pref.with_facets(jobs), facets, k)
-    keyed_jobs = signatures.select("*", F.explode_outer(F.array_distinct(Pref.job_keys())).alias("key"))
     groups = candidate_groups(candidates, [*CANDIDATE_SIGNATURE, "preferences"])
     p = F.col("preferences")
     keyed_groups = groups.withColumn("keys", Pref.preference_keys(p)).select(
         "*", F.explode("keys").alias("key"))
+    keyed_jobs = Pref.with_job_keys(signatures, keyed_groups.select("key").distinct())
     met = block_join(keyed_groups, keyed_jobs, ["key"], "gid", "sid")
     # A job may carry several keys of one preference: it is taken at the first.
     first_key = F.try_element_at(F.filter("keys", Pref.key_fits_job), F.lit(1))

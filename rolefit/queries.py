@@ -86,28 +86,28 @@ def texts(spark, sf_dir):
 
 @query
 def clean_text_docs(spark, sf_dir):
-    return fx.text_table(spark, sf_dir, "documents", "doc_id").select("doc_id", X.clean_text(F.col("text")).alias("cleaned"))
+    return fx.table(spark, sf_dir, "documents", "doc_id").select("doc_id", X.clean_text(F.col("text")).alias("cleaned"))
 
 
 @query
 def normalize_text_basic_docs(spark, sf_dir):
-    return fx.text_table(spark, sf_dir, "documents", "doc_id").select(
+    return fx.table(spark, sf_dir, "documents", "doc_id").select(
         "doc_id", X.normalize_text_basic(F.col("text")).alias("normalized"))
 
 
 @query
 def stable_hash_docs(spark, sf_dir):
-    return fx.text_table(spark, sf_dir, "documents", "doc_id").select("doc_id", X.stable_hash(F.col("text")).alias("hash"))
+    return fx.table(spark, sf_dir, "documents", "doc_id").select("doc_id", X.stable_hash(F.col("text")).alias("hash"))
 
 
 @query
 def html_text_pages(spark, sf_dir):
-    return fx.text_table(spark, sf_dir, "pages", "page_id").select("page_id", X.html_to_text(F.col("html")).alias("text"))
+    return fx.table(spark, sf_dir, "pages", "page_id").select("page_id", X.html_to_text(F.col("html")).alias("text"))
 
 
 @query
 def clean_html_pages(spark, sf_dir):
-    return fx.text_table(spark, sf_dir, "pages", "page_id").select("page_id", X.clean_html(F.col("html")).alias("text"))
+    return fx.table(spark, sf_dir, "pages", "page_id").select("page_id", X.clean_html(F.col("html")).alias("text"))
 
 
 @query
@@ -248,7 +248,7 @@ def staging_dedup(spark, sf_dir):
 @query
 def dedup_documents(spark, sf_dir):
     """First document per equal cleaned text."""
-    docs = fx.text_table(spark, sf_dir, "documents", "doc_id").withColumn("hash", X.stable_hash(F.col("text")))
+    docs = fx.table(spark, sf_dir, "documents", "doc_id").withColumn("hash", X.stable_hash(F.col("text")))
     return D.keep_first(docs, ["hash"], "doc_id").select("doc_id", "hash", "source", "text")
 
 
