@@ -20,8 +20,13 @@ def lowered(text: Column) -> Column:
 
 # --- sections ------------------------------------------------------------------
 
-def _after_first(text: Column, headings: list[str]) -> Column:
-    return F.regexp_extract(text, "(?s)(?:" + "|".join(headings) + ")(.*)", 1)
+MARK = "\n"
+
+
+def _after_first(text: Column, headings: list[str], mark: str = "") -> Column:
+    """Text after the first heading. ``mark`` may stand before any word of a heading."""
+    words = [h.replace(" ", f" {mark}").replace("-", f"-{mark}") for h in headings]
+    return F.regexp_extract(text, "(?s)(?:" + "|".join(words) + ")(.*)", 1)
 
 
 def section_requirements(text: Column) -> Column:
@@ -59,9 +64,9 @@ class SkillPatterns:
             for first, members in sorted(groups.items())
         )
         self.term = f"(?:{terms})(?!{X.WORD})"
-        self.hit = f"(?<!{X.WORD})(?={self.term})"
-        longest = max(len(a) for a in owners)
-        self.hit_ahead = self.hit + "(?=(.{1,%d}))" % (longest + vocab.CONTEXT_CHARS)
+        # The first, narrower test is the cheap one for most places inside a word.
+        self.hit = f"(?<![a-z0-9])(?<!{X.WORD})(?={self.term})"
+        self.longest = max(len(a) for a in owners)
         # alias -> every (skill, alias length) that starts where it starts
         self.at_start = {}
         for alias in owners:
@@ -84,67 +89,74 @@ def _context_label(context: Column) -> Column:
     )
 
 
-def hit_text(section: Column, collapsed: bool = False) -> Column:
-    """Lower-cased text as hits are searched in it; ``collapsed`` if it has no blank runs.
+def cut_at_hits(text: Column, patterns: SkillPatterns, collapsed: bool = False) -> Column:
+    """Lower-cased text with a mark at the start of every hit.
 
-    The leading blank keeps an alias at the very start from being cut off.
-    Collapsed text holds no line feed, so that can mark the cuts.
+    Collapsed text holds no line feed, so that is the mark. The leading blank
+    keeps an alias at the very start from having nothing before it.
     """
-    return F.concat(F.lit(" "), F.trim(section) if collapsed else X.clean_text(section))
+    plain = F.trim(text) if collapsed else X.clean_text(text)
+    return F.regexp_replace(F.concat(F.lit(" "), plain), patterns.hit, MARK)
 
 
-def hit_parts(text: Column, patterns: SkillPatterns) -> Column:
-    """Tails of the pieces between hits, and what follows each hit."""
-    n = vocab.CONTEXT_CHARS
-    tails = F.transform(
-        F.split(F.regexp_replace(text, patterns.hit, "\n"), "\n"),
-        lambda p, i: F.right(F.when(i == 0, p.substr(F.lit(2), F.length(p))).otherwise(p), F.lit(n)),
-    )
-    ahead = F.regexp_extract_all(text, F.lit(patterns.hit_ahead), F.lit(1))
-    return F.struct(tails.alias("tails"), ahead.alias("ahead"))
+def cut_section(cut: Column, headings: list[str], patterns: SkillPatterns) -> Column:
+    """Section of a text that is already cut, so that hits are searched only once.
 
+    Only one hit can differ: an alias that follows the heading without anything
+    between stands alone in the section but not in the text.
+    """
+    section = F.ltrim(_after_first(cut, headings, f"{MARK}?"))
+    glued = (section.rlike(f"^{X.WORD}")
+             & F.replace(section, F.lit(MARK), F.lit("")).rlike(f"^{patterns.term}"))
+    return F.concat(F.when(glued, f" {MARK}").otherwise(" "), section)
 
-def skill_hits(parts: Column, patterns: SkillPatterns) -> Column:
-    """All hits as array<struct<skill, label>>, in text order."""
-    # Bound to a lambda variable: a plain column would be worked out anew
-    # inside the lambda for every hit.
-    return F.flatten(F.transform(F.array(parts), lambda p: _hits_of(p, patterns)))
 
+def skill_hits(cut: Column, patterns: SkillPatterns) -> Column:
+    """All hits of a cut text as array<struct<skill, label>>, in text order.
 
-def _hits_of(parts: Column, patterns: SkillPatterns) -> Column:
-    """The left context of a hit is the tail of the pieces before it (a piece has
-    at least one character, so CONTEXT_CHARS pieces always suffice); the right
-    context was read ahead by the pattern. The work per hit is bounded, so it
-    grows with the text length and not with its square. Each step binds its
-    result to a lambda variable, so nothing is computed twice per hit.
+    The context of a hit is put together from the pieces around it. A piece has
+    at least one character, so a fixed number of pieces always suffices: the
+    work per hit is bounded and grows with the text length, not its square.
     """
-    n = vocab.CONTEXT_CHARS
+    n, ahead = vocab.CONTEXT_CHARS, vocab.CONTEXT_CHARS + patterns.longest
     starts_table = F.expr("map(" + ", ".join(
         f"{X.sql_literal(alias)}, array(" + ", ".join(
             f"named_struct('skill', {X.sql_literal(skill)}, 'length', {length})" for skill, length in starts) + ")"
         for alias, starts in sorted(patterns.at_start.items())) + ")")
-    tails = parts["tails"]
 
-    def locate(following: Column, i: Column) -> Column:
-        first = F.greatest(i - (n - 2), F.lit(1))
-        alias = F.translate(F.regexp_extract(following, "^" + patterns.term, 0), "ıſ", "is")
+    def ends(pieces: Column) -> Column:
         return F.struct(
-            F.right(F.array_join(F.slice(tails, first, i - first + 2), ""), F.lit(n)).alias("before"),
-            following.alias("following"),
-            F.try_element_at(starts_table, alias).alias("starts"),
-        )
+            F.transform(pieces, lambda p, i: F.right(
+                F.when(i == 0, p.substr(F.lit(2), F.length(p))).otherwise(p), F.lit(n))).alias("tails"),
+            F.transform(pieces, lambda p: F.left(p, F.lit(ahead))).alias("heads"))
+
+    def around(e: Column) -> Column:
+        """What stands before and after the start of each hit; hit i starts piece i + 1."""
+        def sides(_, i):
+            first = F.greatest(i - (n - 2), F.lit(1))
+            return F.struct(
+                F.right(F.array_join(F.slice(e["tails"], first, i - first + 2), ""), F.lit(n)).alias("before"),
+                F.left(F.array_join(F.slice(e["heads"], i + 2, ahead), ""), F.lit(ahead)).alias("following"))
+
+        return F.transform(F.slice(e["heads"], 2, F.size(e["heads"])), sides)
+
+    def named(hit: Column) -> Column:
+        alias = F.regexp_extract(hit["following"], "^" + patterns.term, 0)
+        return F.struct(hit["before"].alias("before"), hit["following"].alias("following"),
+                        F.try_element_at(starts_table, F.translate(alias, "ıſ", "is")).alias("starts"))
 
     def contexts(hit: Column) -> Column:
         return F.transform(hit["starts"], lambda s: F.struct(
             s["skill"].alias("skill"),
-            F.concat(hit["before"], hit["following"].substr(F.lit(1), s["length"] + n)).alias("context"),
-        ))
+            F.concat(hit["before"], hit["following"].substr(F.lit(1), s["length"] + n)).alias("context")))
 
-    located = F.transform(parts["ahead"], locate)
+    # Every step binds its result to a lambda variable: a plain column would be
+    # worked out anew inside the next lambda for every hit.
+    pieces = F.array(F.split(cut, MARK))
+    located = F.flatten(F.transform(F.transform(pieces, ends), around))
     return F.transform(
-        F.flatten(F.transform(located, contexts)),
-        lambda h: F.struct(h["skill"].alias("skill"), _context_label(h["context"]).alias("label")),
-    )
+        F.flatten(F.transform(F.transform(located, named), contexts)),
+        lambda h: F.struct(h["skill"].alias("skill"), _context_label(h["context"]).alias("label")))
 
 
 def skills_with_label(hits: Column, label: int) -> Column:
@@ -159,13 +171,12 @@ def skills_with_label(hits: Column, label: int) -> Column:
     return F.sort_array(found)
 
 
-def with_hits(df, sections: dict[str, Column], taxonomy: dict[str, list[str]] | None = None,
+def with_hits(df, name: str, text: Column, taxonomy: dict[str, list[str]] | None = None,
               collapsed: bool = False):
-    """Add one column of hits per section."""
+    """Add a column with the hits of a whole text."""
     patterns = SkillPatterns(taxonomy)
-    df = df.withColumns({name: hit_text(section, collapsed) for name, section in sections.items()})
-    df = df.withColumns({name: hit_parts(F.col(name), patterns) for name in sections})
-    return df.withColumns({name: skill_hits(F.col(name), patterns) for name in sections})
+    df = df.withColumn(name, cut_at_hits(text, patterns, collapsed))
+    return df.withColumn(name, skill_hits(F.col(name), patterns))
 
 
 def hit_rows(df, hits: str, *keys: str):
@@ -177,12 +188,17 @@ def hit_rows(df, hits: str, *keys: str):
 
 def with_skills(df, text: str, taxonomy: dict[str, list[str]] | None = None, collapsed: bool = False):
     """Add required_skills, preferred_skills and other_skills_found for a lowered text column."""
+    patterns = SkillPatterns(taxonomy)
     t = F.col(text)
-    hits = with_hits(df, {
-        "__req": section_requirements(t),
-        "__pref": section_preferred(t),
-        "__all": t,
-    }, taxonomy, collapsed)
+    headings = {"__req": vocab.REQUIREMENT_HEADINGS, "__pref": vocab.PREFERRED_HEADINGS}
+    cut = df.withColumn("__all", cut_at_hits(t, patterns, collapsed))
+    if collapsed:
+        sections = {n: cut_section(F.col("__all"), h, patterns) for n, h in headings.items()}
+    else:
+        # Headings are looked for before blanks are collapsed, so each section is cut by itself.
+        sections = {n: cut_at_hits(_after_first(t, h), patterns) for n, h in headings.items()}
+    cut = cut.withColumns(sections)
+    hits = cut.withColumns({n: skill_hits(F.col(n), patterns) for n in ["__all", *headings]})
     required = hits.withColumns({
         "required_skills": skills_with_label(F.col("__req"), REQUIRED),
         "__pref": skills_with_label(F.col("__pref"), PREFERRED),
@@ -231,14 +247,25 @@ def _education_pattern(phrase: str) -> str:
     return f"(?<!{X.WORD}){body}(?!{X.WORD})" if bounded else body
 
 
+# fixed values: letters of which each phrase of a level holds some (a cheap test first)
+_EDUCATION_LETTERS = {
+    "high_school": ["chool"],
+    "associate": ["degree"],
+    "bachelor": ["degree", "b.", "bsc", "bſc"],
+    "master": ["degree", "m.", "mba", "msc", "mſc"],
+    "phd": ["phd", "ph.d", "doctor"],
+}
+
+
 def education_required(text: Column) -> Column:
     """Lowest education level named in a text; NULL if none."""
     ordered = sorted(vocab.EDUCATION_PHRASES, key=vocab.EDUCATION_RANK.get)
-    return F.coalesce(*[
-        F.when(text.rlike("|".join(_education_pattern(p) for p in vocab.EDUCATION_PHRASES[level])),
-               F.lit(level))
-        for level in ordered
-    ])
+
+    def named(level):
+        pattern = "|".join(_education_pattern(p) for p in vocab.EDUCATION_PHRASES[level])
+        return X.any_contains(text, _EDUCATION_LETTERS[level]) & text.rlike(pattern)
+
+    return F.coalesce(*[F.when(named(level), F.lit(level)) for level in ordered])
 
 
 # --- seniority -----------------------------------------------------------------------

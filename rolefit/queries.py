@@ -337,7 +337,7 @@ def section_split(spark, sf_dir):
 @query
 def skill_hits(spark, sf_dir):
     """Hits per posting, skill and label in the whole text."""
-    rows = E.with_hits(texts(spark, sf_dir), {"hits": F.col("text")}, collapsed=True)
+    rows = E.with_hits(texts(spark, sf_dir), "hits", F.col("text"), collapsed=True)
     return E.hit_rows(rows, "hits", "job_uid").groupBy("job_uid", "skill", "label").agg(F.count("*").alias("n_hits"))
 
 

@@ -98,10 +98,31 @@ def test_skills_equal_an_independent_derivation(spark):
         assert got == derived_skills(text, vocab.SKILL_ALIASES), text
 
 
+def test_collapsed_texts_are_cut_once(spark):
+    texts = [re.sub(r"\s+", " ", t).strip() for t in random_texts(400, 9)]
+    texts += ["requirementssql required", "qualificationsrest api, plus", "requirements\u00e9sql", "preferredsales cycle bonus",
+              "requirements sql", "requirements", "nice-to-have git plus " + "z" * 130]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").withColumn("t", E.lowered(F.col("t")))
+    rows = E.with_skills(df, "t", collapsed=True).orderBy("i").collect()
+    for row, text in zip(rows, texts):
+        got = row["required_skills"], row["preferred_skills"], row["other_skills_found"]
+        assert got == derived_skills(text, vocab.SKILL_ALIASES), text
+
+
+def test_alias_that_is_part_of_a_heading(spark):
+    taxonomy = {"q": ["qualifications", "have"], "r": ["requirements"], "t": ["to"]}
+    texts = ["minimum qualifications have sql", "a nice to have, plus to", "minimum requirements requirements", "preferred qualifications to"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    rows = E.with_skills(df, "t", taxonomy, collapsed=True).orderBy("i").collect()
+    for row, text in zip(rows, texts):
+        got = row["required_skills"], row["preferred_skills"], row["other_skills_found"]
+        assert got == derived_skills(text, taxonomy), text
+
+
 def test_hits_equal_an_independent_derivation(spark):
     texts = random_texts(200, 8)
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
-    hits = E.with_hits(df, {"h": E.lowered(F.col("t"))}).orderBy("i").collect()
+    hits = E.with_hits(df, "h", E.lowered(F.col("t"))).orderBy("i").collect()
     for row, text in zip(hits, texts):
         assert sorted((h["skill"], h["label"]) for h in row["h"]) == sorted(derived_hits(text, vocab.SKILL_ALIASES))
 
@@ -110,7 +131,7 @@ def test_other_taxonomy_with_overlapping_aliases(spark):
     taxonomy = {"a": ["data science", "science"], "b": ["science fiction", "c++"], "c": ["data"], "d": ["fiction", ".net"]}
     texts = ["data science fiction required c++ .net", "science-fiction, data", "c++ c+++ x.net .net5 plus .net"]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
-    hits = E.with_hits(df, {"h": F.col("t")}, taxonomy).orderBy("i").collect()
+    hits = E.with_hits(df, "h", F.col("t"), taxonomy).orderBy("i").collect()
     for row, text in zip(hits, texts):
         assert sorted((h["skill"], h["label"]) for h in row["h"]) == sorted(derived_hits(text, taxonomy)), text
 
