@@ -31,6 +31,7 @@ from rolefit.operators import pairs as P
 from rolefit.operators import preferences as Pref
 from rolefit.operators.features import CANDIDATE_SIGNATURE, JOB_SIGNATURE
 from rolefit.session import fresh_path
+from rolefit.sources.payloads import PREFERENCES
 
 # Rows of one item per block on each side: a block is at most the square of it.
 BLOCK_ROWS = 1024
@@ -75,8 +76,16 @@ def job_signatures(jobs: DataFrame, signature: list[str], k: int) -> DataFrame:
         F.min("ord").alias("sid"), F.sort_array(F.collect_list("ord")).alias("members"))
 
 
-def candidate_groups(candidates: DataFrame, signature: list[str]) -> DataFrame:
-    return candidates.groupBy(*signature).agg(F.min("candidate_id").alias("gid"))
+def with_group(candidates: DataFrame) -> DataFrame:
+    """Add ``facets`` (preferences that restrict the jobs, else NULL), the score
+    threshold and ``gid``, equal for candidates with equal answers."""
+    p = F.col("preferences")
+    known = candidates.withColumns({
+        "facets": F.when(Pref.restricts_jobs(p), p),
+        "min_score": F.coalesce(p["min_score"], F.lit(0.0)),
+    })
+    return known.withColumn(
+        "gid", F.sha2(F.to_json(F.struct(*CANDIDATE_SIGNATURE, "facets")), 256))
 
 
 def _expand(best: DataFrame, keys: list[str], k: int) -> DataFrame:
@@ -304,10 +313,9 @@ def sharing_pairs(signatures: DataFrame, groups: DataFrame, k: int) -> DataFrame
 
 # --- recommendations ---------------------------------------------------------------------
 
-def best_jobs(jobs: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
-    """(candidate group, ord, score, rank): top k over all jobs."""
+def best_jobs(jobs: DataFrame, groups: DataFrame, k: int) -> DataFrame:
+    """(gid, ord, rank): top k over all jobs."""
     signatures = written(job_signatures(jobs, JOB_SIGNATURE, k), "signatures")
-    groups = written(with_candidate_class(candidate_groups(candidates, CANDIDATE_SIGNATURE)), "groups")
     lists = written(class_lists(job_classes(signatures, k), groups, k), "class-lists")
     floored = groups.join(thresholds(lists, k), CANDIDATE_CLASS)
     shared = _expand(sharing_pairs(signatures, floored, k), ["gid"], k).drop("rank")
@@ -315,20 +323,17 @@ def best_jobs(jobs: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
         "gid", "score", "ord")
     # A job found both ways counts with its true score, the higher one.
     each = shared.unionByName(by_class).groupBy("gid", "ord").agg(F.max("score").alias("score"))
-    best = top_k(each, ["gid"], _best_first("ord"), k)
-    return groups.select("gid", *CANDIDATE_SIGNATURE).join(best, "gid")
+    return top_k(each, ["gid"], _best_first("ord"), k).drop("score")
 
 
-def best_preferred_jobs(jobs: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
-    """Top k for candidates whose preferences restrict the jobs.
+def best_preferred_jobs(jobs: DataFrame, groups: DataFrame, k: int) -> DataFrame:
+    """(gid, ord, rank): top k for groups whose preferences restrict the jobs.
 
     A preference is looked up by the keys of one of its tests; the other tests
     and the score follow in the same step, and each task keeps k rows per group.
     """
-    facets = [*JOB_SIGNATURE, *Pref.FACETS]
-    signatures = job_signatures(Pref.with_facets(jobs), facets, k)
-    groups = candidate_groups(candidates, [*CANDIDATE_SIGNATURE, "preferences"])
-    p = F.col("preferences")
+    signatures = job_signatures(Pref.with_facets(jobs), [*JOB_SIGNATURE, *Pref.FACETS], k)
+    p = F.col("facets")
     keyed_groups = groups.withColumn("keys", Pref.preference_keys(p)).select(
         "*", F.explode("keys").alias("key"))
     keyed_jobs = Pref.with_job_keys(signatures, keyed_groups.select("key").distinct())
@@ -338,7 +343,7 @@ def best_preferred_jobs(jobs: DataFrame, candidates: DataFrame, k: int) -> DataF
     passing = met.filter(Pref.job_passes(p)).filter(F.col("key") == first_key)
     scored = settled(P.with_score(passing), "score").filter(Pref.score_passes(p))
     best = top_k(scored.select("gid", "sid", "members", "score"), ["gid"], _best_first("sid"), k)
-    return groups.join(_expand(best, ["gid"], k), "gid")
+    return _expand(best, ["gid"], k).drop("score")
 
 
 # fixed values: limits of a request
@@ -356,40 +361,28 @@ def recommend(jobs: DataFrame, candidates: DataFrame, k: int = DEFAULT_TOP_K) ->
     """
     if not 1 <= k <= MAX_TOP_K:
         raise ValueError(f"top_k must be 1..{MAX_TOP_K}")
-    display = ["job_id", "title", "company", "location", "workplace_type"]
-    if "preferences" not in candidates.columns:
-        return _for_candidates(best_jobs(jobs, candidates, k), jobs, candidates,
-                               CANDIDATE_SIGNATURE, display)
+    with_preferences = "preferences" in candidates.columns
+    if not with_preferences:
+        candidates = candidates.withColumn("preferences", F.lit(None).cast(PREFERENCES))
     prepared = candidates.withColumn("preferences", Pref.prepared(F.col("preferences")))
-    restricted = Pref.restricts_jobs(F.col("preferences"))
-    free = prepared.filter(~restricted).withColumn(
-        "min_score", F.coalesce("preferences.min_score", F.lit(0.0)))
-    # A threshold alone cuts the end of a list: the order does not depend on it.
-    open_part = _for_candidates(best_jobs(jobs, free, k), jobs, free,
-                                CANDIDATE_SIGNATURE, display, ["min_score"])
-    open_part = open_part.filter(F.col("score") >= F.col("min_score")).drop("min_score")
-    bound = prepared.filter(restricted)
-    bound_part = _for_candidates(best_preferred_jobs(jobs, bound, k), jobs, bound,
-                                 [*CANDIDATE_SIGNATURE, "preferences"], display)
-    return open_part.unionByName(bound_part)
-
-
-def _for_candidates(best: DataFrame, jobs: DataFrame, candidates: DataFrame, signature: list[str],
-                    display: list[str], carry: list[str] | None = None) -> DataFrame:
-    """Complete the chosen (group, job) pairs and hand them to the group's candidates."""
-    chosen = best.drop("score").join(jobs, "ord")
-    told = P.with_explanation(P.with_hard_filters(P.with_score(chosen)))
+    people = written(with_candidate_class(with_group(prepared)).drop("preferences"), "candidates")
+    groups = written(people.drop("candidate_id", "min_score").distinct(), "groups")
+    chosen = best_jobs(jobs, groups.filter(F.col("facets").isNull()), k)
+    if with_preferences:
+        chosen = chosen.unionByName(best_preferred_jobs(jobs, groups.filter(F.col("facets").isNotNull()), k))
+    pairs = written(chosen, "chosen").join(groups.select("gid", *CANDIDATE_SIGNATURE), "gid").join(jobs, "ord")
+    told = P.with_explanation(P.with_hard_filters(P.with_score(pairs)))
     rows = told.select(
-        *signature, "rank", "ord", *display, "score", "fit_label", "hard_filters_passed",
+        "gid", "rank", "ord", "job_id", "title", "company", "location", "workplace_type",
+        "score", "fit_label", "hard_filters_passed",
         F.col("explanation.matched_required_skills").alias("matched_required_skills"),
         F.col("explanation.missing_required_skills").alias("missing_required_skills"),
         F.col("explanation.recommendations").alias("recommendations"),
     )
-    members = candidates.select("candidate_id", *signature, *(carry or []))
-    same = [members[c].eqNullSafe(rows[c]) for c in signature]
-    condition = same[0]
-    for test in same[1:]:
-        condition = condition & test
-    joined = members.join(rows, condition)
-    return joined.select("candidate_id", *(carry or []), *[rows[c] for c in rows.columns
-                                                           if c not in signature])
+    for_people = people.select("candidate_id", "gid", "min_score")
+    if with_preferences:
+        # A threshold cuts the end of a list: the order does not depend on it.
+        matched = for_people.join(settled(rows, "score"), "gid").filter(F.col("score") >= F.col("min_score"))
+    else:
+        matched = for_people.join(rows, "gid")
+    return matched.drop("gid", "min_score")
