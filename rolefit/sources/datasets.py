@@ -112,17 +112,19 @@ def match_ready(df: DataFrame) -> DataFrame:
 
     Alternative column names are tried in order. For years, education and
     seniority the first column that exists decides, even where it is empty.
+    Files have no row order: a table without ``ord`` is ordered by job id.
     """
     def column_that_exists(*names):
         return column_or_null(df, next((n for n in names if n in df.columns), names[0]))
 
-    extra = [c for c in ["ord"] if c in df.columns]
+    job_id = _first_given(df, "job_id", "job_uid")
+    order = F.col("ord") if "ord" in df.columns else job_id
     years = column_that_exists("years_experience_required", "years_experience_extracted")
     edu = column_that_exists("education_required", "education_extracted").cast("string")
     sen = column_that_exists("seniority", "seniority_inferred").cast("string")
     out = df.select(
-        *extra,
-        _first_given(df, "job_id", "job_uid").alias("job_id"),
+        order.alias("ord"),
+        job_id.alias("job_id"),
         _first_given(df, "title", "title_raw", "title_normalized").alias("title"),
         _first_given(df, "company", "source_company").alias("company"),
         _first_given(df, "location", "location_normalized", "location_raw").alias("location"),

@@ -58,10 +58,11 @@ def read_payloads(spark: SparkSession, path: str, feed: str) -> DataFrame:
 def write_raw_snapshot(rows: DataFrame, base: str, feed: str, run_ts: str) -> None:
     """Raw rows of one run as JSON lines, one folder per run, feed and board.
 
-    Lines split across readers and a large board is spread over many files, as
-    its rows were; the position column keeps the payload order.
+    Lines split across readers. Rows are rebalanced by board, so that a run does
+    not leave a file per board and task; a board with very many rows is still
+    spread over several files. The position column keeps the payload order.
     """
-    (rows.withColumns({"run_ts": F.lit(run_ts), "source": F.lit(feed),
+    (rows.hint("rebalance", "board").withColumns({"run_ts": F.lit(run_ts), "source": F.lit(feed),
                        "source_company": F.col("board")})
      .drop("board").write.mode("append")
      .partitionBy("run_ts", "source", "source_company").json(base))

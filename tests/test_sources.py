@@ -122,7 +122,7 @@ def test_match_ready_first_existing_column_decides(spark):
     rows = Ds.match_ready(df).orderBy("job_id").collect()
     assert [(r["job_id"], r["title"], r["required_skills"], r["years_experience_required"]) for r in rows] == [
         ("u1", "T", ["sql"], None), ("u2", "norm", ["a", "b"], 2)]
-    assert rows[0]["domains"] == [] and rows[0]["company"] == ""
+    assert rows[0]["domains"] == [] and rows[0]["company"] == "" and rows[0]["ord"] == "u1"
 
 
 def test_payload_scan(spark, tmp_path):
