@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rolefit.functions import text as X
+from rolefit.operators.pairs import settled
 
 GRAM = 3
 
@@ -58,8 +59,12 @@ def score_passes(p: Column) -> Column:
 
 
 def preference_filter(pairs: DataFrame, p: Column) -> DataFrame:
-    """Scored pairs that pass; no preferences keep every pair."""
-    return pairs.filter(job_passes(p) & score_passes(p))
+    """Scored pairs that pass; no preferences keep every pair.
+
+    The tests on the job alone move below the scoring, so that only the pairs
+    that pass them are scored.
+    """
+    return settled(pairs.filter(job_passes(p)), "score").filter(score_passes(p))
 
 
 # --- join keys ---------------------------------------------------------------------

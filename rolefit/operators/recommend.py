@@ -47,16 +47,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def settled(df: DataFrame, *names: str) -> DataFrame:
-    """Fix columns that filters use next.
-
-    The one-row generator keeps the optimizer from copying their expressions
-    into the filters, where they would be evaluated again and again.
-    """
-    rest = [c for c in df.columns if c not in names]
-    return df.select(*rest, F.inline(F.array(F.struct(*names))))
-
-
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
     """First k rows per key. Spark limits each group in every task before the shuffle."""
     w = Window.partitionBy(*keys).orderBy(*order)
@@ -305,8 +295,8 @@ def sharing_pairs(signatures: DataFrame, groups: DataFrame, k: int) -> DataFrame
                                for f, (job, have) in FAMILIES.items()})
     counted = shared.withColumns({
         "__once": _first_shared(), **{f"{f}_hits": F.size(f"__{f}") for f in FAMILIES}})
-    once = settled(counted, "__once").filter("__once")
-    scored = settled(P.score_from_counts(once), "score").filter(F.col("score") >= F.col("floor"))
+    once = P.settled(counted, "__once").filter("__once")
+    scored = P.settled(P.score_from_counts(once), "score").filter(F.col("score") >= F.col("floor"))
     best = top_k(scored.select("gid", "sid", "score"), ["gid"], _best_first("sid"), k)
     return best.drop("rank").join(signatures.select("sid", "members"), "sid")
 
@@ -341,7 +331,7 @@ def best_preferred_jobs(jobs: DataFrame, groups: DataFrame, k: int) -> DataFrame
     # A job may carry several keys of one preference: it is taken at the first.
     first_key = F.try_element_at(F.filter("keys", Pref.key_fits_job), F.lit(1))
     passing = met.filter(Pref.job_passes(p)).filter(F.col("key") == first_key)
-    scored = settled(P.with_score(passing), "score").filter(Pref.score_passes(p))
+    scored = P.settled(P.with_score(passing), "score").filter(Pref.score_passes(p))
     best = top_k(scored.select("gid", "sid", "members", "score"), ["gid"], _best_first("sid"), k)
     return _expand(best, ["gid"], k).drop("score")
 
@@ -382,7 +372,7 @@ def recommend(jobs: DataFrame, candidates: DataFrame, k: int = DEFAULT_TOP_K) ->
     for_people = people.select("candidate_id", "gid", "min_score")
     if with_preferences:
         # A threshold cuts the end of a list: the order does not depend on it.
-        matched = for_people.join(settled(rows, "score"), "gid").filter(F.col("score") >= F.col("min_score"))
+        matched = for_people.join(P.settled(rows, "score"), "gid").filter(F.col("score") >= F.col("min_score"))
     else:
         matched = for_people.join(rows, "gid")
     return matched.drop("gid", "min_score")
