@@ -59,11 +59,21 @@ def _best_first(order: str) -> list[Column]:
 
 # --- signatures ----------------------------------------------------------------------
 
+def _as_key(df: DataFrame) -> DataFrame:
+    """Years as text while they are part of a key: a floating-point key is
+    normalised by each operator anew, and then shuffled anew."""
+    return df.withColumn("j_years", F.col("j_years").cast("string"))
+
+
+def _as_number(df: DataFrame) -> DataFrame:
+    return df.withColumn("j_years", F.col("j_years").cast("double"))
+
+
 def job_signatures(jobs: DataFrame, signature: list[str], k: int) -> DataFrame:
     """One row per signature: ``sid`` (its first job) and its first k jobs."""
-    firsts = top_k(jobs.select(*signature, "ord"), signature, [F.asc("ord")], k)
-    return firsts.groupBy(*signature).agg(
-        F.min("ord").alias("sid"), F.sort_array(F.collect_list("ord")).alias("members"))
+    firsts = top_k(_as_key(jobs.select(*signature, "ord")), signature, [F.asc("ord")], k)
+    return _as_number(firsts.groupBy(*signature).agg(
+        F.min("ord").alias("sid"), F.sort_array(F.collect_list("ord")).alias("members")))
 
 
 def with_group(candidates: DataFrame) -> DataFrame:
@@ -110,9 +120,9 @@ def job_classes(signatures: DataFrame, k: int) -> DataFrame:
     }
     rows = signatures.select(*[c.alias(n) for n, c in columns.items()],
                              F.explode("members").alias("ord"))
-    firsts = top_k(rows, list(columns), [F.asc("ord")], k)
-    classes = firsts.groupBy(*columns).agg(
-        F.min("ord").alias("cid"), F.sort_array(F.collect_list("ord")).alias("members"))
+    firsts = top_k(_as_key(rows), list(columns), [F.asc("ord")], k)
+    classes = _as_number(firsts.groupBy(*columns).agg(
+        F.min("ord").alias("cid"), F.sort_array(F.collect_list("ord")).alias("members")))
     return classes.withColumns({**_from_state("j_edu", "j_edu_state"),
                                 **_from_state("j_sen", "j_sen_state")})
 
@@ -122,7 +132,7 @@ CANDIDATE_CLASS = ["c_years_key", "c_edu_state", "c_sen_state", "n_cand_dom"]
 
 def with_candidate_class(groups: DataFrame) -> DataFrame:
     return groups.withColumns({
-        "c_years_key": F.coalesce("c_years", F.lit(-1.0)),  # years are never negative
+        "c_years_key": F.coalesce(F.col("c_years").cast("string"), F.lit("")),
         "c_edu_state": _state(F.col("c_edu"), F.col("c_edu_rank")),
         "c_sen_state": _state(F.col("c_sen"), F.col("c_sen_rank")),
         "n_cand_dom": F.least(F.size("c_dom"), F.lit(1)),
@@ -144,7 +154,7 @@ def class_lists(classes: DataFrame, groups: DataFrame, k: int) -> DataFrame:
     )
     met = wanted.join(laid_out, ["c_edu_state", "c_sen_state", "n_cand_dom"]).withColumns({
         **_from_state("c_edu", "c_edu_state"), **_from_state("c_sen", "c_sen_state"),
-        "c_years": F.when(F.col("c_years_key") >= 0, F.col("c_years_key")),
+        "c_years": F.col("c_years_key").try_cast("double"),
         "req_hits": F.lit(0), "pref_hits": F.lit(0), "dom_hits": F.lit(0),
     })
     scored = P.score_from_counts(met).select(*CANDIDATE_CLASS, "cid", "members", "score")
