@@ -1,7 +1,7 @@
 """Top-k jobs per candidate without looking at every pair.
 
-The reference semantics score every job for a candidate and keep the best k.
-Here three exact facts make that feasible for many candidates and many jobs:
+By definition every job is scored for a candidate and the best k are kept. Three
+exact facts make that feasible for many candidates and many jobs:
 
 1. The score depends on a job only through its *signature* (skill and domain
    sets, years, education, seniority), and ties go to the earlier job. So only
