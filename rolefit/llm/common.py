@@ -21,8 +21,8 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def reach_package(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it, if it is not installed or shipped."""
+def prepare(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it, if it is neither installed nor shipped."""
     here = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(":") if p]

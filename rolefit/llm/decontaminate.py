@@ -151,10 +151,9 @@ def contained(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id
     return found.select(F.col("doc").alias(doc_id), F.col("item").alias(item_id if item_id != doc_id else free_name(texts, item_id + "_item")), "n_shared", "n_shingles")
 
 
-def clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", size: int = 5, share: float = 0.8) -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 5, share: float = 0.8) -> DataFrame:
     """The rows of `docs` that contain no item; all columns pass through."""
-    key = free_name(docs, "body")
-    keyed = docs.select(F.md5(F.col(text).cast("binary")).alias(key), F.col(text))
-    found = contained(keyed, items, key, item_id, text, "text", size, share)
-    gone = found.select(key).distinct().withColumnRenamed(key, key + "_gone")
-    return docs.join(gone, F.md5(docs[text].cast("binary")) == gone[key + "_gone"], "left_anti")
+    body = F.md5(F.col(text).cast("binary"))
+    found = contained(docs.select(body.alias("body"), F.col(text).alias("text")), items, "body", item_id, "text", item_text, size, share)
+    gone = free_name(docs, "gone")
+    return docs.join(found.select(F.col("body").alias(gone)).distinct(), body == F.col(gone), "left_anti")

@@ -8,14 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, neighbours, repeats, secret_scan, simhash, toxicity, urls
-from .common import fit_sample, fold, reach_package
+from . import bpe, decontaminate, langid, lines, neighbours, repeats, secret_scan, simhash, toxicity, urls
+from .common import fit_sample, fold, prepare
+from .oracles import ORACLES as ORACLES
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    reach_package(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -69,6 +70,11 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), size=5, share=0.8)
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.remove_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), share=0.8)
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
+
+
 def list_history(pages: DataFrame) -> DataFrame:
     """Dated list entries taken from the pages: of half of the hosts and host sections, each with up to three changes."""
     def day(n):
@@ -108,8 +114,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_embedding_near_dedup, op3_substring_dedup, op4_byte_bpe, op5_simhash, op6_secrets, op7_decontamination,
-        op9_url_filter, op10_language_id,
+        op8_line_dedup, op9_url_filter, op10_language_id,
     )
 }
-
-ORACLES: dict[str, str] = {}

@@ -31,7 +31,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 SENSITIVE = re.compile(r"passw|passphrase|pwd|secret|token|api_?key|private_?key|credential|bearer|auth|akia", re.A | re.I)
 REACH = 96
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.~-]{16,}")
-IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]{2,31}")
+#: The parts of identifiers that go to the dictionary: runs of letters, which random strings have short ones of.
+PART = re.compile(r"[A-Za-z]{3,24}")
 
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 
@@ -91,10 +92,7 @@ class Novelty:
 
 
 def identifiers(df: DataFrame, text: str, at_most: int) -> bytes:
-    """The commonest identifiers around sensitive words, of the whole corpus, as a dictionary of bounded size.
-
-    Strings that hold a digit and a run of 16 characters are not taken, or a repeated secret would hide itself.
-    """
+    """The commonest parts of identifiers around sensitive words, of the whole corpus, as a dictionary of bounded size."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,7 +101,7 @@ def identifiers(df: DataFrame, text: str, at_most: int) -> bytes:
                 t = t.as_py()
                 if t and may_hold(t):
                     for low, high in neighbourhoods(t):
-                        counts.update(w for w in IDENTIFIER.findall(t, low, high) if len(w) < 16 or not re.search("[0-9]", w))
+                        counts.update(PART.findall(t, low, high))
             yield pa.RecordBatch.from_pydict({"word": pa.array(list(counts), pa.string()), "n": pa.array(list(counts.values()), pa.int64())})
 
     top = (
@@ -113,7 +111,7 @@ def identifiers(df: DataFrame, text: str, at_most: int) -> bytes:
     return " ".join(r["word"] for r in reversed(top)).encode()  # zstandard reaches the end of a dictionary most cheaply
 
 
-def find_secrets(df: DataFrame, text: str = "text", out: str = "secrets", words: int = 2000, level: int = 3, share: float = 0.5) -> DataFrame:
+def find_secrets(df: DataFrame, text: str = "text", out: str = "secrets", words: int = 2000, level: int = 3, share: float = 0.8) -> DataFrame:
     """`df` with `out`: spans (kind, start, end) by start, then kind; code points, end exclusive.
 
     `words` bounds the identifier dictionary; a string is new if it adds at least `share` bytes a character.

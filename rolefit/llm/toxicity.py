@@ -60,8 +60,8 @@ class Ftrl:
         self.n[at] = more
 
 
-def fit(labelled: DataFrame, text: str, label: str, bits: int = 20, passes: int = 3, alpha: float = 0.3,
-        beta: float = 1.0, l1: float = 1.0, l2: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+def fit(labelled: DataFrame, text: str, label: str, bits: int = 20, passes: int = 6, alpha: float = 3.0,
+        beta: float = 1.0, l1: float = 4.0, l2: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
     """Coordinates and weights other than zero, from `labelled`, a bounded sample; one task learns them in one order."""
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
