@@ -26,7 +26,7 @@ from .common import with_new
 from .kernel import Generations
 
 #: Cached matches of one worker (twice this number at most), and the longest cached match in characters.
-CACHED, CACHED_LENGTH = 250_000, 64
+CACHED, CACHED_LENGTH = 120_000, 64
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

@@ -9,6 +9,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_BYTES = 4 << 20
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; a temporary one only for a local master without that setting."""
@@ -22,7 +24,12 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it, if it is neither installed nor shipped."""
+    """Two settings of the session that the operators need.
+
+    Arrow batches are bounded by bytes, since whole texts differ much in length; and Python workers may import this
+    package from where the driver has it, if it is neither installed nor shipped.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     here = str(Path(__file__).resolve().parents[2])
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(":") if p]
