@@ -6,17 +6,20 @@ same document. Lines without words are never removed.
 
 1. Words are counted over all texts in a table of fixed size by their hash. Every line's tokens are ordered by that count,
    rarest first, then by the hash: one order for all lines.
-2. Lines with the same tokens form a class, which its first line stands for.
+2. Lines with the same tokens form a class, which its first line stands for; the others are removed.
 3. Prefix filter: two similar lines share a token among the first n - ceil(share * n) + 1 of each; each first line goes to
-   each token of its prefix. Where they meet, pairs are dropped by length, by the position of the shared token, and by the
-   parity bits of their tokens (bits that differ cannot be more than tokens that differ). All three lose no similar pair.
-4. Of the pairs that are left, each line keeps the earliest for each token: one similar line is enough. Their tokens are
-   fetched and the Jaccard similarity verified. Lines that failed but have further candidates try all of these next.
-5. The removed lines' numbers go back to the texts.
+   each token of its prefix. Where they meet, pairs are dropped by length, by the position of the shared token, and by a
+   sketch of parity bits, about as many as tokens (bits that differ cannot be more than tokens that differ). All three
+   lose no similar pair.
+4. Of the pairs that are left, each line keeps the earliest for each token: one similar line is enough. The candidate met at
+   most tokens is verified first: the tokens of both are fetched and the Jaccard similarity is worked out. Lines without
+   success try their other candidates, and at last all those that step 3 left out.
+5. The removed lines' numbers go back to the texts that lose lines; the others are not shuffled.
 
 A prefix token above `limit` lines is dealt in blocks that meet in pairs, so no task gets a hot token whole.
 
-Lines with the same id and number (repeated rows) do not stand earlier than each other, so both stay. Null texts stay null,
+Lines with the same id and number (repeated rows) do not stand earlier than each other, so both stay; texts that share an
+id are told apart by 32 bits of a hash. Null texts stay null,
 with no lines; an empty text has none either. Columns of the same name as a result are replaced, others pass through; an
 empty table gives an empty one.
 """
@@ -28,7 +31,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -108,8 +111,29 @@ def _spots(number: np.ndarray, body: np.ndarray) -> np.ndarray:
     return number.astype(np.int64) << 32 | (body & 0xFFFFFFFF)
 
 
+def _parity(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """32 bits of each line, each the parity of the tokens that fall on it."""
+    return np.bitwise_xor.reduceat(np.uint32(1) << (values & np.uint64(31)).astype(np.uint32), first) if len(first) else np.zeros(0, np.uint32)
+
+
+def _sketches(values: np.ndarray, first: np.ndarray) -> pa.Array:
+    """Parity bits of each line: 64 or a larger power of two, at least three for four tokens."""
+    n = np.diff(first)
+    words = 1 << np.maximum(0, np.ceil(np.log2(np.maximum(1, 0.75 * n / 64))).astype(np.int64))
+    ends = np.concatenate(([0], np.cumsum(words)))
+    of = np.repeat(np.arange(len(n)), n)
+    bit = (values & (words[of].astype(np.uint64) * np.uint64(64) - np.uint64(1))).astype(np.int64)
+    flat = np.zeros(ends[-1], "<u8")
+    np.bitwise_xor.at(flat, ends[of] + (bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((ends * 8).astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
+
+
+LEADING = "o bigint, spot bigint, s1 bigint, s2 bigint, sketch binary, prefix array<int>, later array<struct<o:bigint,spot:bigint>>"
+
+
 def _rows(docs: DataFrame, rank, share: float) -> DataFrame:
-    """(o, spot, s1, s2, n, prefix) of every line with words; prefix is null where an earlier line of the part has its tokens."""
+    """A row for the first line of each class in a part of a batch: its place, a hash of the tokens (s1), their number and
+    parity (s2), the sketch, the prefix, and the places of the part's other lines of that class."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,19 +146,21 @@ def _rows(docs: DataFrame, rank, share: float) -> DataFrame:
                 o, spot = os[first + lines.text], _spots(lines.number, bodies[first + lines.text])
                 start = lines.first[:-1]
                 s1 = np.add.reduceat(mix(lines.values), start).view(np.int64)
-                s2 = np.bitwise_xor.reduceat(np.uint64(1) << (lines.values & np.uint64(63)), start).view(np.int64)
-                order = np.lexsort((spot, o, n, s2, s1))
-                same = (s1[order][1:] == s1[order][:-1]) & (s2[order][1:] == s2[order][:-1]) & (n[order][1:] == n[order][:-1])
-                leads = np.zeros(len(n), bool)
-                leads[order[np.concatenate(([True], ~same))]] = True
-                size = np.where(leads, n - np.ceil(share * n - 1e-9).astype(np.int64) + 1, 0)
-                at = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                prefix = pa.ListArray.from_arrays(
-                    pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32), mask=np.append(~leads, False)), pa.array(lines.values[at].astype(np.uint32).view(np.int32))
-                )
-                yield pa.RecordBatch.from_arrays([pa.array(o), pa.array(spot), pa.array(s1), pa.array(s2), pa.array(n.astype(np.int64)), prefix], ["o", "spot", "s1", "s2", "n", "prefix"])
-
-    return docs.select("o", "body", "text").mapInArrow(found, "o bigint, spot bigint, s1 bigint, s2 bigint, n bigint, prefix array<int>")
+                s2 = n.astype(np.int64) << 32 | _parity(lines.values, start)
+                order = np.lexsort((spot, o, s2, s1))
+                lead = np.flatnonzero(np.concatenate(([True], (s1[order][1:] != s1[order][:-1]) | (s2[order][1:] != s2[order][:-1]))))
+                mine = order[lead]
+                size = n[mine] - np.ceil(share * n[mine] - 1e-9).astype(np.int64) + 1
+                at = np.repeat(start[mine] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                prefix = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32)), pa.array(lines.values[at].astype(np.uint32).view(np.int32)))
+                rest = np.delete(order, lead)
+                ends = np.append(lead, len(order)) - np.arange(len(lead) + 1)  # without the leading lines themselves
+                places = pa.StructArray.from_arrays([pa.array(o[rest]), pa.array(spot[rest])], ["o", "spot"])
+                later = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), places)
+                sketches = _sketches(lines.values, lines.first).take(pa.array(mine))
+                yield pa.RecordBatch.from_arrays([pa.array(x[mine]) for x in (o, spot, s1, s2)] + [sketches, prefix, later], ["o", "spot", "s1", "s2", "sketch", "prefix", "later"])
+
+    return docs.select("o", "body", "text").mapInArrow(found, LEADING)
 
 
 def _prefix_hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
@@ -142,13 +168,17 @@ def _prefix_hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
 
 
 def _entries(firsts: DataFrame, crowds, limit: int) -> DataFrame:
-    """(route, o, spot, shape, s2) for each prefix token of each first line; route is the token and a pair of its blocks."""
+    """(route, o, spot, shape, sketch) for each prefix token of each first line.
+
+    route is the token and a pair of its blocks; shape is the line's number of tokens, the place of the token, and the
+    side in a pair of different blocks.
+    """
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks_of = np.minimum(-(-crowds.value // limit), 1 << 15)
         for batch in batches:
-            o, spot, s2, n = (batch.column(k).to_numpy() for k in range(4))
-            lists = batch.column(4)
+            o, spot, s2 = (batch.column(k).to_numpy() for k in range(3))
+            sketches, lists = batch.column(3), batch.column(4)
             size = lists.value_lengths().to_numpy()
             row = np.repeat(np.arange(len(o)), size)
             i = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
@@ -161,49 +191,73 @@ def _entries(firsts: DataFrame, crowds, limit: int) -> DataFrame:
             low, high = np.minimum(own, other), np.maximum(own, other)
             side = (own == high) & (low != high)
             route = ((token - (1 << 31)) << 32) + (low << 16) + high
-            shape = n[row] << 32 | i << 1 | side
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (route, o[row], spot[row], shape, s2[row])], ["route", "o", "spot", "shape", "s2"])
+            shape = s2[row] >> 32 << 32 | i << 1 | side
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (route, o[row], spot[row], shape)] + [sketches.take(pa.array(row))], ["route", "o", "spot", "shape", "sketch"])
 
-    return firsts.select("o", "spot", "s2", "n", "prefix").mapInArrow(found, "route bigint, o bigint, spot bigint, shape bigint, s2 bigint")
+    return firsts.select("o", "spot", "s2", "sketch", "prefix").mapInArrow(found, "route bigint, o bigint, spot bigint, shape bigint, sketch binary")
 
 
 class Meeting:
     """Rows of some routes, sorted by route and place, and the filters on pairs of them."""
 
     def __init__(self, batch: pa.RecordBatch, share: float):
-        self.route, self.o, self.spot, shape, s2 = (batch.column(k).to_numpy() for k in range(5))
-        self.s2, self.share = s2.view(np.uint64), share
+        self.route, self.o, self.spot, shape = (batch.column(k).to_numpy() for k in range(4))
+        self.share = share
         self.n, self.i, self.side = shape >> 32, (shape >> 1) & 0x7FFFFFFF, shape & 1
         self.crossed = (self.route & 0xFFFF) != ((self.route >> 16) & 0xFFFF)
+        sketches = batch.column(4)
+        offsets = np.frombuffer(sketches.buffers()[1], np.int32)[sketches.offset : sketches.offset + len(sketches) + 1].astype(np.int64) >> 3
+        data = sketches.buffers()[2]
+        self.words = np.frombuffer(data, "<u8", data.size >> 3)
+        self.at, self.size = offsets[:-1], np.diff(offsets)
+        self.short = np.bitwise_xor.reduceat(self.words, self.at) if len(self.at) else self.words[:0]
 
     def may(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Whether row x can be an earlier similar line of row y."""
         nx, ny, ix, iy, t = self.n[x], self.n[y], self.i[x], self.i[y], self.share
         earlier = (self.o[x] < self.o[y]) | (self.spot[x] >> 32 < self.spot[y] >> 32)  # in one route, x stands before y
         blocks = ~self.crossed[y] | (self.side[x] != self.side[y])
-        length = np.minimum(nx, ny) >= t * np.maximum(nx, ny) - 1e-9
         both = nx + ny
+        length = np.minimum(nx, ny) >= t * np.maximum(nx, ny) - 1e-9
         place = np.minimum(ix, iy) + np.minimum(nx - ix, ny - iy) >= t / (1 + t) * both - 1e-9
-        parity = np.bitwise_count(self.s2[x] ^ self.s2[y]) <= both * ((1 - t) / (1 + t)) + 1e-9
-        return earlier & blocks & length & place & parity
+        most = both * ((1 - t) / (1 + t)) + 1e-9
+        ok = earlier & blocks & length & place & (np.bitwise_count(self.short[x] ^ self.short[y]) <= most)
+        left = np.flatnonzero(ok & ((self.size[x] > 1) & (self.size[y] > 1)))
+        sizes = self.size[x[left]] << 32 | self.size[y[left]]
+        for pair in np.unique(sizes).tolist():
+            mine = left[sizes == pair]
+            size = min(pair >> 32, pair & 0xFFFFFFFF)
+            for k in range(0, len(mine), max(1, (1 << 20) // (2 * size))):
+                some = mine[k : k + max(1, (1 << 20) // (2 * size))]
+                bits = np.bitwise_count(self._folded(x[some], pair >> 32, size) ^ self._folded(y[some], pair & 0xFFFFFFFF, size))
+                ok[some] &= bits.sum(axis=1, dtype=np.int64) <= most[some]
+        return ok
+
+    def _folded(self, rows: np.ndarray, size: int, to: int) -> np.ndarray:
+        """Sketches of `size` words, as the sketches of `to` words that the same tokens have."""
+        words = self.words[self.at[rows][:, None] + np.arange(size)]
+        return np.bitwise_xor.reduce(words.reshape(len(rows), size // to, to), axis=1)
 
     def pairs(self, every: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(x, y, whether y has more): the earliest x of each y, or every x of the rows marked in `every`."""
         total = len(self.route)
         cuts = np.concatenate(([0], np.flatnonzero(np.diff(self.route)) + 1, [total]))
         size = np.diff(cuts)
-        small = np.repeat(size <= LAGS + 1, size)
-        place = np.arange(total) - np.repeat(cuts[:-1], size)
         best, number = np.full(total, -1), np.zeros(total, np.int64)
-        for lag in range(1, min(LAGS, int(size.max(initial=1)) - 1) + 1):
-            y = np.flatnonzero(small & (place >= lag) & (True if every is None else every))
-            x = y - lag
-            ok = self.may(x, y)
+        place = np.arange(total) - np.repeat(cuts[:-1], size)
+        place[np.repeat(size > LAGS + 1, size)] = 0
+        ys = np.flatnonzero(place if every is None else place * every)
+        for lag in range(1, LAGS + 1):
+            ys = ys[place[ys] >= lag]
+            if not len(ys):
+                break
+            xs = ys - lag
+            ok = self.may(xs, ys)
             if every is None:
-                best[y[ok]] = x[ok]
-                number[y[ok]] += 1
+                best[ys[ok]] = xs[ok]
+                number[ys[ok]] += 1
             else:
-                yield x[ok], y[ok], np.zeros(ok.sum(), bool)
+                yield xs[ok], ys[ok], np.zeros(ok.sum(), bool)
         for a, b in zip(cuts[:-1][size > LAGS + 1].tolist(), cuts[1:][size > LAGS + 1].tolist()):
             left = np.arange(a + 1, b) if every is None else a + 1 + np.flatnonzero(every[a + 1 : b])
             step = 256
@@ -231,7 +285,8 @@ class Meeting:
 
 
 def _pairs(entries: DataFrame, share: float, asked=None) -> DataFrame:
-    """(o, spot, x_o, x_spot, more): candidates of the later line (o, spot); all of them for the lines marked in `asked`."""
+    """(o, spot, x_o, x_spot, more), once for each token: candidates of the later line (o, spot), all of them for the lines
+    marked in `asked`."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in whole_runs(batches, 1):
@@ -242,16 +297,15 @@ def _pairs(entries: DataFrame, share: float, asked=None) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(z) for z in (rows.o[y], rows.spot[y], rows.o[x], rows.spot[x], more)], ["o", "spot", "x_o", "x_spot", "more"])
 
     met = entries.repartition("route").sortWithinPartitions("route", "o", "spot")
-    rows = met.mapInArrow(found, "o bigint, spot bigint, x_o bigint, x_spot bigint, more boolean")
-    return rows.groupBy("o", "spot", "x_o", "x_spot").agg(F.max("more").alias("more"))
+    return met.mapInArrow(found, "o bigint, spot bigint, x_o bigint, x_spot bigint, more boolean")
 
 
 def _ids(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
     yield spot_hashes(batch.column(0).to_numpy(), batch.column(1).to_numpy())
 
 
-def _judged(docs: DataFrame, pairs: DataFrame, rank, share: float) -> DataFrame:
-    """(o, spot, similar, more) of each later line of the pairs, by the exact similarity of its candidates."""
+def _similar(docs: DataFrame, pairs: DataFrame, rank, share: float) -> DataFrame:
+    """(o, spot) of the later lines with a candidate that is similar by the exact Jaccard similarity."""
     ids = pairs.select("o", "spot").union(pairs.select("x_o", "x_spot"))
     asked = docs.sparkSession.sparkContext.broadcast(slots(ids, ASKED_BITS, _ids) > 0)
 
@@ -277,10 +331,9 @@ def _judged(docs: DataFrame, pairs: DataFrame, rank, share: float) -> DataFrame:
 
     sets = docs.select("o", "body", "text").mapInArrow(found, "o bigint, spot bigint, tokens array<bigint>")
     x = sets.select(F.col("o").alias("x_o"), F.col("spot").alias("x_spot"), F.col("tokens").alias("x_tokens"))
-    both = pairs.join(sets, ["o", "spot"]).join(x, ["x_o", "x_spot"])
+    both = pairs.select("o", "spot", "x_o", "x_spot").join(sets, ["o", "spot"]).join(x, ["x_o", "x_spot"])
     shared = F.size(F.array_intersect("tokens", "x_tokens"))
-    similar = shared >= share * (F.size("tokens") + F.size("x_tokens") - shared) - 1e-9
-    return both.groupBy("o", "spot").agg(F.max(similar).alias("similar"), F.max("more").alias("more"))
+    return both.where(shared >= share * (F.size("tokens") + F.size("x_tokens") - shared) - 1e-9).select("o", "spot").distinct()
 
 
 RESULT = "struct<n_lines:bigint,n_removed:bigint,kept:string>"
@@ -303,26 +356,43 @@ def remove_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shar
     rank[np.argsort(counts, kind="stable")] = np.arange(1 << COUNT_BITS, dtype=np.uint64)
     rank = spark.sparkContext.broadcast(rank)
 
-    rows = cut(_rows(docs, rank, share), "lines")
-    place = (F.col("o").cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(11,0)") + F.shiftright("spot", 32).cast("decimal(11,0)")).cast("decimal(38,0)")
-    classes = rows.groupBy("s1", "s2", "n").agg(F.min(place).alias("place"))
+    # Of equal token sets the first line leads; a class has one row for each part of a batch at most.
+    order = Window.partitionBy("s1", "s2").orderBy("o", "spot")
+    led = _rows(docs, rank, share).withColumn("first", F.struct("o", F.shiftright("spot", 32).alias("number")))
+    led = led.withColumn("later_than", F.first("first").over(order))
     # Two different lines of n and n + 1 tokens can only be similar if n / (n + 1) >= share.
     shortest = math.ceil(share / (1 - share) - 1e-9) if share < 1 else 1 << 31
-    leading = rows.where(F.col("prefix").isNotNull() & (F.col("n") >= shortest)).withColumn("own_place", place)
-    firsts = cut(leading.join(classes, ["s1", "s2", "n"]).where("own_place = place").select("o", "spot", "s2", "n", "prefix"), "firsts")
+    leads = (F.row_number().over(order) == 1) & (F.shiftright("s2", 32) >= shortest)
+    led = led.select("o", "spot", "s2", F.when(leads, F.col("sketch")).alias("sketch"), F.when(leads, F.col("prefix")).alias("prefix"), "later", (F.col("first") > F.col("later_than")).alias("gone"), "later_than")
+    led = cut(led, "lines")
+    firsts = led.where("prefix is not null").select("o", "spot", "s2", "sketch", "prefix")
     crowds = spark.sparkContext.broadcast(slots(firsts.select("prefix"), COUNT_BITS, _prefix_hashes))
     entries = _entries(firsts, crowds, limit)
-    pairs = cut(_pairs(entries, share), "pairs")
-    judged = cut(_judged(docs, pairs, rank, share), "judged")
-    flagged = judged.where("similar").select("o", "spot")
-    open_ = judged.where("not similar and more").select("o", "spot")
+    line = ["o", "spot"]
+    met = _pairs(entries, share).repartition(*line).groupBy(*line, "x_o", "x_spot").agg(F.count(F.lit(1)).alias("n"), F.max("more").alias("more"))
+    choice = Window.partitionBy(*line).orderBy(F.col("n").desc(), "x_o", "x_spot")
+    pairs = cut(met.withColumn("choice", F.row_number().over(choice)), "pairs")
+    flagged = cut(_similar(docs, pairs.where("choice = 1"), rank, share), "similar")
+    others = pairs.where("choice > 1").join(flagged, line, "left_anti")
+    if others.limit(1).count():
+        flagged = flagged.union(cut(_similar(docs, cut(others, "others"), rank, share), "similar"))
+    open_ = pairs.where("more").select(*line).distinct().join(flagged, line, "left_anti")
     if open_.limit(1).count():
         again = spark.sparkContext.broadcast(slots(open_, ASKED_BITS, _ids) > 0)
-        rest = cut(_pairs(entries, share, again).join(open_, ["o", "spot"], "left_semi").join(pairs, ["o", "spot", "x_o", "x_spot"], "left_anti"), "pairs")
-        flagged = flagged.union(cut(_judged(docs, rest, rank, share), "judged").where("similar").select("o", "spot"))
+        rest = _pairs(entries, share, again).select(*line, "x_o", "x_spot").distinct()
+        rest = rest.join(open_, line, "left_semi").join(pairs, [*line, "x_o", "x_spot"], "left_anti")
+        flagged = flagged.union(cut(_similar(docs, cut(rest, "rest"), rank, share), "similar"))
+
+    # A line that follows in its part is later than its class's first one, unless both have one place (repeated rows).
+    follows = led.select(F.inline("later"), "later_than").where(F.struct("o", F.shiftright("spot", 32).alias("number")) > F.col("later_than"))
+    lost = cut(led.where("gone").select(*line).union(follows.select(*line)).union(flagged), "lost")
+    touched = spark.sparkContext.broadcast(slots(lost.select("o"), ASKED_BITS, lambda batch: iter([spot_hashes(batch.column(0).to_numpy(), np.zeros(len(batch), np.int64))])) > 0)
+    gone = lost.groupBy(F.col("o").alias("gone_o")).agg(F.collect_set("spot").alias("spots"))
 
-    later = rows.withColumn("own_place", place).join(classes, ["s1", "s2", "n"]).where("own_place > place").select("o", "spot")
-    gone = later.union(flagged).groupBy(F.col("o").alias("gone_o")).agg(F.collect_set("spot").alias("spots"))
+    @F.arrow_udf("boolean")
+    def loses(ids: pa.Array) -> pa.Array:
+        o = ids.to_numpy()
+        return pa.array(touched.value[(spot_hashes(o, np.zeros(len(o), np.int64)) >> np.uint64(64 - ASKED_BITS)).astype(np.int64)])
 
     @F.arrow_udf(RESULT)
     def dropped(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -341,7 +411,11 @@ def remove_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shar
                 left.append(t)
             yield pa.StructArray.from_arrays([pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(left, pa.string())], ["n_lines", "n_removed", "kept"])
 
+    asked = docs.withColumn("loses", loses("o"))
+    cutting = asked.where("loses").join(gone, F.col("o") == F.col("gone_o"), "left").withColumn("result", dropped("text", "body", "spots"))
+    count = F.when(F.col("text") != "", F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).otherwise(0)
+    whole = asked.where(~F.col("loses")).withColumn("result", F.struct(count.cast("bigint").alias("n_lines"), F.lit(0).cast("bigint").alias("n_removed"), F.col("text").alias("kept")))
     new = {"n_lines", "n_removed", kept.lower()}
-    done = docs.join(gone, F.col("o") == F.col("gone_o"), "left").withColumn("result", dropped("text", "body", "spots"))
     own = [F.col("text" if k == mine else k).alias(c) for k, c in source.items() if c.lower() not in new]
-    return done.select(*own, F.col("result.n_lines").alias("n_lines"), F.col("result.n_removed").alias("n_removed"), F.col("result.kept").alias(kept))
+    results = [F.col("result.n_lines").alias("n_lines"), F.col("result.n_removed").alias("n_removed"), F.col("result.kept").alias(kept)]
+    return cutting.select(*own, *results).union(whole.select(*own, *results))
