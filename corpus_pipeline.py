@@ -58,7 +58,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their token ids, the number of these, and whether the ids decode to the text."""
     path, pattern = public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
-    both = bpe.decode(bpe.encode(docs, path, pattern), path, pattern)
+    both = bpe.round_trip(docs, path, pattern)
     same = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
     return with_new(both, {"n_tokens": (F.octet_length("ids") / 4).cast("bigint"), "round_trip": same}).drop("decoded")
 

@@ -26,7 +26,7 @@ from .common import with_new
 from .kernel import Generations
 
 #: Cached matches of one worker (twice this number at most), and the longest cached match in characters.
-CACHED, CACHED_LENGTH = 120_000, 64
+CACHED, CACHED_LENGTH = 80_000, 64
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -152,3 +152,18 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str =
             yield pa.array([codec.decode(b.as_py()) if b.is_valid else b"" for b in packed], pa.binary())
 
     return with_new(df, {out: decoded(F.col(ids))})
+
+
+def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """`encode` and `decode` in one Python worker for each task: `df` with `ids` and `out`."""
+    shared = vocabulary(df.sparkSession, path, pattern)
+
+    @F.arrow_udf("struct<ids:binary,decoded:binary>")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        codec = Codec.of(*shared.value)
+        for texts in batches:
+            packed = [codec.encode(t.as_py()) if t.is_valid else b"" for t in texts]
+            yield pa.StructArray.from_arrays([pa.array(packed, pa.binary()), pa.array(map(codec.decode, packed), pa.binary())], ["ids", "decoded"])
+
+    pair = both(F.col(text))
+    return with_new(df, {ids: pair["ids"], out: pair["decoded"]})

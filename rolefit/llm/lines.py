@@ -11,9 +11,8 @@ same document. Lines without words are never removed.
    each token of its prefix. Where they meet, pairs are dropped by length, by the position of the shared token, and by a
    sketch of parity bits, about as many as tokens (bits that differ cannot be more than tokens that differ). All three
    lose no similar pair.
-4. Of the pairs that are left, each line keeps the earliest for each token: one similar line is enough. The candidate met at
-   most tokens is verified first: the tokens of both are fetched and the Jaccard similarity is worked out. Lines without
-   success try their other candidates, and at last all those that step 3 left out.
+4. Of the pairs that are left, each line keeps the earliest for each token: one similar line is enough. The tokens of both
+   are fetched and the Jaccard similarity is worked out. Lines without success try all the candidates that were left out.
 5. The removed lines' numbers go back to the texts that lose lines; the others are not shuffled.
 
 A prefix token above `limit` lines is dealt in blocks that meet in pairs, so no task gets a hot token whole.
@@ -167,11 +166,11 @@ def _prefix_hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
     yield batch.column(0).flatten().to_numpy().view(np.uint32).astype(np.uint64) << np.uint64(32)
 
 
-def _entries(firsts: DataFrame, crowds, limit: int) -> DataFrame:
+def _entries(firsts: DataFrame, crowds, limit: int, wanted=None) -> DataFrame:
     """(route, o, spot, shape, sketch) for each prefix token of each first line.
 
     route is the token and a pair of its blocks; shape is the line's number of tokens, the place of the token, and the
-    side in a pair of different blocks.
+    side in a pair of different blocks. Only the tokens marked in `wanted`, if it is given.
     """
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,6 +182,9 @@ def _entries(firsts: DataFrame, crowds, limit: int) -> DataFrame:
             row = np.repeat(np.arange(len(o)), size)
             i = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
             token = lists.flatten().to_numpy().view(np.uint32).astype(np.int64)
+            if wanted is not None:
+                keep = np.flatnonzero(wanted.value[token >> (32 - COUNT_BITS)])
+                row, i, token = row[keep], i[keep], token[keep]
             blocks = np.maximum(1, blocks_of[token >> (32 - COUNT_BITS)])
             own = ((spot_hashes(o, spot) >> np.uint64(20)).astype(np.int64) & 0xFFFFFFF)[row] % blocks
             copies = np.repeat(np.arange(len(row)), blocks)
@@ -219,7 +221,8 @@ class Meeting:
         blocks = ~self.crossed[y] | (self.side[x] != self.side[y])
         both = nx + ny
         length = np.minimum(nx, ny) >= t * np.maximum(nx, ny) - 1e-9
-        place = np.minimum(ix, iy) + np.minimum(nx - ix, ny - iy) >= t / (1 + t) * both - 1e-9
+        # At the first shared token of a pair nothing is shared before it, so what follows has to suffice.
+        place = np.minimum(nx - ix, ny - iy) >= t / (1 + t) * both - 1e-9
         most = both * ((1 - t) / (1 + t)) + 1e-9
         ok = earlier & blocks & length & place & (np.bitwise_count(self.short[x] ^ self.short[y]) <= most)
         left = np.flatnonzero(ok & ((self.size[x] > 1) & (self.size[y] > 1)))
@@ -369,16 +372,14 @@ def remove_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shar
     crowds = spark.sparkContext.broadcast(slots(firsts.select("prefix"), COUNT_BITS, _prefix_hashes))
     entries = _entries(firsts, crowds, limit)
     line = ["o", "spot"]
-    met = _pairs(entries, share).repartition(*line).groupBy(*line, "x_o", "x_spot").agg(F.count(F.lit(1)).alias("n"), F.max("more").alias("more"))
-    choice = Window.partitionBy(*line).orderBy(F.col("n").desc(), "x_o", "x_spot")
-    pairs = cut(met.withColumn("choice", F.row_number().over(choice)), "pairs")
-    flagged = cut(_similar(docs, pairs.where("choice = 1"), rank, share), "similar")
-    others = pairs.where("choice > 1").join(flagged, line, "left_anti")
-    if others.limit(1).count():
-        flagged = flagged.union(cut(_similar(docs, cut(others, "others"), rank, share), "similar"))
-    open_ = pairs.where("more").select(*line).distinct().join(flagged, line, "left_anti")
+    met = _pairs(entries, share).groupBy(*line, "x_o", "x_spot").agg(F.max("more").alias("more"))
+    pairs = cut(met, "pairs")
+    flagged = cut(_similar(docs, pairs, rank, share), "similar")
+    open_ = cut(pairs.where("more").select(*line).distinct().join(flagged, line, "left_anti"), "open")
     if open_.limit(1).count():
         again = spark.sparkContext.broadcast(slots(open_, ASKED_BITS, _ids) > 0)
+        tokens = slots(firsts.join(open_, line, "left_semi").select("prefix"), COUNT_BITS, _prefix_hashes)
+        entries = _entries(firsts, crowds, limit, spark.sparkContext.broadcast(tokens > 0))
         rest = _pairs(entries, share, again).select(*line, "x_o", "x_spot").distinct()
         rest = rest.join(open_, line, "left_semi").join(pairs, [*line, "x_o", "x_spot"], "left_anti")
         flagged = flagged.union(cut(_similar(docs, cut(rest, "rest"), rank, share), "similar"))

@@ -51,6 +51,9 @@ def test_odd_rows(odd_texts, no_texts):
     for r in rows:
         assert np.frombuffer(r.ids, "<u4").tolist() == LIBRARY.encode_ordinary(r.text or "")
         assert bytes(r.decoded) == (r.text or "").encode()
+    once = bpe.round_trip(odd_texts, PATH, public_tokenizers.PATTERN).collect()
+    key = lambda r: (str(r.doc_id), r.text or "", bytes(r.ids), bytes(r.decoded))
+    assert sorted(map(key, once)) == sorted(map(key, rows))
     assert bpe.encode(no_texts, PATH, public_tokenizers.PATTERN).count() == 0
 
 
