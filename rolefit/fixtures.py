@@ -13,9 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from rolefit.functions import text as X
 from rolefit.functions import vocab
 
-SKILLS = ("python sql machine_learning deep_learning data_analysis pandas numpy spark aws azure "
-          "docker kubernetes fastapi tableau power_bi excel git linux airflow statistics nlp "
-          "communication leadership sales").split()
+SKILLS = [
+    "python", "sql", "machine_learning", "deep_learning", "data_analysis", "pandas", "numpy", "spark", "aws", "azure",
+    "docker", "kubernetes", "fastapi", "tableau", "power_bi", "excel", "git", "linux", "airflow", "statistics", "nlp",
+    "communication", "leadership", "sales",
+]
 ALIASES = [alias for aliases in vocab.SKILL_ALIASES.values() for alias in aliases]
 JOB_EDUCATION = [None, "high_school", "associate", "bachelor", "master", "phd", "master in cs"]
 JOB_SENIORITY = [None, "intern", "entry", "junior", "mid", "senior", "manager", "principal"]
@@ -41,27 +43,24 @@ EDUCATION_PHRASES = [
     "Bachelor's degree", "Master's degree or PhD", "High school diploma", "Associate degree",
     "Bachelor's or Master's degree", "MBA preferred", "Doctorate", "B.Sc in any field", "",
 ]
-YEARS_PHRASES = [" years of experience", "+ years in sales", " yrs", "-9 years", " to 12 years", " projects"]
+YEARS_PHRASES = [" years of experience", "+ years in sales", " yrs", "-9 years", " to 12 years", " projects",
+                 " or ١٢ years of experience", "99999999999999999999 years of experience"]
 CANDIDATE_EDUCATION = ["Bachelor's", "Master in CS", "phd", "  MBA ", "high school", "associate degree",
                        None, "BSc"]
 CANDIDATE_SENIORITY = [None, "Junior", "mid-level", "Lead", "director", "", "wizard"]
 PROJECTS = ["Churn Model", "ETL  rebuild", "dashboard"]
+# fixed values: character references and their text
+REFERENCES = {
+    "&rarr;": "→", "&Omega;": "Ω", "a&ensp;b": "a b", "&#00000065;": "A", "&#x0000041;": "A", "&copy 2020": "© 2020",
+    "R&ampD": "R&D", "&nosuch;": "&nosuch;", "&#150;": "–", "<i title='a>b'>x</i>": "x", "&NotEqualTilde;": "≂̸",
+}
 SKILL_STEPS = [(7, 0), (11, 5), (13, 10), (5, 15)]
 TOOL_STEPS = [(19, 20), (23, 7)]
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, spread_by: str | None = None) -> DataFrame:
-    """A given table.
-
-    With ``spread_by``, a table that would be read by fewer tasks than there are
-    cores (a few small files) is spread over all of them, for the work per row
-    that follows; a large one is read as it lies, without a shuffle.
-    """
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    full_split = 128 << 20
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores, spread_by) if spread_by and size < cores * full_split else df
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table as it lies."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def pick(values: list, e: Column) -> Column:
@@ -81,7 +80,7 @@ def sorted_distinct(items: Column) -> Column:
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
-    return table(spark, sf_dir, "part", "p_partkey").select(
+    return table(spark, sf_dir, "part").select(
         F.concat(F.lit("fx::"), k % 5, F.lit("::"), k).alias("job_id"),
         k.alias("ord"),
         pick(TITLES, k).alias("title"),
@@ -93,7 +92,7 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("required_skills"),
         sorted_distinct(first([pick(SKILLS, 17 * k + i) for i in (3, 9)], k % 3))
         .alias("preferred_skills"),
-        F.when(F.col("p_size") % 7 != 0, F.col("p_size") % 13).cast("bigint")
+        F.when(k % 97 == 0, 1234567).when(F.col("p_size") % 7 != 0, F.col("p_size") % 13).cast("bigint")
         .alias("years_experience_required"),
         pick(JOB_EDUCATION, k).alias("education_required"),
         pick(JOB_SENIORITY, 3 * k + 1).alias("seniority"),
@@ -111,13 +110,13 @@ def job_id(key: Column) -> Column:
 def candidate_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("c_custkey")
     skills = [pick(SKILLS, m * c + i) for m, i in SKILL_STEPS]
-    return table(spark, sf_dir, "customer", "c_custkey").select(
+    return table(spark, sf_dir, "customer").select(
         candidate_id(c).alias("candidate_id"),
         F.col("c_name").alias("full_name"),
         pick(TITLES, 5 * c + 2).alias("current_title"),
         pick(LOCATIONS, c).alias("location"),
         pick(CANDIDATE_EDUCATION, c).alias("education"),
-        (c % 16).cast("int").alias("years_experience"),
+        F.when(c % 89 == 0, 2345678).otherwise(c % 16).cast("int").alias("years_experience"),
         F.array(F.concat(F.lit("  "), F.upper(skills[0])), *skills[1:], F.lit(" ")).alias("skills"),
         F.array(*[pick(SKILLS, m * c + i) for m, i in TOOL_STEPS]).alias("tools"),
         first([pick(DOMAINS, c), pick(DOMAINS, c + 1)], c % 3).alias("domains"),
@@ -150,7 +149,7 @@ def preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     def only(kind: int, value: Column) -> Column:
         return F.when(c % 6 == kind, value).otherwise(none)
 
-    return table(spark, sf_dir, "customer", "c_custkey").filter(c % 3 != 0).select(
+    return table(spark, sf_dir, "customer").filter(c % 3 != 0).select(
         candidate_id(c).alias("candidate_id"),
         F.struct(
             only(1, F.array(pick(["Engineer", " data ", "analyst", "manager"], c), F.lit("zzz")))
@@ -196,9 +195,9 @@ def feed_a(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     html = F.concat(F.col("html"), F.lit("<div><p>"), say["required"], F.lit("&nbsp;</p><p>R&amp;D "),
                     say["preferred"], F.lit("</p></div>"))
-    return table(spark, sf_dir, "pages", "page_id").select(
+    return table(spark, sf_dir, "pages").select(
         F.concat(F.lit("board_"), k % 4).alias("board"),
-        k.alias("pos"),
+        F.floor(k / 4).alias("pos"),
         k.alias("id"),
         F.col("url").alias("absolute_url"),
         F.lit("2026-04-06T00:00:00Z").alias("updated_at"),
@@ -214,11 +213,19 @@ def feed_a(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def feed_a_on_two_boards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feed A with each seventh page again on the next board."""
+    rows = feed_a(spark, sf_dir)
+    copies = rows.filter(F.col("id") % 7 == 0).withColumns({
+        "board": F.concat(F.lit("board_"), (F.col("id") + 1) % 4), "pos": F.col("pos") + 1_000_000})
+    return rows.unionByName(copies)
+
+
 def feed_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feed B rows from the documents: the whole text between the requirement texts."""
     k = F.col("doc_id")
     say = posting_sentences(k)
-    return table(spark, sf_dir, "documents", "doc_id").select(
+    return table(spark, sf_dir, "documents").select(
         F.col("source").alias("board"),
         k.alias("pos"),
         k.cast("string").alias("id"),

@@ -233,18 +233,14 @@ def years_of_experience(text: Column) -> Column:
         .otherwise(X.empty_strings())
         for word, p in patterns
     ]
-    return F.array_max(F.transform(F.concat(*numbers), lambda v: v.try_cast("bigint")))
+    return F.array_max(F.transform(F.concat(*numbers), X.whole_number))
 
 
 # --- education ---------------------------------------------------------------------
 
 def _education_pattern(phrase: str) -> str:
-    bounded = phrase.startswith("~")
-    stem, possessive, tail = phrase.strip("~").partition("('s)?")
-    body = X.fold_pattern(stem)
-    if possessive:
-        body += "(?:'[sſ])?" + X.fold_pattern(tail)
-    return f"(?<!{X.WORD}){body}(?!{X.WORD})" if bounded else body
+    body = X.fold_pattern(phrase)
+    return f"(?<!{X.WORD}){body}(?!{X.WORD})" if phrase in vocab.EDUCATION_WORDS else body
 
 
 # fixed values: letters of which each phrase of a level holds some (a cheap test first)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import json
+import sys
+import unicodedata
+from functools import cache, reduce
 
 from pyspark.sql import Column, functions as F
 from pyspark.sql import types as T
@@ -45,6 +48,11 @@ def literal_map(entries: dict) -> Column:
     return F.expr("map(" + ", ".join(sql_literal(x) for kv in entries.items() for x in kv) + ")")
 
 
+def folded_map(entries: dict[str, str]) -> Column:
+    """A large fixed table of texts, as one literal from the start."""
+    return F.from_json(F.lit(json.dumps(entries)), "map<string, string>")
+
+
 def lookup(entries: dict, key: Column) -> Column:
     """Value of a fixed table, NULL where the key is unknown or NULL."""
     return F.try_element_at(literal_map(entries), key)
@@ -54,11 +62,6 @@ def nullif_blank(c: Column) -> Column:
     return F.when(c != "", c)
 
 
-def first_present(*cols: Column) -> Column:
-    """First value that is neither NULL nor the empty string."""
-    return F.coalesce(*[nullif_blank(c) for c in cols])
-
-
 def collapse(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, _BLANK_RUN, " "))
 
@@ -91,26 +94,50 @@ def clean_html(c: Column) -> Column:
     return clean_text(no_entities)
 
 
+# A tag, whose quoted attribute values may hold ">"; else the shortest thing that looks like one.
+_TAG = """<(?:[^>"']++|"[^"]*+"|'[^']*+')++>|<[^>]+>"""
+
 # Comments, and elements whose content is never shown as text.
 _HIDDEN = (r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
            r"|<template\b.*?</template\s*>")
-_ENTITY_NAME = "^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+_NUMBERED = "^#(?:0*([0-9]+)|[xX]0*([0-9a-fA-F]+));?"
+# Some names are known without a semicolon; the longest one counts.
+_OPEN_NAME = "^(" + "|".join(sorted(vocab.OPEN_HTML_ENTITIES, key=len, reverse=True)) + ")"
 
 
 def _code_point(n: Column) -> Column:
     return F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
 
 
+def _numbered_character(part: Column) -> Column:
+    """Character of a number with any count of digits; one that is no character gives the replacement character."""
+    decimal, hexadecimal = (F.regexp_extract(part, _NUMBERED, k) for k in (1, 2))
+    number = (
+        F.when(F.length(decimal).between(1, 7), decimal.try_cast("int"))
+        .when(F.length(hexadecimal).between(1, 6), F.conv(hexadecimal, 16, 10).try_cast("int"))
+        .otherwise(0)
+    )
+    mapped = F.coalesce(F.try_element_at(literal_map(vocab.C1_CHARACTERS), number), number)
+    valid = (mapped > 0) & (mapped < 0x110000) & ~mapped.between(0xD800, 0xDFFF)
+    return F.when(valid, _code_point(mapped)).otherwise("\ufffd")
+
+
 def _decode_entity(part: Column) -> Column:
     """``part`` is what follows one '&' up to the next."""
-    name = F.regexp_extract(part, _ENTITY_NAME, 1)
-    number = F.when(
-        name.rlike("^#[0-9]"), F.substring(name, 2, 10).try_cast("bigint")
-    ).when(name.startswith("#"), F.conv(F.substring(name, 3, 10), 16, 10).try_cast("bigint"))
-    valid = (number > 0) & (number < 0x110000) & ~number.between(0xD800, 0xDFFF)
-    char = F.coalesce(F.when(valid, _code_point(number)), lookup(vocab.HTML_ENTITIES, name))
-    rest = part.substr(F.length(name) + 2, F.length(part))
-    return F.coalesce(F.concat(char, rest), F.concat(F.lit("&"), part))
+    number = F.regexp_extract(part, _NUMBERED, 0)
+    name = F.regexp_extract(part, "^([A-Za-z][A-Za-z0-9]*);", 1)
+    open_name = F.regexp_extract(part, _OPEN_NAME, 1)
+
+    def after(length):
+        return part.substr(length + 1, F.length(part))
+
+    known = F.coalesce(lookup(vocab.HTML_ENTITIES, name), F.try_element_at(folded_map(vocab.RARE_HTML_ENTITIES), name))
+    return (
+        F.when(number != "", F.concat(_numbered_character(part), after(F.length(number))))
+        .when((name != "") & known.isNotNull(), F.concat(known, after(F.length(name) + 1)))
+        .when(open_name != "", F.concat(F.try_element_at(folded_map(vocab.OPEN_HTML_ENTITIES), open_name), after(F.length(open_name))))
+        .otherwise(F.concat(F.lit("&"), part))
+    )
 
 
 def decode_entities(c: Column) -> Column:
@@ -121,7 +148,7 @@ def decode_entities(c: Column) -> Column:
 
 
 def html_to_text(c: Column) -> Column:
-    visible = F.regexp_replace(F.regexp_replace(c, _HIDDEN, " "), "<[^>]+>", " ")
+    visible = F.regexp_replace(F.regexp_replace(c, _HIDDEN, " "), _TAG, " ")
     return clean_text(decode_entities(visible))
 
 
@@ -135,7 +162,7 @@ def first_years_of_experience(c: Column) -> Column:
     """First "N years of experience" number in a text, or NULL."""
     pattern = (f"(?iu)({DIGIT}+)" + r"\+?" + f"{WS}*(?:years|year|yrs|yr){WS}+"
                f"(?:of{WS}+)?experience")
-    return F.regexp_extract(clean_text(c), pattern, 1).try_cast("bigint")
+    return whole_number(F.regexp_extract(clean_text(c), pattern, 1))
 
 
 # --- lists ---------------------------------------------------------------------
@@ -220,9 +247,39 @@ def round_binary(x: Column, digits: int) -> Column:
 
 
 def general_number(x: Column) -> Column:
-    """6.0 as '6', 2.5 as '2.5'."""
+    """Six significant digits without trailing zeros: 6, 2.5, 33.3333, 1.23457e+06."""
     x = x.cast("double")
-    return F.when(x == F.floor(x), x.cast("bigint").cast("string")).otherwise(x.cast("string"))
+    text = F.format_string("%.5e", x)
+    exponent = F.substring_index(text, "e", -1).try_cast("int")
+    digits = F.regexp_replace(F.substring_index(text, "e", 1), r"\.?0+$", "")
+    exact = x.try_cast("decimal(38,18)")
+    # Ties go to the even digit; below 1 there are none worth a name.
+    rounded = F.coalesce(*[F.when(exponent == e, F.bround(exact, 5 - e).cast("string")) for e in range(6)],
+                         F.concat(digits, F.lit("e"), exponent).try_cast("decimal(38,12)").cast("string"))
+    plain = F.when(F.contains(rounded, F.lit(".")), F.regexp_replace(rounded, r"\.?0+$", "")).otherwise(rounded)
+    return (
+        F.when(x.isNull(), None)
+        .when((x == F.floor(x)) & (F.abs(x) < 1e6), x.cast("bigint").cast("string"))
+        .when(exponent.between(-4, 5), plain)
+        .otherwise(F.concat(digits, F.lit("e"), F.substring_index(text, "e", -1)))
+    )
+
+
+# Fits a BIGINT, and a DOUBLE without rounding.
+LARGEST_NUMBER = 10**18
+
+
+@cache
+def _digit_tables() -> tuple[str, str]:
+    """All decimal digits but ASCII's, and the ASCII digits of their values."""
+    digits = [chr(c) for c in range(0x80, sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Nd"]
+    return "".join(digits), "".join(str(unicodedata.decimal(d)) for d in digits)
+
+
+def whole_number(digits: Column) -> Column:
+    """Number of a run of decimal digits of any script; NULL for no digits. Larger ones count as LARGEST_NUMBER."""
+    number = F.translate(digits, *_digit_tables()).try_cast("bigint")
+    return F.when(digits != "", F.least(F.coalesce(number, F.lit(LARGEST_NUMBER)), F.lit(LARGEST_NUMBER)))
 
 
 def any_contains(text: Column, words: list[str]) -> Column:

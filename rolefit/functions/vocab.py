@@ -6,6 +6,8 @@ words, orders and numbers. The order inside each list matters.
 
 from __future__ import annotations
 
+from html.entities import html5
+
 # --- fixed values: ordinal ranks -------------------------------------------
 
 EDUCATION_RANK = {
@@ -188,15 +190,16 @@ LOCATION_REPLACEMENTS = {
 }
 
 # --- fixed values: education phrases in job text -----------------------------
-# "~" stands for a word boundary, "('s)?" for an optional possessive.
 
 EDUCATION_PHRASES = {
     "high_school": ["high school diploma", "secondary school"],
-    "associate": ["associate('s)? degree"],
-    "bachelor": ["bachelor('s)? degree", "bs degree", "ba degree", "b.sc", "~bsc~"],
-    "master": ["master('s)? degree", "ms degree", "m.sc", "~msc~", "~mba~"],
-    "phd": ["~phd~", "ph.d", "doctorate", "doctoral degree"],
+    "associate": ["associate degree", "associate's degree"],
+    "bachelor": ["bachelor degree", "bachelor's degree", "bs degree", "ba degree", "b.sc", "bsc"],
+    "master": ["master degree", "master's degree", "ms degree", "m.sc", "msc", "mba"],
+    "phd": ["phd", "ph.d", "doctorate", "doctoral degree"],
 }
+# Those that only count as whole words.
+EDUCATION_WORDS = ["bsc", "msc", "mba", "phd"]
 
 # --- fixed values: candidate wording -----------------------------------------
 
@@ -246,23 +249,14 @@ DEFAULT_MIN_SCORE = 50
 
 # --- fixed values: HTML entities ---------------------------------------------
 
-# Names of U+00A0 .. U+00FF in code-point order (HTML 4, ISO 8859-1 set).
-LATIN1_ENTITIES = (
-    "nbsp iexcl cent pound curren yen brvbar sect uml copy ordf laquo not shy reg macr "
-    "deg plusmn sup2 sup3 acute micro para middot cedil sup1 ordm raquo frac14 frac12 frac34 iquest "
-    "Agrave Aacute Acirc Atilde Auml Aring AElig Ccedil Egrave Eacute Ecirc Euml Igrave Iacute Icirc Iuml "
-    "ETH Ntilde Ograve Oacute Ocirc Otilde Ouml times Oslash Ugrave Uacute Ucirc Uuml Yacute THORN szlig "
-    "agrave aacute acirc atilde auml aring aelig ccedil egrave eacute ecirc euml igrave iacute icirc iuml "
-    "eth ntilde ograve oacute ocirc otilde ouml divide oslash ugrave uacute ucirc uuml yacute thorn yuml"
-).split()
-
-HTML_ENTITIES = {
-    "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'",
-    "ndash": "–", "mdash": "—", "lsquo": "‘", "rsquo": "’",
-    "ldquo": "“", "rdquo": "”", "bull": "•", "hellip": "…",
-    "euro": "€", "trade": "™",
-    **{name: chr(0xA0 + i) for i, name in enumerate(LATIN1_ENTITIES)},
-}
+# The names that are common in postings; all others come from the standard library's table.
+_COMMON_ENTITIES = ["amp", "lt", "gt", "quot", "apos", "nbsp", "ndash", "mdash", "lsquo", "rsquo", "ldquo", "rdquo",
+                    "bull", "middot", "hellip", "euro", "copy", "reg", "trade"]
+HTML_ENTITIES = {name: html5[name + ";"] for name in _COMMON_ENTITIES}
+RARE_HTML_ENTITIES = {name[:-1]: text for name, text in html5.items() if name.endswith(";") and name[:-1] not in HTML_ENTITIES}
+OPEN_HTML_ENTITIES = {name: text for name, text in html5.items() if not name.endswith(";")}
+# Numbers 128 to 159 mean the characters of Windows-1252 at those places.
+C1_CHARACTERS = {n: ord(text) for n in range(0x80, 0xA0) if (text := bytes([n]).decode("cp1252", "ignore"))}
 
 # --- fixed values: explanation sentences --------------------------------------
 

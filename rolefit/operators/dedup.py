@@ -4,31 +4,40 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from rolefit.session import written
 
-def first_rows(df: DataFrame, keys: list[str], order: str, carry: list[str] | None = None) -> DataFrame:
-    """Order number (and carried columns) of the first row of each key.
 
-    A plain aggregate: every task reduces its copies before the shuffle, so a
-    key holding a third of all rows sends one row per task. NULL keys are
-    equal to each other.
+def _narrow(df: DataFrame, keys: list[str], order: str, *carry: str) -> DataFrame:
+    """Order number and one text of fixed width for all keys; NULL keys are equal to each other.
+
+    Written, since several steps read it: the texts behind the keys are read once.
+    """
+    key = F.sha2(F.to_json(F.struct(*keys)), 256).alias("__key")
+    return written(df.select(key, F.col(order), *carry), "keys")
+
+
+def _first(rows: DataFrame, order: str, key: str = "__key") -> DataFrame:
+    """Order number of the first row of each key.
+
+    A plain aggregate of numbers: every task reduces its copies before the
+    shuffle, so a key holding a third of all rows sends one row per task.
     """
-    carried = [F.min_by(c, order).alias(c) for c in carry or []]
-    return df.groupBy(*keys).agg(F.min(order).alias(order), *carried)
+    return rows.groupBy(key).agg(F.min(order).alias("__first"))
 
 
-def keep_rows(df: DataFrame, survivors: DataFrame, order: str) -> DataFrame:
-    """Rows whose unique order number survived.
+def drop_rows(df: DataFrame, copies: DataFrame, order: str) -> DataFrame:
+    """Rows whose unique order number is not among the copies.
 
-    Only this join moves the wide rows, once and on a unique key, so it cannot
-    be skewed. The survivors are numbers only: hashing them per partition
-    spares sorting the wide rows.
+    Only the copies' numbers meet the wide rows: with few of them, the planner
+    sends them to the rows, which then stay where they are.
     """
-    return df.join(survivors.select(order).hint("shuffle_hash"), order, "left_semi")
+    return df.join(written(copies.select(order), "copies"), order, "left_anti")
 
 
 def keep_first(df: DataFrame, keys: list[str], order: str = "ord") -> DataFrame:
     """First row per key in order; ``order`` must be unique."""
-    return keep_rows(df, first_rows(df, keys, order), order)
+    rows = _narrow(df, keys, order)
+    return drop_rows(df, rows.join(_first(rows, order), "__key").where(F.col(order) > F.col("__first")), order)
 
 
 PRIMARY_KEYS = ["job_uid", "source", "source_company", "source_job_id"]
@@ -38,13 +47,15 @@ def dedup_staging(df: DataFrame, order: str = "ord") -> DataFrame:
     """First per primary key (if all its columns exist), then, among those, first
     per dedupe_key. The order of the two steps matters for the result.
 
-    Both steps run on keys only; the postings themselves are joined once.
+    Both steps run on keys and numbers only; the postings are joined once.
     """
     has_primary = all(k in df.columns for k in PRIMARY_KEYS)
     has_key = "dedupe_key" in df.columns
-    keys = df
-    if has_primary:
-        keys = first_rows(df, PRIMARY_KEYS, order, ["dedupe_key"] if has_key else [])
-    if has_key:
-        keys = first_rows(keys, ["dedupe_key"], order)
-    return keep_rows(df, keys, order) if (has_primary or has_key) else df
+    if not has_key:
+        return keep_first(df, PRIMARY_KEYS, order) if has_primary else df
+    if not has_primary:
+        return keep_first(df, ["dedupe_key"], order)
+    rows = _narrow(df, PRIMARY_KEYS, order, "dedupe_key")
+    firsts = rows.join(_first(rows, order), "__key").where(F.col(order) == F.col("__first")).drop("__first")
+    kept = _first(firsts, order, "dedupe_key").select(F.col("__first").alias(order))
+    return drop_rows(df, rows.select(order).join(kept, order, "left_anti"), order)

@@ -59,7 +59,8 @@ def years_level(c: Column, is_integer: bool) -> Column:
     """Whole years: an integer is floored at 0, anything else gives its first digits."""
     if is_integer:
         return F.when(c < 0, 0).otherwise(c.cast("int"))
-    return F.regexp_extract(c.cast("string"), f"{X.DIGIT}+", 0).try_cast("int")
+    found = X.whole_number(F.regexp_extract(c.cast("string"), f"{X.DIGIT}+", 0))
+    return F.when(found.isNotNull(), F.least(found, F.lit((1 << 31) - 1))).cast("int")
 
 
 def parse_candidates(df: DataFrame) -> DataFrame:
@@ -157,11 +158,11 @@ def match_jobs(jobs: DataFrame) -> DataFrame:
     years = given("years_experience_required", "years_experience_extracted")
     edu = given("education_required", "education_extracted")
     sen = given("seniority", "seniority_inferred")
-    keep = [c for c in ["job_id", "ord", "title", "company", "location", "workplace_type"]
-            if c in jobs.columns]
+    shown = ["title", "company", "location", "workplace_type"]
     job_id = F.coalesce(*[X.nullif_blank(F.col(c)) for c in ["job_uid", "job_id"] if c in jobs.columns])
     return jobs.select(
-        *[c for c in keep if c != "job_id"],
+        *[c for c in ["ord"] if c in jobs.columns],
+        *[column_or_null(jobs, c).alias(c) for c in shown],
         job_id.alias("job_id"),
         items("required_skills").alias("j_req"),
         items("preferred_skills").alias("j_pref"),
@@ -172,6 +173,8 @@ def match_jobs(jobs: DataFrame) -> DataFrame:
         X.lookup(vocab.EDUCATION_RANK, X.norm_key(edu)).alias("j_edu_rank"),
         sen.alias("j_sen"),
         X.lookup(vocab.SENIORITY_RANK, X.norm_key(sen)).alias("j_sen_rank"),
+        # Preferences look at the stated level only, never at an inferred one.
+        column_or_null(jobs, "seniority").cast("string").alias("stated_seniority"),
     )
 
 

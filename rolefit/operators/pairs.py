@@ -116,11 +116,9 @@ def with_explanation(pairs: DataFrame) -> DataFrame:
     )).drop("__mr", "__xr", "__mp", "__xp", "__md", "__xd")
 
 
-def match_result(pairs: DataFrame) -> DataFrame:
-    """Full nested result of each pair: filters, score with components, explanation."""
-    df = with_explanation(with_hard_filters(with_score(pairs)))
-    return df.select(
-        "job_id", "candidate_id",
+def result_columns() -> list[Column]:
+    """The nested parts of a result, from the columns of the filters, the score and the explanation."""
+    return [
         F.struct(
             F.col("hard_filters_passed").alias("passed"),
             F.struct("required_skills_total", "required_skills_matched", "required_skills_missing",
@@ -138,5 +136,11 @@ def match_result(pairs: DataFrame) -> DataFrame:
             F.struct(*rounded_components()).alias("component_scores"),
             F.struct(*[F.lit(w).alias(n) for n, w in vocab.WEIGHTS.items()]).alias("weights"),
         ).alias("match_score"),
-        "explanation",
-    )
+        F.col("explanation"),
+    ]
+
+
+def match_result(pairs: DataFrame) -> DataFrame:
+    """Full nested result of each pair: filters, score with components, explanation."""
+    df = with_explanation(with_hard_filters(with_score(pairs)))
+    return df.select("job_id", "candidate_id", *result_columns())

@@ -18,7 +18,7 @@ def with_facets(jobs: DataFrame) -> DataFrame:
         "f_title": X.norm_key(F.col("title")),
         "f_location": X.norm_key(F.col("location")),
         "f_workplace": X.norm_key(F.col("workplace_type")),
-        "f_seniority": X.norm_key(F.col("j_sen")),
+        "f_seniority": X.norm_key(F.col("stated_seniority")),
     })
 
 

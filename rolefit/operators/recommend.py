@@ -30,7 +30,7 @@ from rolefit.functions import vocab
 from rolefit.operators import pairs as P
 from rolefit.operators import preferences as Pref
 from rolefit.operators.features import CANDIDATE_SIGNATURE, JOB_SIGNATURE
-from rolefit.session import fresh_path
+from rolefit.session import written
 from rolefit.sources.payloads import PREFERENCES
 
 # Rows of one item per block on each side: a block is at most the square of it.
@@ -39,14 +39,6 @@ BLOCK_ROWS = 1024
 SLACK = 0.006
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write an intermediate table that several steps read to the shared folder."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
     """First k rows per key. Spark limits each group in every task before the shuffle."""
     w = Window.partitionBy(*keys).orderBy(*order)
@@ -356,8 +348,8 @@ def recommend(jobs: DataFrame, candidates: DataFrame, k: int = DEFAULT_TOP_K) ->
 
     ``jobs`` come from ``match_jobs`` with a unique ``ord``, ``candidates`` from
     ``match_candidates``, with a ``preferences`` struct if they have any.
-    Filters and explanations are made for the survivors only, once per
-    candidate group.
+    Filters, components and explanations (``full_result``) are made for the
+    survivors only, once per candidate group.
     """
     if not 1 <= k <= MAX_TOP_K:
         raise ValueError(f"top_k must be 1..{MAX_TOP_K}")
@@ -378,6 +370,7 @@ def recommend(jobs: DataFrame, candidates: DataFrame, k: int = DEFAULT_TOP_K) ->
         F.col("explanation.matched_required_skills").alias("matched_required_skills"),
         F.col("explanation.missing_required_skills").alias("missing_required_skills"),
         F.col("explanation.recommendations").alias("recommendations"),
+        F.struct("job_id", *P.result_columns()).alias("full_result"),
     )
     for_people = people.select("candidate_id", "gid", "min_score")
     if with_preferences:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rolefit.functions import text as X
 from rolefit.operators.features import column_or_null
-from rolefit.sources.feeds import FEED_A, FEED_B, ingestion_order
+from rolefit.sources.feeds import FEED_A, FEED_B, MAX_BOARDS, ingestion_order
 
 _LISTS = ["skills_required", "skills_preferred", "tools_required", "tools_preferred",
           "domains", "responsibilities"]
@@ -59,10 +59,33 @@ def _staging(df: DataFrame, feed: str, given: dict[str, Column], ingested_at: st
         "pipeline_version": F.lit(pipeline_version),
     }
     columns = defaults | common | given
-    order = ingestion_order(feed, F.lit(0) if board_rank is None else board_rank, F.col("pos"))
+    if board_rank is None:
+        if "board_rank" not in df.columns:
+            df = with_board_rank(df)
+        board_rank = F.col("board_rank")
+    order = ingestion_order(feed, board_rank, F.col("pos"))
     return df.select(*[columns[n].alias(n) for n in STAGING_COLUMNS], order.alias("ord"))
 
 
+def with_board_rank(rows: DataFrame, boards: DataFrame | None = None) -> DataFrame:
+    """Add ``board_rank``: the place of the board in the list of boards, else by name.
+
+    The list is broadcast, since more than MAX_BOARDS boards are refused.
+
+    ``boards`` has source_name and board_rank; boards it does not name follow by
+    name. Only the distinct boards are numbered in one place, and these have to
+    fit into the board part of ``ord``.
+    """
+    names = rows.select("board").distinct()
+    listed = F.lit(None).cast("bigint")
+    if boards is not None and "board_rank" in boards.columns:
+        given = boards.groupBy(F.col("source_name").alias("board")).agg(F.min("board_rank").alias("listed"))
+        names, listed = names.join(given, "board", "left"), F.col("listed")
+    rank = F.row_number().over(Window.orderBy(F.asc_nulls_last(listed), "board")) - 1
+    checked = F.when(rank < MAX_BOARDS, rank).otherwise(F.raise_error("too many boards"))
+    return rows.join(F.broadcast(names.select("board", checked.alias("board_rank"))), "board", "left")
+
+
 def stage_feed_a(df: DataFrame, ingested_at: str, pipeline_version: str,
                  board_rank: Column | None = None) -> DataFrame:
     """Feed A rows (with ``board`` and ``pos``) to staging columns."""

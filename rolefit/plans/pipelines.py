@@ -21,7 +21,8 @@ def run_ingestion(feed_a: DataFrame | None, feed_b: DataFrame | None, base: str,
 
     ``feed_a`` and ``feed_b`` hold landed feed rows with ``board`` and ``pos``.
     Every later step reads the stored snapshot, so a lost executor never
-    leads back to the feeds.
+    leads back to the feeds. ``boards`` (source_type, source_name) is the list of
+    boards in the order in which they are taken (board_rank, else by name).
     """
     given = {feeds.FEED_A: feed_a, feeds.FEED_B: feed_b}
     stage = {feeds.FEED_A: St.stage_feed_a, feeds.FEED_B: St.stage_feed_b}
@@ -33,13 +34,15 @@ def run_ingestion(feed_a: DataFrame | None, feed_b: DataFrame | None, base: str,
             continue
         feeds.write_raw_snapshot(rows, paths["raw"], feed, run_ts)
         stored = feeds.read_raw_snapshot(spark, paths["raw"], feed, run_ts)
-        staged.append(stage[feed](stored, ingested_at, pipeline_version))
+        listed = None if boards is None else boards.where(F.col("source_type") == feed)
+        ranked = St.with_board_rank(stored, listed)
+        staged.append(stage[feed](ranked, ingested_at, pipeline_version))
         raw.append(stored.select(F.lit(feed).alias("source_type"), F.col("board").alias("source_name")))
     all_staged, all_raw = St.unify(*staged), St.unify(*raw)
     Ds.write_version(D.dedup_staging(St.postprocess(all_staged)), paths["staging"], run_ts)
     if boards is None:
         boards = all_raw.distinct()
-    boards = boards.withColumn("raw_snapshot_path", F.concat(
+    boards = boards.select("source_type", "source_name").withColumn("raw_snapshot_path", F.concat(
         F.lit(f"{paths['raw']}/run_ts={run_ts}/source="), "source_type",
         F.lit("/source_company="), "source_name"))
     Ds.write_version(St.run_summary(boards, all_raw, all_staged), paths["run_summary"], run_ts)
@@ -47,14 +50,12 @@ def run_ingestion(feed_a: DataFrame | None, feed_b: DataFrame | None, base: str,
 
 
 def run_curation(spark: SparkSession, staging: str, curated: str, run_ts: str) -> None:
-    latest = Ds.latest_version(Ds.read_versions(spark, staging))
-    Ds.write_version(C.curate(latest), curated, run_ts)
+    Ds.write_version(C.curate(Ds.read_latest(spark, staging)), curated, run_ts)
 
 
 def run_extraction(spark: SparkSession, curated: str, enriched: str, run_ts: str,
                    taxonomy: dict[str, list[str]] | None = None) -> None:
-    latest = Ds.latest_version(Ds.read_versions(spark, curated))
-    Ds.write_version(En.enrich(latest, taxonomy), enriched, run_ts)
+    Ds.write_version(En.enrich(Ds.read_latest(spark, curated), taxonomy), enriched, run_ts)
 
 
 def prepared_candidates(payloads: DataFrame, preferences: DataFrame | None = None) -> DataFrame:
@@ -78,8 +79,14 @@ def recommend(jobs: DataFrame, payloads: DataFrame, preferences: DataFrame | Non
 
 def recommend_from_dataset(dataset: DataFrame, payloads: DataFrame, preferences: DataFrame | None = None,
                            top_k: int = Rec.DEFAULT_TOP_K, limit_jobs: int | None = None) -> DataFrame:
-    """Best jobs per candidate from a stored jobs table; ``limit_jobs`` takes its first jobs."""
+    """Best jobs per candidate from a stored jobs table; ``limit_jobs`` takes its first jobs.
+
+    The limit is found on the order numbers alone, so the jobs stay where they are.
+    """
     jobs = Ds.match_ready(dataset)
+    if "ord" not in dataset.columns:
+        jobs = Rec.written(jobs, "jobs")
     if limit_jobs:
-        jobs = jobs.orderBy("ord").limit(limit_jobs)
+        last = jobs.select("ord").orderBy("ord").limit(limit_jobs).agg(F.max("ord")).scalar()
+        jobs = jobs.where(F.col("ord") <= last)
     return recommend(jobs, payloads, preferences, top_k)

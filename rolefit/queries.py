@@ -86,28 +86,35 @@ def texts(spark, sf_dir):
 
 @query
 def clean_text_docs(spark, sf_dir):
-    return fx.table(spark, sf_dir, "documents", "doc_id").select("doc_id", X.clean_text(F.col("text")).alias("cleaned"))
+    return fx.table(spark, sf_dir, "documents").select("doc_id", X.clean_text(F.col("text")).alias("cleaned"))
 
 
 @query
 def normalize_text_basic_docs(spark, sf_dir):
-    return fx.table(spark, sf_dir, "documents", "doc_id").select(
+    return fx.table(spark, sf_dir, "documents").select(
         "doc_id", X.normalize_text_basic(F.col("text")).alias("normalized"))
 
 
 @query
 def stable_hash_docs(spark, sf_dir):
-    return fx.table(spark, sf_dir, "documents", "doc_id").select("doc_id", X.stable_hash(F.col("text")).alias("hash"))
+    return fx.table(spark, sf_dir, "documents").select("doc_id", X.stable_hash(F.col("text")).alias("hash"))
 
 
 @query
 def html_text_pages(spark, sf_dir):
-    return fx.table(spark, sf_dir, "pages", "page_id").select("page_id", X.html_to_text(F.col("html")).alias("text"))
+    return fx.table(spark, sf_dir, "pages").select("page_id", X.html_to_text(F.col("html")).alias("text"))
+
+
+@query
+def html_references(spark, sf_dir):
+    """Pages with character references of all kinds, one of them on each page."""
+    page = F.concat("html", F.lit("<p>.</p>"), fx.pick(list(fx.REFERENCES), F.col("page_id")))
+    return fx.table(spark, sf_dir, "pages").select("page_id", X.html_to_text(page).alias("text"))
 
 
 @query
 def clean_html_pages(spark, sf_dir):
-    return fx.table(spark, sf_dir, "pages", "page_id").select("page_id", X.clean_html(F.col("html")).alias("text"))
+    return fx.table(spark, sf_dir, "pages").select("page_id", X.clean_html(F.col("html")).alias("text"))
 
 
 @query
@@ -155,6 +162,7 @@ def fit_label_counts(spark, sf_dir):
         F.count("*").alias("n_pairs"), F.min("score").alias("min_score"), F.max("score").alias("max_score"))
 
 
+# fixed values: names of the lists of an explanation
 EXPLANATION_LISTS = [
     "summary_points", "strengths", "matched_required_skills", "missing_required_skills",
     "matched_preferred_skills", "missing_preferred_skills", "matched_domains", "missing_domains",
@@ -195,6 +203,7 @@ def preference_filter(spark, sf_dir):
     return Pref.preference_filter(scored, F.col("preferences")).select("candidate_id", "job_id", "score")
 
 
+# fixed values: columns of a recommendation
 RECOMMENDATION = ["candidate_id", "rank", "job_id", "title", "company", "location", "workplace_type",
                   "score", "fit_label", "hard_filters_passed"]
 
@@ -217,6 +226,25 @@ def recommend_preferences(spark, sf_dir):
     return _recommendation(Rec.recommend(match_jobs(spark, sf_dir), candidates, 5))
 
 
+@query
+def recommend_full_result(spark, sf_dir):
+    """The nested results of the two best jobs of every candidate."""
+    best = Rec.recommend(match_jobs(spark, sf_dir), match_candidates(spark, sf_dir), 2)
+    r = "full_result"
+    return best.select(
+        "candidate_id", "rank", f"{r}.job_id", f"{r}.hard_filters.passed", f"{r}.hard_filters.skill_check.required_skills_total",
+        flat(f"{r}.hard_filters.skill_check.required_skills_missing"), F.col(f"{r}.hard_filters.experience_check.gap").alias("experience_gap"),
+        f"{r}.hard_filters.education_check.job_education", f"{r}.match_score.component_scores.*", flat(f"{r}.explanation.gaps"),
+        f"{r}.explanation.recommendation_summary")
+
+
+@query
+def recommend_limited_jobs(spark, sf_dir):
+    """Three best of the first 150 jobs."""
+    out = Plan.recommend_from_dataset(fx.jobs(spark, sf_dir), fx.candidate_payloads(spark, sf_dir), top_k=3, limit_jobs=150)
+    return out.select("candidate_id", "rank", "job_id", "score")
+
+
 # --- ingestion ------------------------------------------------------------------------------
 
 def _staging_columns(df, drop=()):
@@ -248,7 +276,7 @@ def staging_dedup(spark, sf_dir):
 @query
 def dedup_documents(spark, sf_dir):
     """First document per equal cleaned text."""
-    docs = fx.table(spark, sf_dir, "documents", "doc_id").withColumn("hash", X.stable_hash(F.col("text")))
+    docs = fx.table(spark, sf_dir, "documents").withColumn("hash", X.stable_hash(F.col("text")))
     return D.keep_first(docs, ["hash"], "doc_id").select("doc_id", "hash", "source", "text")
 
 
@@ -365,6 +393,7 @@ def seniority_inferred(spark, sf_dir):
         F.col("title"), F.col("text"), F.col("years")).alias("seniority"))
 
 
+# fixed values: columns of an enriched posting
 ENRICHED = ["job_uid", "title_normalized", "years_experience_extracted", "education_extracted",
             "seniority_inferred"]
 
@@ -443,7 +472,8 @@ def profile_lookup(spark, sf_dir):
 def _preference_changes(spark, sf_dir):
     orders = fx.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     prefs = fx.preferences(spark, sf_dir).select("candidate_id", "preferences.*")
-    changes = orders.withColumn("candidate_id", fx.candidate_id(F.col("o_custkey"))).join(prefs, "candidate_id")
+    changes = orders.withColumn("candidate_id", fx.candidate_id(F.col("o_custkey"))).join(
+        prefs, "candidate_id", "left")
     return changes.select(
         F.col("o_custkey").alias("user_id"), F.col("o_orderdate").alias("updated_at"),
         F.col("o_orderkey").alias("ord"), "preferred_titles", "preferred_locations",
@@ -490,17 +520,65 @@ def payload_violations(spark, sf_dir):
 
 @query
 def recommend_from_latest(spark, sf_dir):
-    """Two runs of a dataset are stored; the latest one is read, made match-ready and ranked."""
+    """Two runs of a dataset are stored, the second one twice; the latest is read, made match-ready and ranked."""
     base = fresh_path(spark, "jobs")
     jobs = fx.jobs(spark, sf_dir)
     older = jobs.withColumn("required_skills", X.empty_strings())
-    Ds.write_version(older, base, "2026-04-05T00-00-00")
-    Ds.write_version(jobs, base, RUN_TS)
-    latest = Ds.latest_version(Ds.read_versions(spark, base))
-    out = Plan.recommend_from_dataset(latest, fx.candidate_payloads(spark, sf_dir), top_k=3)
+    for run_ts, rows in [("2026-04-05T00-00-00", older), (RUN_TS, older), (RUN_TS, jobs)]:
+        Ds.write_version(rows, base, run_ts)
+    out = Plan.recommend_from_dataset(Ds.read_latest(spark, base), fx.candidate_payloads(spark, sf_dir), top_k=3)
     return out.select("candidate_id", "rank", "job_id", "score", "fit_label")
 
 
+@query
+def stored_pipeline(spark, sf_dir):
+    """Feeds to recommendations through the stored stages, with postings that stand on two boards."""
+    base = fresh_path(spark, "pipeline")
+    paths = Plan.run_ingestion(fx.feed_a_on_two_boards(spark, sf_dir), fx.feed_b(spark, sf_dir), base, RUN_TS, INGESTED_AT, VERSION)
+    Plan.run_curation(spark, paths["staging"], f"{base}/curated", RUN_TS)
+    Plan.run_extraction(spark, f"{base}/curated", f"{base}/enriched", RUN_TS)
+    out = Plan.recommend_from_dataset(Ds.read_latest(spark, f"{base}/enriched"), fx.candidate_payloads(spark, sf_dir), top_k=2)
+    return out.select("candidate_id", "job_id", "rank", "score")
+
+
+@query
+def dataset_text_formats(spark, sf_dir):
+    """A dataset written and read back as CSV and as JSON."""
+    jobs = fx.jobs(spark, sf_dir).select(
+        "job_id", "title", "location", "required_skills", F.col("years_experience_required").alias("years"))
+    out = []
+    for fmt, items in [("csv", "STRING"), ("json", "ARRAY<STRING>")]:
+        base = fresh_path(spark, fmt)
+        Ds.write_version(jobs, base, RUN_TS, fmt)
+        back = Ds.read_latest(spark, base, fmt, f"job_id STRING, title STRING, location STRING, required_skills {items}, years BIGINT")
+        skills = X.json_to_list(F.col("required_skills")) if fmt == "csv" else F.col("required_skills")
+        out.append(back.select(F.lit(fmt).alias("format"), "job_id", "title", F.coalesce("location", F.lit("")).alias("location"),
+                               F.array_join(skills, "|").alias("required_skills"), "years"))
+    return out[0].unionByName(out[1])
+
+
+@query
+def newest_dataset_scan(spark, sf_dir):
+    """Of the datasets in two folders the one written last, as the matching endpoints read it."""
+    base, jobs = fresh_path(spark, "folders"), fx.jobs(spark, sf_dir)
+    Ds.write_version(jobs.withColumn("required_skills", X.empty_strings()), f"{base}/curated", "2026-09-01T00-00-00")
+    Ds.write_version(jobs, f"{base}/enriched", RUN_TS)
+    newest = Ds.newest_dataset(spark, [f"{base}/curated", f"{base}/enriched", f"{base}/absent"])
+    return Ds.match_ready(Ds.read_run(spark, newest)).select("job_id", "title", flat("required_skills"))
+
+
+@query
+def job_payload_scan(spark, sf_dir):
+    """Job payloads from a file of JSON lines, some of them broken: rows per list of violations."""
+    jobs = fx.jobs(spark, sf_dir)
+    titled = jobs.withColumn("title", F.when(F.col("ord") % 10 != 5, F.col("title")))
+    line = F.to_json(F.struct(*[c for c in jobs.columns if c != "ord"]))
+    path = fresh_path(spark, "payloads")
+    titled.select(F.when(F.col("ord") % 10 == 3, F.left(line, F.lit(12))).otherwise(line)).write.text(path)
+    checked = Pay.job_payloads(spark, path).select(flat("violations"))
+    return checked.groupBy("violations").agg(F.count("*").alias("n_rows"))
+
+
 # --- evaluation -------------------------------------------------------------------------------------
 
 def _eval_rows(spark, sf_dir):

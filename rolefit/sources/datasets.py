@@ -24,35 +24,50 @@ def _csv_options(writer_or_reader):
             .option("escape", '"').option("encoding", "UTF-8"))
 
 
+def run_folder(base: str, run_ts: str) -> str:
+    return f"{base.rstrip('/')}/run_ts={run_ts}"
+
+
 def write_version(df: DataFrame, base: str, run_ts: str, fmt: str = "parquet") -> None:
-    """Add one run to a dataset. CSV cannot hold lists, so they become JSON text."""
-    out = df.withColumn("run_ts", F.lit(run_ts))
+    """Write one run of a dataset; a run of the same name is replaced. CSV cannot
+    hold lists, so they become JSON text."""
+    out = df
     if fmt == "csv":
         lists = [n for n, kind in df.dtypes if kind.startswith("array")]
         out = out.withColumns({n: X.list_to_json(F.col(n)) for n in lists})
-    writer = out.write.mode("append").partitionBy("run_ts")
+    writer = out.write.mode("overwrite")
     if fmt == "csv":
         writer = writer.option("header", True).option("escape", '"').option("emptyValue", "")
-    writer.format(fmt).save(base)
+    writer.format(fmt).save(run_folder(base, run_ts))
 
 
-def read_versions(spark: SparkSession, base: str, fmt: str = "parquet", schema: str | None = None) -> DataFrame:
-    """All runs. Text formats need a schema; nothing is inferred from the data."""
+def read_run(spark: SparkSession, path: str, fmt: str = "parquet", schema: str | None = None) -> DataFrame:
+    """Rows below one folder. Text formats need a schema; nothing is inferred from the data."""
     reader = spark.read
     if fmt in TEXT_FORMATS:
         if schema is None:
             raise ValueError("a text dataset needs a schema")
-        reader = reader.schema(f"{schema}, run_ts STRING")
+        reader = reader.schema(schema)
     if fmt == "csv":
         reader = _csv_options(reader)
-    return reader.format(fmt).load(base)
+    return reader.format(fmt).load(path)
+
+
+def finished_runs(spark: SparkSession, base: str) -> list[str]:
+    """Names of the runs whose writing has ended, oldest first; only listings are read."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    store = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    folders = [f.getPath().getName() for f in store.listStatus(jvm_path) if f.isDirectory()]
+    names = [n.removeprefix("run_ts=") for n in folders if n.startswith("run_ts=")]
+    return sorted(n for n in names if _exists(spark, f"{run_folder(base, n)}/_SUCCESS"))
 
 
-def latest_version(df: DataFrame) -> DataFrame:
-    """Rows of the last run by name: a scalar subquery over the partition column,
-    so only the last folder is read."""
-    newest = df.select(F.max(F.col("run_ts").cast("string")).alias("run_ts")).scalar()
-    return df.filter(F.col("run_ts").cast("string") == newest).drop("run_ts")
+def read_latest(spark: SparkSession, base: str, fmt: str = "parquet", schema: str | None = None) -> DataFrame:
+    """Rows of the last finished run by name; no other folder is opened."""
+    runs = finished_runs(spark, base)
+    if not runs:
+        raise FileNotFoundError(f"no finished run under {base}")
+    return read_run(spark, run_folder(base, runs[-1]), fmt, schema)
 
 
 def newest_dataset(spark: SparkSession, folders: list[str], custom_path: str | None = None,
@@ -112,13 +127,14 @@ def match_ready(df: DataFrame) -> DataFrame:
 
     Alternative column names are tried in order. For years, education and
     seniority the first column that exists decides, even where it is empty.
-    Files have no row order: a table without ``ord`` is ordered by job id.
+    Files have no row order: a table without ``ord`` is numbered as it is read
+    (unique, though not dense), so it has to be written before it is read twice.
     """
     def column_that_exists(*names):
         return column_or_null(df, next((n for n in names if n in df.columns), names[0]))
 
     job_id = _first_given(df, "job_id", "job_uid")
-    order = F.col("ord") if "ord" in df.columns else job_id
+    order = F.col("ord") if "ord" in df.columns else F.monotonically_increasing_id()
     years = column_that_exists("years_experience_required", "years_experience_extracted")
     edu = column_that_exists("education_required", "education_extracted").cast("string")
     sen = column_that_exists("seniority", "seniority_inferred").cast("string")

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from rolefit.functions import text as X
+
 # --- fixed values: feed names as they appear in ids ------------------------------
 FEED_A = "greenhouse"
 FEED_B = "lever"
@@ -23,9 +27,12 @@ FEED_B_ROW = (
 FEED_ROW = {FEED_A: FEED_A_ROW, FEED_B: FEED_B_ROW}
 _TOP_LEVEL_KEY = {FEED_A: "jobs"}
 
-# A payload position takes 40 bits; feed and board order stand above it.
+# A payload position takes 40 bits, the upper 16 of them for the place of its file
+# among those of the board; feed and board order stand above it.
 _POS_BITS = 40
+_ROW_BITS = 24
 _BOARD_BITS = 20
+MAX_BOARDS = 1 << _BOARD_BITS
 
 
 def ingestion_order(feed: str, board_rank: Column, pos: Column) -> Column:
@@ -39,7 +46,8 @@ def read_payloads(spark: SparkSession, path: str, feed: str) -> DataFrame:
 
     Takes the response object (rows under a key, feed A only) as well as the
     bare list. One file is one response of one board, so the unit read by a
-    task is what the feed itself delivers at once. Rows keep their position.
+    task is what the feed itself delivers at once. Rows keep their position,
+    and files of one board follow each other by name.
     """
     row = FEED_ROW[feed]
     files = spark.read.text(path, wholetext=True).select(
@@ -49,28 +57,38 @@ def read_payloads(spark: SparkSession, path: str, feed: str) -> DataFrame:
         key = _TOP_LEVEL_KEY[feed]
         wrapped = F.from_json("value", f"STRUCT<{key}: ARRAY<STRUCT<{row}>>>")[key]
         rows = F.when(F.ltrim("value").startswith("{"), wrapped).otherwise(rows)
-    board = F.regexp_extract("file", rf"^{feed}_(.+)_jobs_raw_", 1)
+    board = F.regexp_extract("file", rf"^{feed}_(.+)_jobs_raw_", 1).alias("board")
+    # Names only: the listing does not open the files, and the driver has made it anyway.
+    listing = spark.read.format("binaryFile").load(path).select(F.substring_index("path", "/", -1).alias("file"))
+    names = sorted({row["file"] for row in listing.collect()})
+    places, seen = {}, Counter()
+    for name in names:
+        of = name.partition("_jobs_raw_")[0]
+        places[name], seen[of] = seen[of], seen[of] + 1
+    place = F.coalesce(X.lookup(places, F.col("file")) if places else F.lit(None), F.lit(0)).cast("bigint")
     # Outer, so that the planner does not parse every file twice to test for rows.
-    return (files.select(board.alias("board"), F.posexplode_outer(rows).alias("pos", "row"))
-            .filter(F.col("pos").isNotNull()).select("board", "pos", "row.*"))
+    read = (files.select(board, place.alias("place"), F.posexplode_outer(rows).alias("pos", "row"))
+            .filter(F.col("pos").isNotNull()))
+    return read.select("board", (F.shiftleft("place", _ROW_BITS) + F.col("pos")).alias("pos"), "row.*")
+
+
+def raw_folder(base: str, feed: str, run_ts: str) -> str:
+    return f"{base}/run_ts={run_ts}/source={feed}"
 
 
 def write_raw_snapshot(rows: DataFrame, base: str, feed: str, run_ts: str) -> None:
-    """Raw rows of one run as JSON lines, one folder per run, feed and board.
+    """Raw rows of one run as JSON lines, one folder per run, feed and board; a
+    snapshot of the same run and feed is replaced.
 
     Lines split across readers. Rows are rebalanced by board, so that a run does
     not leave a file per board and task; a board with very many rows is still
     spread over several files. The position column keeps the payload order.
     """
-    (rows.hint("rebalance", "board").withColumns({"run_ts": F.lit(run_ts), "source": F.lit(feed),
-                       "source_company": F.col("board")})
-     .drop("board").write.mode("append")
-     .partitionBy("run_ts", "source", "source_company").json(base))
+    (rows.hint("rebalance", "board").withColumnRenamed("board", "source_company").write.mode("overwrite")
+     .partitionBy("source_company").json(raw_folder(base, feed, run_ts)))
 
 
 def read_raw_snapshot(spark: SparkSession, base: str, feed: str, run_ts: str) -> DataFrame:
-    schema = (f"pos BIGINT, {FEED_ROW[feed]}, run_ts STRING, source STRING, "
-              "source_company STRING")
-    return (spark.read.schema(schema).json(base)
-            .filter((F.col("run_ts") == run_ts) & (F.col("source") == feed))
-            .withColumnRenamed("source_company", "board").drop("run_ts", "source"))
+    schema = f"pos BIGINT, {FEED_ROW[feed]}, source_company STRING"
+    stored = spark.read.schema(schema).json(raw_folder(base, feed, run_ts))
+    return stored.withColumnRenamed("source_company", "board")

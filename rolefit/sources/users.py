@@ -15,14 +15,16 @@ _PREFERENCE_LISTS = ["preferred_titles", "preferred_locations", "preferred_workp
 
 
 def last_write(rows: DataFrame, key: str = "user_id") -> DataFrame:
-    """Newest row per key by (updated_at, ord).
+    """Newest row per key by (updated_at, ord); a missing time is the oldest.
 
-    An aggregate, so the versions of a much-written user are reduced in each
-    task before the shuffle.
+    Two aggregates of numbers, so the versions of a much-written user are reduced
+    in each task before the shuffle; the rows meet the winners' numbers alone.
     """
-    others = [c for c in rows.columns if c != key]
-    newest = F.max_by(F.struct(*others), F.struct("updated_at", "ord")).alias("row")
-    return rows.groupBy(key).agg(newest).select(key, "row.*")
+    at = F.coalesce(F.unix_micros(F.col("updated_at").cast("timestamp")), F.lit(-(1 << 63)))
+    narrow = rows.select(key, at.alias("__at"), "ord")
+    newest = narrow.groupBy(key).agg(F.max("__at").alias("__at"))
+    winners = narrow.join(newest, [key, "__at"]).groupBy(key, "__at").agg(F.max("ord").alias("ord"))
+    return rows.withColumn("__at", at).join(winners, [key, "__at", "ord"], "left_semi").select(*rows.columns)
 
 
 def upsert(existing: DataFrame | None, changes: DataFrame) -> DataFrame:

@@ -65,15 +65,14 @@ def test_dedup_two_steps_in_order(spark):
 def test_pipeline_end_to_end(spark, tmp_path):
     base = str(tmp_path)
     paths = Plan.run_ingestion(fx.feed_a(spark, SF), fx.feed_b(spark, SF), base, "2026-04-06T03-18-32", "t", "1.0.0")
-    staging = Ds.latest_version(Ds.read_versions(spark, paths["staging"]))
-    summary = Ds.latest_version(Ds.read_versions(spark, paths["run_summary"]))
+    staging, summary = (Ds.read_latest(spark, paths[n]) for n in ("staging", "run_summary"))
     n = staging.count()
     assert summary.agg(F.sum("records_fetched"), F.sum("records_normalized")).first()[:] == (250, 250) and n == 250
     path = summary.first()["raw_snapshot_path"]
     assert spark.read.text(path).count() == summary.first()["records_fetched"]
     Plan.run_curation(spark, paths["staging"], f"{base}/curated", "r1")
     Plan.run_extraction(spark, f"{base}/curated", f"{base}/enriched", "r2")
-    enriched = Ds.latest_version(Ds.read_versions(spark, f"{base}/enriched"))
+    enriched = Ds.read_latest(spark, f"{base}/enriched")
     assert enriched.count() == n and set(enriched.columns) >= {"required_skills", "curated_record_hash"}
     newest = Ds.newest_dataset(spark, [f"{base}/curated", f"{base}/enriched", f"{base}/absent"])
     assert newest.endswith("run_ts=r2")
@@ -89,22 +88,54 @@ def test_text_datasets_keep_values(spark, tmp_path):
     rows = [("a", 'say "hi", x\ny', ["p", 'q"'], None), ("b", "", [], "é")]
     df = spark.createDataFrame(rows, "id string, t string, l array<string>, u string")
     Ds.write_version(df, f"{tmp_path}/csv", "r1", "csv")
-    back = Ds.latest_version(Ds.read_versions(spark, f"{tmp_path}/csv", "csv", "id string, t string, l string, u string"))
+    back = Ds.read_latest(spark, f"{tmp_path}/csv", "csv", "id string, t string, l string, u string")
     got = {r["id"]: r for r in back.collect()}
     assert got["a"]["t"] == 'say "hi", x\ny' and json.loads(got["a"]["l"]) == ["p", 'q"'] and got["b"]["u"] == "é"
     Ds.write_version(df, f"{tmp_path}/json", "r1", "json")
     Ds.write_version(df.filter("id = 'b'"), f"{tmp_path}/json", "r2", "json")
-    versions = Ds.read_versions(spark, f"{tmp_path}/json", "json", "id string, t string, l array<string>, u string")
-    assert versions.count() == 3 and Ds.latest_version(versions).count() == 1
+    assert Ds.read_latest(spark, f"{tmp_path}/json", "json", "id string, t string, l array<string>, u string").count() == 1
     with pytest.raises(ValueError):
-        Ds.read_versions(spark, f"{tmp_path}/json", "json")
+        Ds.read_latest(spark, f"{tmp_path}/json", "json")
 
 
 def test_latest_version_reads_one_folder(spark, tmp_path):
-    for run in ["2026-01-01", "2026-01-02"]:
+    for run in ["2026-01-01", "2026-01-02", "2026-01-02", "2026-01-03"]:
         Ds.write_version(spark.range(5), f"{tmp_path}/d", run)
-    plan = Ds.latest_version(Ds.read_versions(spark, f"{tmp_path}/d"))._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(run_ts" in plan
+    (tmp_path / "d" / "run_ts=2026-01-03" / "_SUCCESS").unlink()  # as if its writing had not ended
+    latest = Ds.read_latest(spark, f"{tmp_path}/d")
+    assert latest.count() == 5 and {f.split("/")[-2] for f in latest.inputFiles()} == {"run_ts=2026-01-02"}
+    with pytest.raises(FileNotFoundError):
+        Ds.read_latest(spark, str(tmp_path))
+
+
+def test_rerun_replaces_the_run(spark, tmp_path):
+    rows = fx.feed_a(spark, SF)
+    for part in (rows, rows.filter("board <> 'board_1'")):
+        feeds.write_raw_snapshot(part, f"{tmp_path}/raw", feeds.FEED_A, "r1")
+        assert feeds.read_raw_snapshot(spark, f"{tmp_path}/raw", feeds.FEED_A, "r1").count() == part.count()
+
+
+def test_positions_restart_on_each_board(spark, tmp_path):
+    """Rows of two boards with equal positions stay apart; a copy inside a board and one across boards go."""
+    def post(board, pos, uid, title):
+        return (board, pos, uid, f"http://x/{title}", "2026", title, "<p>sql required</p>", None, None, [], [])
+
+    rows = [post("b", 0, 1, "one"), post("b", 1, 2, "two"), post("b", 2, 1, "one"), post("a", 0, 3, "three"), post("a", 1, 4, "two")]
+    kinds = ("board string, pos bigint, id bigint, absolute_url string, updated_at string, title string, content string, "
+             "location struct<name:string>, metadata array<struct<name:string,value:string>>, departments array<struct<name:string>>, "
+             "offices array<struct<name:string>>")
+    df = spark.createDataFrame(rows, kinds).withColumn("metadata", F.expr(
+        "transform(metadata, m -> struct(m.name AS name, cast(m.value AS variant) AS value))"))
+    base = str(tmp_path)
+    paths = Plan.run_ingestion(df, None, base, "r1", "t", "1")
+    staged = Ds.read_latest(spark, paths["staging"]).orderBy("ord").collect()
+    assert [r["job_uid"].split("::", 1)[1] for r in staged] == ["a::3", "a::4", "b::1"] and len({r["ord"] for r in staged}) == 3
+    boards = spark.createDataFrame([("greenhouse", "b", 0), ("greenhouse", "a", 1)], "source_type string, source_name string, board_rank bigint")
+    paths = Plan.run_ingestion(df, None, base, "r2", "t", "1", boards)
+    staged = Ds.read_latest(spark, paths["staging"]).orderBy("ord").collect()
+    assert [r["job_uid"].split("::", 1)[1] for r in staged] == ["b::1", "b::2", "a::3"]
+    best = Plan.recommend_from_dataset(Ds.read_latest(spark, paths["staging"]), fx.candidate_payloads(spark, SF).limit(1), top_k=2)
+    assert sorted(r["rank"] for r in best.collect()) == [1, 2]
 
 
 def test_missing_dataset(spark, tmp_path):
@@ -122,7 +153,7 @@ def test_match_ready_first_existing_column_decides(spark):
     rows = Ds.match_ready(df).orderBy("job_id").collect()
     assert [(r["job_id"], r["title"], r["required_skills"], r["years_experience_required"]) for r in rows] == [
         ("u1", "T", ["sql"], None), ("u2", "norm", ["a", "b"], 2)]
-    assert rows[0]["domains"] == [] and rows[0]["company"] == "" and rows[0]["ord"] == "u1"
+    assert rows[0]["domains"] == [] and rows[0]["company"] == "" and rows[0]["ord"] != rows[1]["ord"]
 
 
 def test_payload_scan(spark, tmp_path):

@@ -41,7 +41,7 @@ def test_normalize_text_basic(spark):
 
 def test_html(spark):
     html = "a &amp;lt; b &#39;x&#x27; &copy; &bogus; & z<br><script>if(a<b){}</script>ok<!-- no -->&eacute;&#0;"
-    assert apply(spark, [html, "", None], X.html_to_text) == ["a &lt; b 'x' © &bogus; & z ok é&#0;", "", ""]
+    assert apply(spark, [html, "", None], X.html_to_text) == ["a &lt; b 'x' © &bogus; & z ok é\ufffd", "", ""]
     assert apply(spark, ["<p>R&amp;D</p>&nbsp;x &copy;"], X.clean_html) == ["R D x &copy;"]
 
 
@@ -57,6 +57,17 @@ def test_rounding_equals_python(spark):
 
 def test_general_number(spark):
     assert apply(spark, [6.0, 2.5, 0.0, None], X.general_number, "double") == ["6", "2.5", "0", None]
+    numbers = [1234567.0, 33.3333333, 0.00001234, -7.25, 100000.5, 999999.5, 0.5, 1e-4, 123456.0, 100001.5]
+    assert apply(spark, numbers, X.general_number, "double") == [f"{n:g}" for n in numbers]
+
+
+def test_references_of_all_kinds(spark):
+    texts = ["&rarr;&Omega; &#00000065;&#x0000041; &copy 2020 R&ampD &nosuch; &#150; &#99999999999;", "<p title='a>b' x=\"c>d\">y</p> 1 < 2", "&amp;lt;"]
+    assert apply(spark, texts, X.html_to_text) == ["→Ω AA © 2020 R&D &nosuch; – \ufffd", "y 1 < 2", "&lt;"]
+
+
+def test_whole_numbers_of_any_script(spark):
+    assert apply(spark, ["12", "٣", "１２", "99999999999999999999", "", None], X.whole_number) == [12, 3, 12, 10**18, None, None]
 
 
 @pytest.mark.parametrize("text,expected", [
