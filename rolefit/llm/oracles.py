@@ -92,7 +92,7 @@ HOST = r"lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^
 
 LISTED = rf"""
 WITH p AS (
-  SELECT page_id, url, DATE '2024-01-01' + (page_id % 366)::INT AS at, {HOST} AS host, regexp_extract(url, '^[A-Za-z]+://[^/]+/([a-z]+)', 1) AS section,
+  SELECT page_id, url, DATE '2024-01-01' + (page_id % 366)::INT AS seen_at, {HOST} AS host, regexp_extract(url, '^[A-Za-z]+://[^/]+/([a-z]+)', 1) AS section,
     list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1), '/'), lambda s: s <> '') AS segments
   FROM pages
 ), patterns AS (
@@ -109,14 +109,14 @@ WITH p AS (
 ), held AS (
   SELECT * FROM (SELECT *, lead(valid_from) OVER (PARTITION BY pattern ORDER BY valid_from) AS valid_to FROM one) x WHERE listed
 ), asked AS (
-  SELECT page_id, at, array_to_string(string_split(host, '.')[k:], '.') AS pattern FROM p, unnest(range(1, len(string_split(host, '.')) + 1)) AS t(k) WHERE host <> ''
-  UNION SELECT page_id, at, host || '/' || array_to_string(segments[1:k], '/') FROM p, unnest(range(1, len(segments) + 1)) AS t(k) WHERE host <> ''
+  SELECT page_id, seen_at, array_to_string(string_split(host, '.')[k:], '.') AS pattern FROM p, unnest(range(1, len(string_split(host, '.')) + 1)) AS t(k) WHERE host <> ''
+  UNION SELECT page_id, seen_at, host || '/' || array_to_string(segments[1:k], '/') FROM p, unnest(range(1, len(segments) + 1)) AS t(k) WHERE host <> ''
 ), hit AS (
-  SELECT page_id, a.pattern, length(a.pattern) AS l FROM asked a JOIN held h ON a.pattern = h.pattern AND at >= valid_from AND (valid_to IS NULL OR at < valid_to)
+  SELECT page_id, a.pattern, length(a.pattern) AS l FROM asked a JOIN held h ON a.pattern = h.pattern AND seen_at >= valid_from AND (valid_to IS NULL OR seen_at < valid_to)
 ), per AS (
   SELECT page_id, count(*) AS n, first(pattern ORDER BY l DESC, pattern) AS matched FROM hit GROUP BY page_id
 )
-SELECT p.page_id, strftime(p.at, '%Y-%m-%d') AS fetched_at, coalesce(per.n, 0) AS n_matches, per.matched, per.n IS NOT NULL AS blocked
+SELECT p.page_id, strftime(p.seen_at, '%Y-%m-%d') AS fetched_at, coalesce(per.n, 0) AS n_matches, per.matched, per.n IS NOT NULL AS blocked
 FROM p LEFT JOIN per ON per.page_id = p.page_id
 """
 
