@@ -5,8 +5,11 @@ hyperplane signs, and is refined by neighbours-of-neighbours joins: the vectors
 to it, are compared with each other and keep whatever improves their lists. A node's list has `k` entries; a saturated one (all
 its entries are links) is enlarged by every further link met. Since links of links may still be missing then, the lists
 are at last enlarged to the whole component of found links, compared in double precision and in blocks, and only pairs
-with a cosine of `least` or more stay. A sample of nodes is compared with all vectors to audit the recall; below
-`target` more orders are added.
+with a cosine of `least` or more stay. The number of orders grows with the number of nodes, so that a pair at the threshold
+stands in one window of some order but for a share of `MISS`, whatever the joins add.
+
+A sample of nodes, few of any one component, is compared with all vectors to audit the recall by node; below `target` more
+orders are added, and if the last try still misses it, all vectors are compared in blocks, which is exact and quadratic.
 
 A vector that is null or empty, all zero, or has null or non-finite components, and a row without an id link with nothing.
 Vectors of different length do not link. Rows that share an id but not the vector are compared like any others. Equal
@@ -15,6 +18,7 @@ vectors link with each other. An empty table gives an empty result. Extra column
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +32,12 @@ from .kernel import whole_runs
 
 #: Rows compared with each other in one block of an order, members of a node compared at once, rows of a block of a component.
 WINDOW, TOGETHER, BLOCK = 64, 96, 512
+#: Rows of a block when all vectors are compared.
+WIDE = 2048
+#: Share of the pairs at the threshold that all orders of a try may miss.
+MISS = 0.01
+#: Nodes of one component that may be audited (expected), and bytes of vectors that are audited at once.
+EACH, ASKED_BYTES = 64, 32 << 20
 #: Single precision may be wrong by so much; what is this close to the threshold is decided in double precision.
 SLACK = 1e-5
 
@@ -48,6 +58,17 @@ def matrix(column: pa.Array, dim: int) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def enough_tables(nodes: int, least: float) -> int:
+    """Orders in which a pair with a cosine of `least` shares half a window in at least one, but for a share of MISS.
+
+    A hyperplane leaves the pair on one side with probability 1 - angle / pi; half a window is what has the first
+    log2(nodes / half a window) signs in common.
+    """
+    same = 1 - math.acos(max(-1.0, min(1.0, least))) / math.pi
+    chance = same ** max(0.0, math.log2(max(1, nodes) / (WINDOW / 2)))
+    return 1 if chance >= 1 - MISS else math.ceil(math.log(MISS) / math.log1p(-chance))
+
+
 def _orders(nodes: DataFrame, tables: range, k: int) -> DataFrame:
     """(u, v, sim): the k best of those near in each of some orders by 62 hyperplane signs."""
 
@@ -135,11 +156,11 @@ def _improved(nodes: DataFrame, edges: DataFrame, k: int, least: float, salt: in
     return rows.repartition("centre", "part").sortWithinPartitions("centre", "part").mapInArrow(joined, "u bigint, v bigint, sim float")
 
 
-def _compare(nodes: DataFrame, roots: DataFrame, least: float) -> DataFrame:
+def _compare(nodes: DataFrame, roots: DataFrame, least: float, size: int) -> DataFrame:
     """(c, other, links) within the components: links counts rows of linked vectors in one pair of blocks; other is a
     linked node (null for counts), and these links span each component's exact parts."""
     of = nodes.join(roots, nodes["c"] == roots["node"]).select("c", "n", "dim", "vec", "root")
-    sizes = roots.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    sizes = roots.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("blocks"))
     placed = of.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("c"), "blocks").cast("int"))
     # Block i meets the blocks j >= i: its rows go to (i, j) for these and to (j, i) for the others.
     sent = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
@@ -197,52 +218,83 @@ def _spanning(linked: np.ndarray, left: np.ndarray, right: np.ndarray, size: int
     return out
 
 
-def audit(nodes: DataFrame, roots: DataFrame, least: float, sample: int = 512) -> tuple[int, int]:
-    """(links, links found) of about `sample` nodes, compared with every node; found means in one component."""
-    total = max(1, nodes.count())
-    part = F.pmod(F.xxhash64(F.lit("audit"), "c"), F.lit(1 << 20)) * F.lit(total / (1 << 20)) < sample
-    asked = nodes.where(part).select("c", "dim", "vec").limit(4 * sample).toArrow().combine_chunks()
+def audit(nodes: DataFrame, roots: DataFrame, least: float, sample: int = 512, enough: int = 256) -> tuple[int, int]:
+    """(linked nodes, those with every link found) of a sample compared with every node; found means in one component.
+
+    About EACH nodes of any one component can be asked, so that a large group of copies does not outvote the small ones.
+    The sample grows until it holds `enough` linked nodes, where links are rare up to all nodes that can be asked.
+    """
+    sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+    rooted = nodes.join(roots.join(sizes, "root"), nodes["c"] == F.col("node"), "left")
+
+    def drawn(salt: str):
+        return F.pmod(F.xxhash64(F.lit(salt), "c"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+
+    placed = cut(rooted.select("c", "dim", "vec", F.coalesce("root", "c").alias("root"), (drawn("pool") * F.coalesce("size", F.lit(1)) < EACH).alias("may"), drawn("audit").alias("at")), "placed")
+    total, widest = placed.where("may").agg(F.count(F.lit(1)), F.max("dim")).first()
+    most = max(1, ASKED_BYTES // (8 * (widest or 1)))
+    linked = found = 0
+    low, asked = 0.0, min(sample, most)
+    while low < 1 and total and linked < enough:
+        high = min(1.0, low + asked / total)
+        more, hits = _asked(placed, placed.where(F.col("may") & (F.col("at") >= low) & (F.col("at") < high)), least)
+        linked, found = linked + more, found + hits
+        low, asked = high, min(4 * asked, most)
+    return linked, found
+
+
+def _asked(placed: DataFrame, some: DataFrame, least: float) -> tuple[int, int]:
+    """(linked nodes, those with every link found) of `some` nodes."""
+    asked = some.select("c", "dim", "vec", "root").toArrow().combine_chunks()
     by_dim = {}
     for dim in set(asked["dim"].to_pylist()):
         mine = asked.filter(pa.compute.equal(asked["dim"], dim))
-        by_dim[dim] = (mine["c"].to_numpy(), matrix(mine["vec"].combine_chunks(), dim))
-    shared = nodes.sparkSession.sparkContext.broadcast(by_dim)
+        by_dim[dim] = (mine["c"].to_numpy(), mine["root"].to_numpy(), matrix(mine["vec"].combine_chunks(), dim))
+    shared = placed.sparkSession.sparkContext.broadcast(by_dim)
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            dims, ids = batch.column(1).to_numpy(), batch.column(0).to_numpy()
-            for dim, (c, q) in shared.value.items():
+            ids, dims, roots = (batch.column(k).to_numpy() for k in (0, 1, 3))
+            for dim, (c, root, q) in shared.value.items():
                 rows = np.flatnonzero(dims == dim)
-                if len(rows):
-                    s = q @ matrix(batch.column(2).take(pa.array(rows)), dim).T >= least
-                    i, j = np.nonzero(s)
-                    other = c[i] != ids[rows[j]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c[i][other]), pa.array(ids[rows[j]][other])], ["a", "b"])
-
-    links = nodes.select("c", "dim", "vec").mapInArrow(searched, "a bigint, b bigint")
-    one, two = (roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
-    both = links.join(one, "a", "left").join(two, "b", "left")
-    row = both.agg(F.count(F.lit(1)), F.sum((F.col("root_a") == F.col("root_b")).cast("int"))).first()
+                if not len(rows):
+                    continue
+                x = matrix(batch.column(2).take(pa.array(rows)), dim)
+                for a in range(0, len(c), BLOCK):
+                    i, j = np.nonzero(q[a : a + BLOCK] @ x.T >= least)
+                    i, j = i + a, rows[j]
+                    other = c[i] != ids[j]
+                    i, j = i[other], j[other]
+                    links, hits = np.bincount(i, minlength=len(c)), np.bincount(i[root[i] == roots[j]], minlength=len(c))
+                    met = np.flatnonzero(links)
+                    yield pa.RecordBatch.from_arrays([pa.array(c[met]), pa.array(links[met]), pa.array(hits[met])], ["a", "links", "hits"])
+
+    each = placed.select("c", "dim", "vec", "root").mapInArrow(searched, "a bigint, links bigint, hits bigint").groupBy("a").agg(F.sum("links").alias("links"), F.sum("hits").alias("hits"))
+    row = each.agg(F.count(F.lit(1)), F.sum((F.col("links") == F.col("hits")).cast("int"))).first()
+    shared.destroy()
     return row[0], row[1] or 0
 
 
 def near_duplicates(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", least: float = 0.9, k: int = 8,
                     tables: int = 12, rounds: int = 2, target: float = 0.98, tries: int = 3) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) for each row of `df`."""
+    """(vec_id, n_links, component_id, kept) for each row of `df`. `tables` is the least number of orders of a try."""
     nodes = cut(nodes_of(df, vec_id, embedding), "nodes")
-    edges, salt = None, 0
+    edges, salt, size = None, 0, BLOCK
+    tables = max(tables, enough_tables(nodes.count(), least))
     for attempt in range(tries):
-        found = _orders(nodes, range(attempt * tables, (attempt + 1) * tables), k)
-        edges = cut(_best(found if edges is None else found.union(edges.select("u", "v", "sim")), k, least), "edges")
+        fresh = _orders(nodes, range(attempt * tables, (attempt + 1) * tables), k)
+        edges = cut(_best(fresh if edges is None else fresh.union(edges.select("u", "v", "sim")), k, least), "edges")
         for _ in range(rounds):
             salt += 1
             more = _improved(nodes, edges, k, least, salt)
             edges = cut(_best(more.union(edges.select("u", "v", "sim")), k, least), "edges")
         roots = cut(connected(edges.where(F.col("sim") >= least - SLACK), "u", "v"), "roots")
-        links, hits = audit(nodes, roots, least)
-        if hits >= target * links:
+        linked, found = audit(nodes, roots, least)
+        if found >= target * linked:
             break
-    exact = cut(_compare(nodes, roots, least), "exact")
+    else:  # what is still missing is found by comparing all vectors of a length, as one component
+        roots, size = nodes.select(F.col("c").alias("node"), F.col("dim").cast("bigint").alias("root")), WIDE
+    exact = cut(_compare(nodes, roots, least, size), "exact")
     counts = exact.where("links >= 0").groupBy(F.col("a").alias("c")).agg(F.sum("links").alias("links"))
     parts = connected(exact.where("links < 0"), "a", "b")
     placed = nodes.join(counts, "c", "left").join(parts, nodes["c"] == parts["node"], "left")

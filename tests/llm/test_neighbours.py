@@ -57,3 +57,37 @@ def test_audit_sees_missing_links(llm):
     c = {r.least: r.c for r in nodes.collect()}
     assert neighbours.audit(nodes, llm.createDataFrame([], "node bigint, root bigint"), 0.9) == (2, 0)
     assert neighbours.audit(nodes, llm.createDataFrame([(c[1], c[1]), (c[2], c[1])], "node bigint, root bigint"), 0.9) == (2, 2)
+
+
+def pairs(count, size, group, seed=5):
+    """`count` isolated pairs with cosine 0.93 in `size` dimensions, and `group` near copies of one vector."""
+    rng = np.random.default_rng(seed)
+    x, e = (rng.standard_normal((count, size)) for _ in range(2))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    e -= (e * x).sum(1, keepdims=True) * x
+    y = 0.93 * x + np.sqrt(1 - 0.93**2) * e / np.linalg.norm(e, axis=1, keepdims=True)
+    near = rng.standard_normal(size) + rng.standard_normal((group, size)) * 0.01
+    return [(i, v.tolist()) for i, v in enumerate(np.concatenate([x, y, near]))]
+
+
+def test_audit_is_by_node(llm):
+    """A large group of found copies does not hide lost pairs, and rare links are looked for until some are held."""
+    rows = pairs(20, 32, 400)
+    nodes = neighbours.nodes_of(llm.createDataFrame(rows, "vec_id bigint, embedding array<double>"), "vec_id", "embedding").cache()
+    c = {r.least: r.c for r in nodes.collect()}
+    roots = llm.createDataFrame([(c[i], c[40]) for i in range(40, 440)], "node bigint, root bigint")
+    linked, found = neighbours.audit(nodes, roots, 0.9)
+    assert linked - found == 40 and found < 0.9 * linked
+    alone = neighbours.nodes_of(llm.createDataFrame(pairs(3, 32, 0) + [(i + 10, v) for i, v in pairs(300, 32, 0, 6)[:300]], "vec_id bigint, embedding array<double>"), "vec_id", "embedding").cache()
+    assert neighbours.audit(alone, llm.createDataFrame([], "node bigint, root bigint"), 0.9, sample=4) == (6, 0)
+
+
+def test_missed_target_is_compared_whole(llm, monkeypatch):
+    monkeypatch.setattr(neighbours, "WINDOW", 4)
+    monkeypatch.setattr(neighbours, "WIDE", 50, raising=False)
+    check(llm, pairs(60, 16, 10), "double", tables=1, rounds=0, tries=1, target=1.1)
+
+
+def test_tables_grow():
+    sizes = [neighbours.enough_tables(n, 0.9) for n in (10, 10_000, 400_000, 100_000_000)]
+    assert sizes[0] == 1 and sizes == sorted(set(sizes)) and neighbours.enough_tables(10**6, 0.95) < neighbours.enough_tables(10**6, 0.9)
