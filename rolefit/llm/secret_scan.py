@@ -2,7 +2,9 @@
 
 Novelty of a candidate is the number of bytes it adds to the zstandard frame of the text before it, when the compressor
 already knows the identifiers that stand in the corpus next to sensitive words. Words, names and paths are in the
-dictionary or repeat their surroundings and add little; random strings add nearly their entropy.
+dictionary or repeat their surroundings and add little; random strings add nearly a byte a character while they are short.
+The literals of longer ones are Huffman-coded down to the entropy of their alphabet (half a byte for hex digits), so a long
+string is also judged by its pieces, whose literals are left as they are; one new piece makes the whole string new.
 
 Null and empty texts hold no secrets. Columns of the same name as a result are replaced, all others pass through. Rows
 are worked on one by one; an empty table gives an empty one (with an empty dictionary).
@@ -31,6 +33,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 SENSITIVE = re.compile(r"passw|passphrase|pwd|secret|token|api_?key|private_?key|credential|bearer|auth|akia", re.A | re.I)
 REACH = 96
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.~-]{16,}")
+#: The most characters of a piece of a long candidate.
+PIECE = 32
 #: The parts of identifiers that go to the dictionary: runs of letters, which random strings have short ones of.
 PART = re.compile(r"[A-Za-z]{3,24}")
 
@@ -70,11 +74,26 @@ class Novelty:
         known = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if len(dictionary) >= 8 else None
         params = zstandard.ZstdCompressionParameters.from_level(level, write_content_size=0, write_checksum=0, write_dict_id=0)
         self.frame = zstandard.ZstdCompressor(dict_data=known, compression_params=params).compress
+        # zstandard leaves literals as they are with this strategy and a target length.
+        plain = zstandard.ZstdCompressionParameters.from_level(level, strategy=zstandard.STRATEGY_FAST, target_length=1, write_content_size=0, write_checksum=0, write_dict_id=0)
+        self.plain = zstandard.ZstdCompressor(dict_data=known, compression_params=plain).compress
         self.share = share
 
-    def marginal(self, around: str, candidate: str) -> int:
+    def marginal(self, around: str, candidate: str, frame) -> int:
         before = around.encode()
-        return len(self.frame(before + candidate.encode())) - len(self.frame(before))
+        return len(frame(before + candidate.encode())) - len(frame(before))
+
+    def new(self, around: str, string: str, frame) -> bool:
+        rest = string[1:]  # a capital at the start of a word says nothing
+        kinds = sum(map(bool, (re.search("[a-z]", rest), re.search("[A-Z]", rest), re.search("[0-9]", rest))))
+        return kinds >= 2 and self.marginal(around, string, frame) >= self.share * len(string)
+
+    def novel(self, text: str, start: int, end: int) -> bool:
+        if self.new(text[max(0, start - REACH) : start], text[start:end], self.frame):
+            return True
+        n = -(-(end - start) // PIECE)
+        cuts = [start + (end - start) * k // n for k in range(n + 1)]
+        return n > 1 and any(self.new(text[max(0, a - REACH) : a], text[a:b], self.plain) for a, b in zip(cuts[:-1], cuts[1:]))
 
     def spans(self, text: str) -> list[tuple[int, int, int]]:
         found = []
@@ -83,10 +102,7 @@ class Novelty:
                 start, end = m.start(), m.end()
                 if end == high:  # the stretch ends within the string
                     end = CANDIDATE.match(text, start).end()
-                string = text[start:end]
-                rest = string[1:]  # a capital at the start of a word says nothing
-                kinds = sum(map(bool, (re.search("[a-z]", rest), re.search("[A-Z]", rest), re.search("[0-9]", rest))))
-                if kinds >= 2 and self.marginal(text[max(0, start - REACH) : start], string) >= self.share * len(string):
+                if self.novel(text, start, end):
                     found.append((start, 3, end))
         return found
 
@@ -114,7 +130,8 @@ def identifiers(df: DataFrame, text: str, at_most: int) -> bytes:
 def find_secrets(df: DataFrame, text: str = "text", out: str = "secrets", words: int = 2000, level: int = 3, share: float = 0.8) -> DataFrame:
     """`df` with `out`: spans (kind, start, end) by start, then kind; code points, end exclusive.
 
-    `words` bounds the identifier dictionary; a string is new if it adds at least `share` bytes a character.
+    `words` bounds the identifier dictionary; a string is new if it, or a piece of it, adds at least `share` bytes a
+    character.
     """
     known = df.sparkSession.sparkContext.broadcast(identifiers(df, text, words))
 

@@ -46,6 +46,18 @@ def test_novel_strings(llm):
     assert found == {0: ["Zk3v9QxT7bLm2RwYp8Hd"], 1: [], 2: [], 3: [], 4: []}
 
 
+def test_novel_strings_of_any_length():
+    """Random strings of each alphabet are new however long they are; long runs of known words are not."""
+    draw = random.Random(3)
+    novelty = secret_scan.Novelty(b"value authentication Authorization Bearer token", 3, 0.8)
+    for letters in ("0123456789ABCDEF", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"):
+        for n in (40, 64, 100, 128, 400, 1024, 3000):
+            string = "".join(draw.choices(letters, k=n))
+            assert novelty.spans(f"Authorization: Bearer {string} and more") == [(22, 3, 22 + n)]
+    words = "/".join(["authentication_token_value2"] * 12)
+    assert novelty.spans(f"{words} with the token {words}") == []
+
+
 def contained(docs, items, size, share):
     def shingles(t):
         words = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t).encode().split()
