@@ -33,6 +33,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 SENSITIVE = re.compile(r"passw|passphrase|pwd|secret|token|api_?key|private_?key|credential|bearer|auth|akia", re.A | re.I)
 REACH = 96
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.~-]{16,}")
+RUN = re.compile(r"[A-Za-z0-9+/_=.~-]+")
+INSIDE = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=.~-")
 #: The most characters of a piece of a long candidate.
 PIECE = 32
 #: The parts of identifiers that go to the dictionary: runs of letters, which random strings have short ones of.
@@ -96,14 +98,19 @@ class Novelty:
         return n > 1 and any(self.new(text[max(0, a - REACH) : a], text[a:b], self.plain) for a, b in zip(cuts[:-1], cuts[1:]))
 
     def spans(self, text: str) -> list[tuple[int, int, int]]:
-        found = []
+        found, done = [], 0
         for low, high in neighbourhoods(text):
-            for m in CANDIDATE.finditer(text, low, min(len(text), high)):
-                start, end = m.start(), m.end()
-                if end == high:  # the stretch ends within the string
-                    end = CANDIDATE.match(text, start).end()
-                if self.novel(text, start, end):
-                    found.append((start, 3, end))
+            # A string that the border of the stretch cuts belongs to it as a whole.
+            if low < len(text) and text[low] in INSIDE:
+                while low > done and text[low - 1] in INSIDE:
+                    low -= 1
+            high = min(len(text), high)
+            if high < len(text) and text[high - 1] in INSIDE and (cut := RUN.match(text, high)):
+                high = cut.end()
+            for m in CANDIDATE.finditer(text, max(low, done), high):
+                if self.novel(text, m.start(), m.end()):
+                    found.append((m.start(), 3, m.end()))
+            done = max(done, high)
         return found
 
 

@@ -58,6 +58,20 @@ def test_novel_strings_of_any_length():
     assert novelty.spans(f"{words} with the token {words}") == []
 
 
+def test_novel_strings_on_borders():
+    """Strings that the border of a stretch cuts are found whole, wherever it cuts them, and once."""
+    draw = random.Random(6)
+    novelty = secret_scan.Novelty(b"", 3, 0.8)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    for n in (20, 120, 300):
+        string = "".join(draw.choices(letters, k=n))
+        for gap in (1, 60, 80, 81, 90, 95):
+            assert novelty.spans("token" + " " * gap + string + " end") == [(5 + gap, 3, 5 + gap + n)]
+            assert novelty.spans(string + " " * gap + "token") == [(0, 3, n)]
+            assert novelty.spans("token" + " " * gap + string + " " * gap + "token") == [(5 + gap, 3, 5 + gap + n)]
+        assert novelty.spans("token" + " " * 96 + string) == novelty.spans(string + " " * 96 + "token") == []
+
+
 def contained(docs, items, size, share):
     def shingles(t):
         words = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t).encode().split()
