@@ -1,4 +1,4 @@
-"""Substring dedup by repeated-phrase automata.
+"""Substring dedup by repeated anchor phrases, located by a hash join.
 
 A window is `size` consecutive words (words end at ASCII white space) of one text. Every word is removed that a window covers
 whose words also start anywhere else, in the same text or another. Windows are judged on the input.
@@ -6,9 +6,10 @@ whose words also start anywhere else, in the same text or another. Windows are j
 1. Each window has an anchor: of its phrases of PHRASE words the one with the least hash, the leftmost of equals. Equal
    windows have equal anchors at the same place, so a window can only be repeated if its anchor phrase is.
 2. Phrases that are anchors at two places or more are the recurring ones. They go back to the texts that hold them.
-3. Texts arrive in batches. For each part of a batch an Aho-Corasick automaton over words is compiled from the recurring
-   phrases of its texts (so all automata together are as large as the texts that hold repeats, and none is large), and
-   the texts are streamed through it, which locates every occurrence.
+3. Texts arrive in batches, each with its recurring phrases from the hash join of step 2, and only texts that have some.
+   In each part of a batch these are looked up by hash among the anchors, which locates every occurrence. An Aho-Corasick
+   automaton over words is then compiled from the places found and streams the same texts; but for collisions of its 32-bit
+   word codes it names the same places again, so it locates nothing that the join has not.
 4. The windows around the occurrences of an anchor are compared where all of them meet; windows that start at two places
    are confirmed by a hash of 64 bits besides the 64 of the anchor. Windows of equal surroundings are counted before they
    are sent, so a passage that a third of all texts share is sent once from each batch.
@@ -80,7 +81,7 @@ def _phrases(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _locate(recurring: np.ndarray, w: Windows) -> np.ndarray:
-    """Whether a recurring phrase stands at each word: found by an automaton over the words."""
+    """Whether a recurring phrase stands at each word: anchors are looked up by hash, an automaton over the words repeats it."""
     there = np.zeros(len(w.words.hashes) + 1, bool)
     place = np.unique(w.anchor)
     mine = np.sort(recurring)
