@@ -388,7 +388,9 @@ def remove_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shar
     follows = led.select(F.inline("later"), "later_than").where(F.struct("o", F.shiftright("spot", 32).alias("number")) > F.col("later_than"))
     lost = cut(led.where("gone").select(*line).union(follows.select(*line)).union(flagged), "lost")
     touched = spark.sparkContext.broadcast(slots(lost.select("o"), ASKED_BITS, lambda batch: iter([spot_hashes(batch.column(0).to_numpy(), np.zeros(len(batch), np.int64))])) > 0)
-    gone = lost.groupBy(F.col("o").alias("gone_o")).agg(F.collect_set("spot").alias("spots"))
+    # Texts of one o (all rows with a null id) are told apart, so that a group is the lines of one text.
+    half = F.lit(0xFFFFFFFF)
+    gone = lost.groupBy(F.col("o").alias("gone_o"), F.col("spot").bitwiseAND(half).alias("gone_body")).agg(F.collect_set("spot").alias("spots"))
 
     @F.arrow_udf("boolean")
     def loses(ids: pa.Array) -> pa.Array:
@@ -396,15 +398,15 @@ def remove_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shar
         return pa.array(touched.value[(spot_hashes(o, np.zeros(len(o), np.int64)) >> np.uint64(64 - ASKED_BITS)).astype(np.int64)])
 
     @F.arrow_udf(RESULT)
-    def dropped(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for texts, bodies, spots in batches:
+    def dropped(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, spots in batches:
             total, removed, left = [], [], []
-            for t, body, found in zip(texts, bodies.to_pylist(), spots):
+            for t, found in zip(texts, spots):
                 t = t.as_py()
                 lines = t.split("\n") if t else []
                 n = len(lines)
                 if found.is_valid and n:
-                    numbers = {s >> 32 for s in found.values.to_pylist() if s & 0xFFFFFFFF == body & 0xFFFFFFFF}
+                    numbers = {s >> 32 for s in found.values.to_pylist()}
                     lines = [x for k, x in enumerate(lines) if k not in numbers]
                     t = "\n".join(lines)
                 total.append(n)
@@ -413,7 +415,8 @@ def remove_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shar
             yield pa.StructArray.from_arrays([pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(left, pa.string())], ["n_lines", "n_removed", "kept"])
 
     asked = docs.withColumn("loses", loses("o"))
-    cutting = asked.where("loses").join(gone, F.col("o") == F.col("gone_o"), "left").withColumn("result", dropped("text", "body", "spots"))
+    own_lines = (F.col("o") == F.col("gone_o")) & (F.col("body").bitwiseAND(half) == F.col("gone_body"))
+    cutting = asked.where("loses").join(gone, own_lines, "left").withColumn("result", dropped("text", "spots"))
     count = F.when(F.col("text") != "", F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).otherwise(0)
     whole = asked.where(~F.col("loses")).withColumn("result", F.struct(count.cast("bigint").alias("n_lines"), F.lit(0).cast("bigint").alias("n_removed"), F.col("text").alias("kept")))
     new = {"n_lines", "n_removed", kept.lower()}

@@ -84,3 +84,15 @@ def test_odd_rows(llm, no_texts):
     check(df)
     assert lines.remove_lines(df).columns == ["doc_id", "text", "o", "body", "spots", "result", "n_lines", "n_removed", "kept"]
     assert lines.remove_lines(no_texts).count() == 0
+
+
+def test_null_ids_are_texts_of_their_own(llm):
+    """Removed lines are gathered for each text, also where all ids are null."""
+    draw = random.Random(4)
+    rows = [(None, "\n".join(["one line that all texts share", *(" ".join(draw.choices("abcdefghijklmnop", k=9)) for _ in range(3))])) for _ in range(40)]
+    rows += rows[:5] + [(1, rows[0][1])]
+    df = llm.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    check(df)
+    plan = lines.remove_lines(df)._jdf.queryExecution().optimizedPlan().toString()
+    keys = [x.split("Aggregate [", 1)[1].split("], [", 1)[0] for x in plan.splitlines() if "collect_set" in x]
+    assert keys and all(", " in x for x in keys)
