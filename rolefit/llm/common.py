@@ -78,3 +78,22 @@ def fit_sample(df: DataFrame, key: str, at_most: int, by: str, labels: int = 10_
         df.select("*", share).join(F.broadcast(known), by)
         .where(F.col(part) * F.col(total) < F.lit(float(at_most))).drop(part, total)
     )
+
+
+def numbered(df: DataFrame, keys: list[str], out: str) -> DataFrame:
+    """`df` with `out`: the row's number, from 0, in the order of `keys` (nulls first).
+
+    Range partitions by all `keys` are sorted and written; only their sizes, a number for each partition, meet the driver.
+    `keys` should tell rows apart, as rows that are equal in all of them share a partition.
+    """
+    spark, at, part, before = df.sparkSession, free_name(df, "at"), free_name(df, "part"), free_name(df, "before")
+    ordered = cut(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(at, F.monotonically_increasing_id()), "ordered")
+    ordered = ordered.withColumn(part, F.shiftright(at, 33))
+    sizes = sorted((r[0], r[1]) for r in ordered.groupBy(part).agg(F.count(F.lit(1))).collect())
+    total, starts = 0, []
+    for number, rows in sizes:
+        starts.append((number, total))
+        total += rows
+    known = spark.createDataFrame(starts, f"{part} bigint, {before} bigint")
+    place = F.col(before) + F.col(at).bitwiseAND((1 << 33) - 1)
+    return ordered.join(F.broadcast(known), part).withColumn(out, place).drop(part, at, before)

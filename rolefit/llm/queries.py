@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, lines, neighbours, repeats, secret_scan, simhash, toxicity, urls
+from . import bpe, decontaminate, langid, lines, merkle, neighbours, repeats, secret_scan, simhash, toxicity, urls
 from .common import fit_sample, fold, prepare
 from .oracles import ORACLES as ORACLES
 
@@ -109,10 +109,21 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifest of the documents by source; half of the ids are verified with their line breaks taken out."""
+    documents = table(spark, sf_dir, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    tampered = [F.translate("text", "\n", "") if c == "text" else F.col(c) for c in fields]
+    replaced = F.when(fold(F.col("doc_id"), 2) == 0, merkle.leaf(tampered))
+    found = merkle.manifest(documents, fields, group="source", order="doc_id", replaced=replaced)
+    proof = F.sha2(F.lower(F.hex("siblings")), 256).alias("proof_sha256")
+    return found.select("doc_id", "leaf", "subroot", "root", proof, F.col("folded").alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_embedding_near_dedup, op3_substring_dedup, op4_byte_bpe, op5_simhash, op6_secrets, op7_decontamination,
-        op8_line_dedup, op9_url_filter, op10_language_id,
+        op8_line_dedup, op9_url_filter, op10_language_id, op12_merkle_manifest,
     )
 }
