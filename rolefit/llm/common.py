@@ -86,7 +86,7 @@ def numbered(df: DataFrame, keys: list[str], out: str) -> DataFrame:
     Range partitions by all `keys` are sorted and written; only their sizes, a number for each partition, meet the driver.
     `keys` should tell rows apart, as rows that are equal in all of them share a partition.
     """
-    spark, at, part, before = df.sparkSession, free_name(df, "at"), free_name(df, "part"), free_name(df, "before")
+    spark, at, part, before = df.sparkSession, free_name(df, "row_at"), free_name(df, "row_part"), free_name(df, "row_before")
     ordered = cut(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(at, F.monotonically_increasing_id()), "ordered")
     ordered = ordered.withColumn(part, F.shiftright(at, 33))
     sizes = sorted((r[0], r[1]) for r in ordered.groupBy(part).agg(F.count(F.lit(1))).collect())
@@ -96,4 +96,4 @@ def numbered(df: DataFrame, keys: list[str], out: str) -> DataFrame:
         total += rows
     known = spark.createDataFrame(starts, f"{part} bigint, {before} bigint")
     place = F.col(before) + F.col(at).bitwiseAND((1 << 33) - 1)
-    return ordered.join(F.broadcast(known), part).withColumn(out, place).drop(part, at, before)
+    return ordered.join(F.broadcast(known), part).select(*df.columns, place.alias(out))

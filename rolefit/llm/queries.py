@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, lines, merkle, neighbours, repeats, secret_scan, simhash, toxicity, urls
+from . import bpe, decontaminate, langid, lines, merkle, neighbours, packing, repeats, secret_scan, simhash, toxicity, urls
 from .common import fit_sample, fold, prepare
 from .oracles import ORACLES as ORACLES
 
@@ -109,6 +109,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op11_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = packing.pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), size=2048)
+    summed = found.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return packing.pack(summed, size=2048)
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Manifest of the documents by source; half of the ids are verified with their line breaks taken out."""
     documents = table(spark, sf_dir, "documents")
@@ -124,6 +130,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_embedding_near_dedup, op3_substring_dedup, op4_byte_bpe, op5_simhash, op6_secrets, op7_decontamination,
-        op8_line_dedup, op9_url_filter, op10_language_id, op12_merkle_manifest,
+        op8_line_dedup, op9_url_filter, op10_language_id, op11_pattern_packing, op12_merkle_manifest,
     )
 }
