@@ -10,40 +10,31 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from itertools import chain
-from typing import NamedTuple
 
 import numpy as np
 
 #: White space to all libraries, and characters that some of them count as such.
 WHITE = r" \t-\r"
-UNSURE = r"\x1c-\x1f\x85\xa0 ᠎ -​    ⁠　﻿"
+UNSURE = r"\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff"
 
-
-class Rule(NamedTuple):
-    """`chunk` matches the chunks of a text one after the other; `cut` matches the two characters around a cut."""
-
-    chunk: re.Pattern
-    cut: re.Pattern
-
-
-#: Cut between a visible character and white space. The split pattern of byte-level BPE never reaches over such a place: a
-#: match holds white space in front of other characters only as its first blank, and judges it by what follows.
-BEFORE_WHITE = Rule(
-    re.compile(rf"[{WHITE}{UNSURE}]*[^{WHITE}{UNSURE}]+(?:[{UNSURE}][{WHITE}{UNSURE}]*[^{WHITE}{UNSURE}]*)*|[{WHITE}{UNSURE}]+"),
-    re.compile(rf"[^{WHITE}{UNSURE}][{WHITE}]"),
-)
-#: Cut before every run of blanks, for vocabularies without a piece that holds a blank after another character.
-BEFORE_BLANKS = Rule(re.compile(r" *[^ ]+| +"), re.compile(r"[^ ] "))
+#: Chunks end between a visible character and white space. The split pattern of byte-level BPE never reaches over such a
+#: place: a match holds white space in front of other characters only as its first blank, and judges it by what follows.
+#: CHUNK matches the chunks of a text one after the other, CUT the two characters around such a place.
+CHUNK = re.compile(rf"[{WHITE}{UNSURE}]*[^{WHITE}{UNSURE}]+(?:[{UNSURE}][{WHITE}{UNSURE}]*[^{WHITE}{UNSURE}]*)*|[{WHITE}{UNSURE}]+")
+CUT = re.compile(rf"[^{WHITE}{UNSURE}][{WHITE}]")
+#: Cuts before a run of blanks (or the sign for them) within a text, for vocabularies without a piece that holds a blank
+#: after another character.
+CUT_BLANKS = re.compile(r"[^ \u2581] +[^ \u2581]")
 
 STRETCH = 1 << 20
 #: Bytes that the lookup holds (twice this at most), with what an entry costs besides, and the longest entry in characters.
 CACHE_BYTES, ENTRY, LONGEST = 32 << 20, 200, 64
 
 
-def stretches(text: str, rule: Rule, size: int = STRETCH) -> Iterator[str]:
-    """Consecutive parts of `text` of at least `size` characters, cut where `rule` cuts."""
+def stretches(text: str, cut: re.Pattern, size: int = STRETCH) -> Iterator[str]:
+    """Consecutive parts of `text` of at least `size` characters, cut after the first character of matches of `cut`."""
     start = 0
-    while len(text) - start > size and (found := rule.cut.search(text, start + size - 1)):
+    while len(text) - start > size and (found := cut.search(text, start + size - 1)):
         yield text[start : found.start() + 1]
         start = found.start() + 1
     yield text[start:]
@@ -52,8 +43,8 @@ def stretches(text: str, rule: Rule, size: int = STRETCH) -> Iterator[str]:
 class Lookup:
     """Packed ids (little-endian unsigned 32-bit) of texts; `encode_many` gives those of distinct chunks."""
 
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], rule: Rule | None, limit: int = CACHE_BYTES):
-        self.encode_many, self.rule, self.limit = encode_many, rule, limit
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], limit: int = CACHE_BYTES):
+        self.encode_many, self.limit = encode_many, limit
         self.now: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.held = 0
@@ -79,15 +70,13 @@ class Lookup:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text."""
-        if self.rule is None:
-            return self.encode_many(texts)
         out: list[bytes] = []
         group: list[str] = []
         size = 0
         for text in texts:
             if len(text) > STRETCH:
                 out += self._encode(group)
-                out.append(b"".join(chain.from_iterable(self._encode([s]) for s in stretches(text, self.rule))))
+                out.append(b"".join(chain.from_iterable(self._encode([s]) for s in stretches(text, CUT))))
                 group, size = [], 0
                 continue
             group.append(text)
@@ -98,7 +87,7 @@ class Lookup:
         return out + self._encode(group)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        lists = list(map(self.rule.chunk.findall, texts))
+        lists = list(map(CHUNK.findall, texts))
         long = self._fill(set(chain.from_iterable(lists)))
         get, join = self.now.__getitem__, b"".join
         packed = [join(map(get, chunks)) for chunks in lists]

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, lines, merkle, neighbours, packing, repeats, secret_scan, simhash, toxicity, urls
+from . import alignment, bpe, decontaminate, langid, lines, merkle, neighbours, packing, repeats, secret_scan, simhash, toxicity, urls
 from .common import fit_sample, fold, prepare
 from .oracles import ORACLES as ORACLES
 
@@ -126,10 +126,19 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "leaf", "subroot", "root", proof, F.col("folded").alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path_a, path_b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    found = alignment.align(table(spark, sf_dir, "documents"), path_a, path_b)
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256")
+    rows = found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "pairs", "times", digest)
+    return alignment.scored(rows, alignment.vocabulary_size(path_b))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_toxicity, op2_embedding_near_dedup, op3_substring_dedup, op4_byte_bpe, op5_simhash, op6_secrets, op7_decontamination,
         op8_line_dedup, op9_url_filter, op10_language_id, op11_pattern_packing, op12_merkle_manifest,
+        op13_token_alignment,
     )
 }

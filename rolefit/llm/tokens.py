@@ -10,7 +10,7 @@ import public_tokenizers
 import tiktoken
 from tokenizers import Tokenizer
 
-from .chunks import BEFORE_WHITE, stretches
+from .chunks import CUT, stretches
 
 
 def alphabet() -> dict[str, int]:
@@ -53,6 +53,6 @@ def encoder(model: str) -> Callable[[list[str]], list[np.ndarray]]:
         ids_of = lambda text: library.encode(text, add_special_tokens=False).ids
 
     def encode(texts: list[str]) -> list[np.ndarray]:
-        return [np.concatenate([np.array(ids_of(s), np.uint32) for s in stretches(t, BEFORE_WHITE)]) for t in texts]
+        return [np.concatenate([np.array(ids_of(s), np.uint32) for s in stretches(t, CUT)]) for t in texts]
 
     return encode

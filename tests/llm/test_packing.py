@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from rolefit.llm import packing, tokens
-from rolefit.llm.chunks import BEFORE_BLANKS, BEFORE_WHITE, stretches
+from rolefit.llm.chunks import CHUNK, CUT, stretches
 from rolefit.llm.queries import op11_pattern_packing
 from tokenizers import Tokenizer
 
@@ -29,9 +29,10 @@ def library(text):
 @given(st.one_of(st.text(max_size=60), st.text(ODD, max_size=80)), st.integers(1, 20))
 def test_ids_like_the_library_in_stretches(text, size):
     assert ENCODE([text])[0].tolist() == library(text)
-    cut = list(stretches(text, BEFORE_WHITE, size))
+    cut = list(stretches(text, CUT, size))
     assert "".join(cut) == text and [i for s in cut for i in library(s)] == library(text)
-    assert "".join(BEFORE_WHITE.chunk.findall(text)) == "".join(BEFORE_BLANKS.chunk.findall(text)) == text
+    chunks = CHUNK.findall(text)
+    assert "".join(chunks) == text and [i for c in chunks for i in library(c)] == library(text)
 
 
 def test_bytes_of_tokens():
