@@ -31,9 +31,9 @@ STRETCH = 1 << 20
 CACHE_BYTES, ENTRY, LONGEST = 32 << 20, 200, 64
 
 
-def stretches(text: str, cut: re.Pattern, size: int = STRETCH) -> Iterator[str]:
+def stretches(text: str, cut: re.Pattern, size: int | None = None) -> Iterator[str]:
     """Consecutive parts of `text` of at least `size` characters, cut after the first character of matches of `cut`."""
-    start = 0
+    start, size = 0, size or STRETCH
     while len(text) - start > size and (found := cut.search(text, start + size - 1)):
         yield text[start : found.start() + 1]
         start = found.start() + 1

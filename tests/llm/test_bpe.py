@@ -57,7 +57,33 @@ def test_odd_rows(odd_texts, no_texts):
     assert bpe.encode(no_texts, PATH, public_tokenizers.PATTERN).count() == 0
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.binary(min_size=2, max_size=64), st.text("thea ionés", min_size=2, max_size=20).map(str.encode)), min_size=1, max_size=20))
+def test_merged_together_like_alone(pieces):
+    found = bpe.merge_many(pieces, CODEC.first, CODEC.pairs)
+    for piece, packed in zip(pieces, found):
+        alone = np.frombuffer(packed, "<u4").tolist()
+        assert piece in RANKS or alone == bpe.merge(piece, RANKS)
+        assert b"".join(LIBRARY.decode_single_token_bytes(i) for i in alone) == piece
+
+
 def test_few_cached(monkeypatch):
-    monkeypatch.setattr(CODEC.cache, "size", 3)
+    monkeypatch.setattr(CODEC.lookup, "limit", 300)
     text = "one unheardofword two unheardofword three four unheardofwords five six " * 3
-    assert ids(text) == LIBRARY.encode_ordinary(text)
+    assert ids(text) == LIBRARY.encode_ordinary(text) and ids(text[::-1]) == LIBRARY.encode_ordinary(text[::-1])
+    assert ids(text) == LIBRARY.encode_ordinary(text) and len(CODEC.lookup.now) < 40
+
+
+def test_texts_in_stretches(monkeypatch):
+    monkeypatch.setattr("rolefit.llm.chunks.STRETCH", 50)
+    texts = ["some words \n\n and more, " * 20, "x" * 200, "", " y" * 100]
+    assert [np.frombuffer(p, "<u4").tolist() for p in CODEC.encode_all(texts)] == list(map(LIBRARY.encode_ordinary, texts))
+    assert CODEC.decode_all(CODEC.encode_all(texts)) == [t.encode() for t in texts]
+
+
+def test_other_patterns():
+    """A pattern that matches across white space is applied to whole texts."""
+    codec = bpe.Codec(RANKS, r"[\s\S]{1,7}")
+    other = tiktoken.Encoding("other", pat_str=r"[\s\S]{1,7}", mergeable_ranks=RANKS, special_tokens={})
+    text = "several words, cut anywhere \n at all"
+    assert np.frombuffer(codec.encode(text), "<u4").tolist() == other.encode_ordinary(text)
