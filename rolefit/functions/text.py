@@ -189,13 +189,69 @@ def candidate_list(c: Column, is_array: bool) -> Column:
     return F.sort_array(F.array_distinct(F.filter(cleaned, lambda v: v != "")))
 
 
+# The one-letter escapes of a quoted item.
+ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "a": "\a", "b": "\b", "f": "\f", "v": "\v", "\\": "\\", "'": "'", '"': '"', "\n": ""}
+_CELL_TOKENS = r"""(?s)\\(?:u[0-9A-Fa-f]{4}|x[0-9A-Fa-f]{2}|[0-7]{1,3}|.)|['",\[\]]|\s+|[^\\'",\[\]\s]+|\\"""
+_CELL_BARE = r"^(?:None|True|False|0|-?[1-9][0-9]*|-?(?:0|[1-9][0-9]*)\.(?:0|[0-9]*[1-9]))$"
+
+
+def _unescaped(token: Column) -> Column:
+    """What an escape stands for; unknown ones stand for themselves."""
+    kind, digits = F.substring(token, 2, 1), F.substring(token, 3, 8)
+    out = F.when((kind == "u") & (F.length(token) == 6), F.from_json(F.concat(F.lit('["'), token, F.lit('"]')), "array<string>")[0])
+    out = out.when((kind == "x") & (F.length(token) == 4), F.char(F.conv(digits, 16, 10).cast("int")))
+    out = out.when(token.rlike(r"^\\[0-7]{1,3}$"), F.char(F.conv(F.substring(token, 2, 3), 8, 10).cast("int")))
+    for letter, meaning in ESCAPES.items():
+        out = out.when((kind == letter) & (F.length(token) == 2), meaning)
+    return out.otherwise(token)
+
+
+def literal_list(text: Column) -> Column:
+    """Items of a list literal of quoted items, numbers, None, True and False; NULL if the text is none.
+
+    One pass over its quotes, escapes, commas, brackets and the runs between them. ``mode`` is what the next token is
+    read as: a value, the inside of a quote, what follows a value, the end, or broken.
+    """
+    tokens = F.regexp_extract_all(text, F.lit(_CELL_TOKENS), F.lit(0))
+
+    def state(mode, item, items, quoted):
+        return F.struct(mode.alias("mode"), item.alias("item"), items.alias("items"), quoted.alias("quoted"))
+
+    broken, empty = F.lit("x"), F.lit("")
+
+    def step(at, t):
+        mode, item, items, quoted = at["mode"], at["item"], at["items"], at["quoted"]
+        is_quote, space = t.isin("'", '"'), t.rlike(r"^\s+$")
+        inside = (
+            F.when(t == mode, state(F.lit("after"), item, items, F.lit(True)))
+            .when(F.length(t) > 1, F.when(t.startswith("\\"), state(mode, F.concat(item, _unescaped(t)), items, quoted))
+                  .when(t.rlike(r"[\n\r]"), state(broken, item, items, quoted))
+                  .otherwise(state(mode, F.concat(item, t), items, quoted)))
+            .when(t.isin("\n", "\r", "\\"), state(broken, item, items, quoted))
+            .otherwise(state(mode, F.concat(item, t), items, quoted)))
+        value = (
+            F.when(space, at).when(is_quote, state(t, empty, items, F.lit(True)))
+            .when(t == "]", state(F.lit("end"), empty, items, quoted))
+            .when(t.rlike(_CELL_BARE), state(F.lit("after"), t, items, F.lit(False)))
+            .otherwise(state(broken, item, items, quoted)))
+        after = (
+            F.when(space, at).when(is_quote & quoted, state(t, item, items, quoted))
+            .when(t == ",", state(F.lit("value"), empty, F.concat(items, F.array(item)), quoted))
+            .when(t == "]", state(F.lit("end"), empty, F.concat(items, F.array(item)), quoted))
+            .otherwise(state(broken, item, items, quoted)))
+        return (F.when(mode.isin("'", '"'), inside).when(mode == "value", value).when(mode == "after", after)
+                .otherwise(state(broken, item, items, quoted)))
+
+    start = state(F.lit("value"), empty, empty_strings(), F.lit(False))
+    rest = F.slice(tokens, F.lit(2), F.greatest(F.size(tokens) - 1, F.lit(0)))
+    last = F.aggregate(rest, start, step)
+    return F.when(text.startswith("["), F.when(last["mode"] == "end", last["items"]))
+
+
 def cell_list(c: Column) -> Column:
-    """List held in one table cell: JSON or quoted-list text, else comma text."""
+    """List held in one table cell: a list literal, else comma text. Literals with nested values count as comma text."""
     text = strip(c)
-    as_json = F.from_json(text, "array<string>")
-    as_quoted = F.from_json(F.translate(text, "'", '"'), "array<string>")
-    listed = F.when(text.startswith("["), F.coalesce(as_json, as_quoted))
-    items = F.when(text != "", F.coalesce(listed, F.split(text, ",")))
+    items = F.when(text != "", F.coalesce(literal_list(text), F.split(text, ",")))
     stripped = F.transform(items, strip)
     return F.coalesce(F.filter(stripped, lambda v: v != ""), empty_strings())
 

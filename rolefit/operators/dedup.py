@@ -35,9 +35,28 @@ def drop_rows(df: DataFrame, copies: DataFrame, order: str) -> DataFrame:
 
 
 def keep_first(df: DataFrame, keys: list[str], order: str = "ord") -> DataFrame:
-    """First row per key in order; ``order`` must be unique."""
-    rows = _narrow(df, keys, order)
-    return drop_rows(df, rows.join(_first(rows, order), "__key").where(F.col(order) > F.col("__first")), order)
+    """First row per key in order; a missing order number is the last.
+
+    Rows that share a key and the first number are copies too: of these, the one with the least hash stays (the first of
+    them if all their columns agree). Only their keys, which are few, make a second pass necessary.
+    """
+    if {"__key", "__at"} & set(df.columns):
+        raise ValueError("columns __key and __at are taken")
+    key = F.sha2(F.to_json(F.struct(*keys)), 256)
+    keyed = df.withColumns({"__key": key, "__at": F.coalesce(F.col(order).cast("bigint"), F.lit((1 << 63) - 1))})
+    rows = written(keyed.select("__key", "__at"), "keys")
+    firsts = rows.groupBy("__key").agg(F.min("__at").alias("__first"))
+    counts = rows.groupBy("__key", "__at").agg(F.count("*").alias("__n"))
+    judged = written(counts.join(firsts, "__key"), "judged")
+    copies = written(judged.where(F.col("__at") > F.col("__first")).select("__key", "__at"), "copies")
+    left = keyed.join(copies, ["__key", "__at"], "left_anti")
+    tied = judged.where((F.col("__at") == F.col("__first")) & (F.col("__n") > 1)).select("__key")
+    if tied.isEmpty():
+        return left.drop("__key", "__at")
+    tied = written(tied, "tied")
+    whole = F.struct(*df.columns)
+    alike = left.join(tied, "__key", "left_semi").groupBy("__key").agg(F.min_by(whole, F.xxhash64(*df.columns)).alias("__row"))
+    return left.join(tied, "__key", "left_anti").select(*df.columns).unionByName(alike.select("__row.*"))
 
 
 PRIMARY_KEYS = ["job_uid", "source", "source_company", "source_job_id"]

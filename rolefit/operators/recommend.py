@@ -13,12 +13,16 @@ exact facts make that feasible for many candidates and many jobs:
    than its true score, so the k best jobs by class score are a lower bound:
    the k-th of them is a threshold every other answer has to reach.
 3. With each job's items ordered rarest first, the place of the first shared
-   item bounds what a pair can reach (a prefix filter). Pairs whose bound stays
-   below the threshold, such as those that share only frequent items of a job
-   that asks for rare ones, are never built.
-
-Joins are plain equi-joins on items. Frequent items are split on both sides
-into blocks (see ``block_join``), so no task gets a hot item whole.
+   item bounds what a pair can reach (a prefix filter). An item's jobs are
+   grouped by *shape*: that place, the sizes of their sets, and their class with
+   years in whole numbers. What a shape can reach with a class of candidates is
+   found once, over both vocabularies. A candidate only meets the shapes of its
+   items that reach its threshold: first those with the highest bounds, until
+   they hold some jobs, then, with the k-th score of these as the threshold,
+   what is left above it.
+
+Joins are plain equi-joins on items and shapes. Frequent ones are split on both
+sides into blocks (see ``block_join``), so no task gets a hot one whole.
 """
 
 from __future__ import annotations
@@ -155,9 +159,22 @@ def class_lists(classes: DataFrame, groups: DataFrame, k: int) -> DataFrame:
 
 
 def thresholds(lists: DataFrame, k: int) -> DataFrame:
-    """k-th class score per candidate class; -1 where there are fewer than k jobs."""
+    """Score and job of the k-th place per candidate class; below everything where there are fewer than k jobs."""
+    full = F.count("*") >= k
     return lists.groupBy(*CANDIDATE_CLASS).agg(
-        F.when(F.count("*") >= k, F.min("score")).otherwise(-1.0).alias("floor"))
+        F.when(full, F.min("score")).otherwise(-1.0).alias("floor"),
+        F.when(full, F.max_by("ord", F.struct(-F.col("score"), "ord"))).otherwise(LAST).cast("bigint").alias("floor_ord"))
+
+
+LAST = (1 << 63) - 1
+
+
+def _beats_floor(bound: Column, first: Column) -> Column:
+    """Whether a job numbered ``first`` or later that scores ``bound`` at most can come before the k-th place.
+
+    Scores have two digits, so a bound less than half a digit above the floor is at best a tie, which the earlier job wins.
+    """
+    return (bound >= F.col("floor") + 0.004) | ((bound >= F.col("floor") - SLACK) & (first <= F.col("floor_ord")))
 
 
 # --- items -----------------------------------------------------------------------------
@@ -252,7 +269,80 @@ def job_items(signatures: DataFrame) -> DataFrame:
         .otherwise(F.when(F.col("n_req") > 0, vocab.CAP_NO_REQUIRED).otherwise(100.0))
     )
     return rows.withColumns({
-        "reach": skills + domains, "reach_no_dom": skills + no_domains, "cap": cap}).drop("place")
+        "reach": skills + domains, "reach_no_dom": skills + no_domains, "cap": cap})
+
+
+# --- shapes ----------------------------------------------------------------------------
+
+# Years that shapes and classes tell apart: a shape counts as the step below, a class as the step above or more than all.
+YEAR_STEPS, MORE_YEARS = [0.0, 1.0, 2.0, 3.0, 4.0, 5.0, 6.0, 8.0, 10.0, 13.0, 16.0, 20.0, 30.0, 64.0], 1e12
+# Jobs that the shapes opened first hold at least, as a multiple of k.
+FIRST_JOBS = 4
+
+
+def with_shape(items: DataFrame) -> DataFrame:
+    """Job items with their ``shape`` and the fields that make it.
+
+    Years are rounded down, as asking for less never lowers a score; what a job can reach is rounded up.
+    """
+    years = F.lit(0.0)
+    for step in YEAR_STEPS:
+        years = F.when(F.col("j_years") >= step, step).otherwise(years)
+    fields = {
+        "s_need": F.col("j_need_given"), "s_years": F.when(F.col("j_years").isNotNull(), years.cast("int")),
+        "s_edu": _state(F.col("j_edu"), F.col("j_edu_rank")), "s_sen": _state(F.col("j_sen"), F.col("j_sen_rank")),
+        "s_reach": F.ceil(F.col("reach") - 1e-6), "s_reach_no_dom": F.ceil(F.col("reach_no_dom") - 1e-6),
+        "s_cap": F.col("cap").cast("int"),
+    }
+    return items.withColumns(fields).withColumn(
+        "shape", F.array_join(F.array(*[F.col(p).cast("string") for p in fields]), "|", ""))
+
+
+SHAPE = ["s_need", "s_years", "s_edu", "s_sen", "s_reach", "s_reach_no_dom", "s_cap"]
+
+
+def with_prune_class(groups: DataFrame) -> DataFrame:
+    """Groups with ``c_class``; years are rounded up, which never lowers a score either."""
+    years = F.lit(MORE_YEARS)
+    for step in reversed(YEAR_STEPS):
+        years = F.when(F.col("c_years") <= step, step).otherwise(years)
+    known = groups.withColumn("c_band", F.when(F.col("c_years").isNotNull(), years))
+    parts = [F.col(p).cast("string") for p in ("c_band", "c_edu_state", "c_sen_state", "n_cand_dom")]
+    return known.withColumn("c_class", F.array_join(F.array(*parts), "|", ""))
+
+
+def shape_bounds(items: DataFrame, groups: DataFrame) -> DataFrame:
+    """(c_class, shape, bound): the most a pair can score, where it reaches the lowest floor of the class.
+
+    Classes and shapes meet by the fixed levels, as in ``class_lists``. Both are as small as the levels, the whole
+    years and the sizes of sets allow, whatever the number of rows.
+    """
+    classes = groups.groupBy("c_class", "c_band", "c_edu_state", "c_sen_state", "n_cand_dom").agg(F.min("floor").alias("least"))
+    shapes = items.select("shape", *SHAPE).distinct()
+    laid_out = (
+        shapes
+        .withColumn("c_edu_state", F.explode(F.array(*[F.lit(s) for s in RANK_STATES])))
+        .withColumn("c_sen_state", F.explode(F.array(*[F.lit(s) for s in RANK_STATES])))
+        .withColumn("n_cand_dom", F.explode(F.array(F.lit(0), F.lit(1))))
+    )
+    met = classes.join(laid_out, ["c_edu_state", "c_sen_state", "n_cand_dom"]).withColumns({
+        **_from_state("c_edu", "c_edu_state"), **_from_state("c_sen", "c_sen_state"),
+        **_from_state("j_edu", "s_edu"), **_from_state("j_sen", "s_sen"),
+        "c_years": F.col("c_band"), "j_need_given": F.col("s_need"), "j_years": F.col("s_years").cast("double"),
+        "reach": F.col("s_reach").cast("double"), "reach_no_dom": F.col("s_reach_no_dom").cast("double"),
+    })
+    bounded = P.settled(met.withColumn("bound", F.least(F.col("s_cap").cast("double"), _most())), "bound")
+    return bounded.filter(F.col("bound") >= F.col("least") - SLACK).select("c_class", "shape", "bound")
+
+
+def openable(items: DataFrame, groups: DataFrame) -> DataFrame:
+    """(gid, family, item, shape, bound, jobs) of the shapes that reach a group's floor."""
+    blocks = items.groupBy("family", "item", "shape").agg(F.count("*").alias("jobs"), F.min("sid").alias("earliest"))
+    by_class = shape_bounds(items, groups).join(blocks, "shape")
+    asked = candidate_items(groups.select("gid", "c_class", "floor", "floor_ord", "c_skills", "c_dom"))
+    asked = asked.select("gid", "c_class", "floor", "floor_ord", "family", "item").distinct()
+    met = asked.join(by_class, ["c_class", "family", "item"]).filter(_beats_floor(F.col("bound"), F.col("earliest")))
+    return met.select("gid", "family", "item", "shape", "bound", "jobs", "earliest")
 
 
 def candidate_items(groups: DataFrame) -> DataFrame:
@@ -260,18 +350,23 @@ def candidate_items(groups: DataFrame) -> DataFrame:
     return groups.select("*", F.inline(items)).drop("place")
 
 
-def _can_reach_floor() -> Column:
-    """Upper bound of the score against the candidate group's floor.
-
-    One sum with every term once: it is evaluated inside the join, before a
-    pair is built.
-    """
-    parts, w = P.component_columns(), vocab.WEIGHTS
+def _most() -> Column:
+    """Upper bound of the score before the cap, one sum with every term once."""
+    w = vocab.WEIGHTS
+    parts = {
+        "experience_score": R.experience_score(F.col("j_need_given"), F.col("j_years"), F.col("c_years")),
+        "education_score": R.education_score(F.col("j_edu"), F.col("j_edu_rank"), F.col("c_edu"), F.col("c_edu_rank")),
+        "seniority_score": R.seniority_score(F.col("j_sen"), F.col("j_sen_rank"), F.col("c_sen"), F.col("c_sen_rank")),
+    }
     profile = 100 * (parts["experience_score"] * w["experience_score"]
                      + parts["education_score"] * w["education_score"]
                      + parts["seniority_score"] * w["seniority_score"])
-    reach = F.when(F.col("n_cand_dom") > 0, F.col("reach")).otherwise(F.col("reach_no_dom"))
-    return (F.col("cap") >= F.col("floor")) & (profile + reach >= F.col("floor") - SLACK)
+    return profile + F.when(F.col("n_cand_dom") > 0, F.col("reach")).otherwise(F.col("reach_no_dom"))
+
+
+def _can_reach_floor() -> Column:
+    """The bound against the candidate group's floor, evaluated inside the join before a pair is built."""
+    return (F.col("cap") >= F.col("floor")) & _beats_floor(F.least(F.col("cap"), _most()), F.col("sid"))
 
 
 def _first_shared() -> Column:
@@ -286,20 +381,40 @@ def _first_shared() -> Column:
         .otherwise(no_req & no_pref & first_of("dom")))
 
 
-def sharing_pairs(signatures: DataFrame, groups: DataFrame, k: int) -> DataFrame:
-    """Best k signatures per candidate group among the pairs that share an item and
-    can reach the group's floor."""
-    sized = by_rarity(signatures.drop("members")).withColumns({
-        "n_req": F.size("j_req"), "n_pref": F.size("j_pref"), "n_dom": F.size("j_dom")})
-    met = block_join(candidate_items(groups), job_items(sized), ["family", "item"], "gid", "sid")
+def scored_pairs(opened: DataFrame, items: DataFrame, groups: DataFrame) -> DataFrame:
+    """(gid, sid, score) of the pairs in the opened shapes that reach the group's floor, each at its first shared item."""
+    asked = opened.select("gid", "family", "item", "shape").join(groups, "gid")
+    met = block_join(asked, items, ["family", "item", "shape"], "gid", "sid")
     near = met.filter(_can_reach_floor())
     shared = near.withColumns({f"__{f}": F.array_intersect(job, have)
                                for f, (job, have) in FAMILIES.items()})
     counted = shared.withColumns({
         "__once": _first_shared(), **{f"{f}_hits": F.size(f"__{f}") for f in FAMILIES}})
     once = P.settled(counted, "__once").filter("__once")
-    scored = P.settled(P.score_from_counts(once), "score").filter(F.col("score") >= F.col("floor"))
-    best = top_k(scored.select("gid", "sid", "score"), ["gid"], _best_first("sid"), k)
+    scored = P.settled(P.score_from_counts(once), "score").filter(_beats_floor(F.col("score"), F.col("sid")))
+    return scored.select("gid", "sid", "score")
+
+
+def sharing_pairs(signatures: DataFrame, groups: DataFrame, k: int) -> DataFrame:
+    """Best k signatures per candidate group among the pairs that share an item and
+    can reach the group's floor."""
+    sized = by_rarity(signatures.drop("members")).withColumns({
+        "n_req": F.size("j_req"), "n_pref": F.size("j_pref"), "n_dom": F.size("j_dom")})
+    items = written(with_shape(job_items(sized)), "items")
+    classed = written(with_prune_class(groups), "classed")
+    highest = Window.partitionBy("gid").orderBy(F.desc("bound"), "family", "item", "shape")
+    before = F.sum("jobs").over(highest.rowsBetween(Window.unboundedPreceding, -1))
+    rows = written(openable(items, classed).withColumn("first", F.coalesce(before, F.lit(0)) < FIRST_JOBS * k), "openable")
+    found = written(top_k(scored_pairs(rows.filter("first"), items, classed), ["gid"], _best_first("sid"), k), "first-pairs")
+    kth = F.max(F.struct((-F.col("score")).alias("down"), F.col("sid").alias("ord")))
+    reached = found.groupBy("gid").agg(F.when(F.count("*") >= k, kth).alias("kth"))
+    # The better of both k-th places.
+    both = classed.join(reached, "gid", "left").withColumn(
+        "kth", F.least("kth", F.struct((-F.col("floor")).alias("down"), F.col("floor_ord").alias("ord"))))
+    raised = both.withColumns({"floor": -F.col("kth.down"), "floor_ord": F.col("kth.ord")}).drop("kth")
+    left = rows.filter(~F.col("first")).join(raised.select("gid", "floor", "floor_ord"), "gid")
+    rest = scored_pairs(left.filter(_beats_floor(F.col("bound"), F.col("earliest"))), items, raised)
+    best = top_k(found.drop("rank").unionByName(rest), ["gid"], _best_first("sid"), k)
     return best.drop("rank").join(signatures.select("sid", "members"), "sid")
 
 

@@ -20,7 +20,7 @@ from rolefit.operators import preferences as Pref
 from rolefit.operators import recommend as Rec
 from rolefit.operators import staging as St
 from rolefit.plans import pipelines as Plan
-from rolefit.session import fresh_path
+from rolefit.session import counted, fresh_path
 from rolefit.sources import datasets as Ds
 from rolefit.sources import feeds
 from rolefit.sources import payloads as Pay
@@ -308,14 +308,12 @@ def raw_snapshot_round_trip(spark, sf_dir):
 
 @query
 def stage_row_counts(spark, sf_dir):
-    """Rows of each stage of the pipeline."""
-    rows = fx.with_copies(staging(spark, sf_dir))
-    deduped = D.dedup_staging(rows)
-    curated = C.curate(deduped)
-    stages = [("staged", rows), ("deduplicated", deduped), ("curated", curated)]
-    counts = [df.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("stage"), "n_rows")
-              for name, df in stages]
-    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+    """Rows of each stage of the pipeline, observed while the stage is written for the next one."""
+    rows, staged = counted(fx.with_copies(staging(spark, sf_dir)), "staged")
+    deduped, kept = counted(D.dedup_staging(rows), "deduplicated")
+    _, curated = counted(C.curate(deduped), "curated")
+    counts = [("staged", staged), ("deduplicated", kept), ("curated", curated)]
+    return spark.createDataFrame(counts, "stage string, n_rows bigint")
 
 
 # --- curation ---------------------------------------------------------------------------------
@@ -454,18 +452,25 @@ def _profile_changes(spark, sf_dir):
 
 @query
 def profile_upsert(spark, sf_dir):
-    """Profiles after all saves, the later half applied onto the stored earlier half."""
+    """Profiles after two saves into a bucketed store, the later half of the changes onto the earlier half.
+
+    Every seventh change is sent twice, and every eleventh again without its time and number.
+    """
     changes = U.profile_rows(_profile_changes(spark, sf_dir))
     early = F.col("updated_at") < F.lit("1996-01-01").cast("timestamp")
-    stored = U.upsert(None, changes.filter(early))
-    return U.upsert(stored, changes.filter(~early)).drop("updated_at")
+    untimed = changes.filter("ord % 11 = 0").withColumns({
+        "updated_at": F.lit(None).cast(changes.schema["updated_at"].dataType), "ord": F.lit(None).cast("bigint")})
+    path = fresh_path(spark, "profiles")
+    U.save(path, changes.filter(early).unionByName(changes.filter(early & (F.col("ord") % 7 == 0))))
+    U.save(path, changes.filter(~early).unionByName(untimed))
+    return U.read_store(spark, path).drop("updated_at", "bucket")
 
 
 @query
 def profile_lookup(spark, sf_dir):
     """Stored profiles loaded for every user who ever ordered."""
-    stored = U.upsert(None, U.profile_rows(_profile_changes(spark, sf_dir)))
-    users = fx.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user_id")).distinct()
+    stored = U.bucketed(U.upsert(None, U.profile_rows(_profile_changes(spark, sf_dir))))
+    users = U.bucketed(fx.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user_id")).distinct())
     return _staging_columns(U.load_profiles(stored, users), ("updated_at",))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 
 def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
@@ -51,3 +51,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """``written``, with the number of rows as observed while they are written."""
+    seen = Observation()
+    table = written(df.observe(seen, F.count(F.lit(1)).alias("rows")), name)
+    return table, seen.get["rows"]

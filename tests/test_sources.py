@@ -181,6 +181,51 @@ def test_upsert_tie_and_default_threshold(spark):
     assert [r["user_id"] for r in U.load_preferences(stored, asked).collect()] == [2]
 
 
+SAVES = "user_id bigint, updated_at string, ord bigint, name string"
+ROWS = [
+    (1, "2026-01-02", 5, "same"), (1, "2026-01-02", 5, "same"), (1, "2026-01-01", 9, "older"), (2, "2026-01-01", 1, "a"), (2, "2026-01-01", 1, "b"),
+    (3, None, 7, "no time"), (3, None, 8, "later"), (4, "2026-01-01", None, "no number"), (5, None, None, None), (5, None, None, None),
+    (6, "2026-01-01", None, "no number"), (6, "2026-01-01", 0, "number"), (None, "2026-01-01", 1, "no user")]
+
+
+def test_one_row_per_user_whatever_is_repeated(spark):
+    got = [tuple(r) for r in U.last_write(spark.createDataFrame(ROWS, SAVES)).collect()]
+    assert sorted(r[0] or 0 for r in got) == [0, 1, 2, 3, 4, 5, 6]
+    by = {r[0]: r[3] for r in got}
+    assert (by[1], by[3], by[4], by[5], by[6], by[None]) == ("same", "later", "no number", None, "number", "no user")
+    again = [tuple(r) for r in U.last_write(spark.createDataFrame(ROWS[::-1], SAVES).repartition(3)).collect()]
+    assert sorted(got, key=repr) == sorted(again, key=repr)
+
+
+def test_a_save_rewrites_only_its_buckets(spark, tmp_path):
+    path = str(tmp_path / "store")
+    U.save(path, spark.createDataFrame(ROWS, SAVES), buckets=8)
+    before = {f: f.stat().st_mtime_ns for f in (tmp_path / "store").glob("bucket=*/*.parquet")}
+    change = spark.createDataFrame([(2, "2026-02-01", 1, "new"), (2, "2025-01-01", 1, "stale")], SAVES)
+    U.save(path, change, buckets=8)
+    after = {f: f.stat().st_mtime_ns for f in (tmp_path / "store").glob("bucket=*/*.parquet")}
+    assert len(set(before) - set(after)) == 1 and len(set(before) & set(after)) == len(before) - 1
+    got = U.read_store(spark, path).drop("bucket")
+    want = U.last_write(spark.createDataFrame(ROWS, SAVES).unionByName(change))
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.select(*got.columns).collect()))
+    U.save(path, spark.createDataFrame([], SAVES), buckets=8)
+    assert U.read_store(spark, path).count() == 7
+
+
+def test_bucketed_lookup_moves_no_row(spark):
+    stored = U.bucketed(U.last_write(spark.createDataFrame(ROWS, SAVES)), buckets=4)
+    asked = U.bucketed(spark.createDataFrame([(2,), (9,), (6,)], "user_id bigint"), buckets=4)
+    found = U.asked_rows(stored, asked)
+    assert sorted(r["user_id"] for r in found.collect()) == [2, 6]
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_keep_first_with_repeated_and_missing_numbers(spark):
+    rows = [(1, "t", "x"), (1, "t", "x"), (None, "t", "x"), (None, "t", "y"), (2, "t", "x"), (2, "u", "x"), (None, "v", "a"), (None, "v", "a"), (3, None, "n"), (4, None, "n")]
+    got = D.keep_first(spark.createDataFrame(rows, "ord bigint, text string, more string"), ["text"])
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([(1, "t", "x"), (2, "u", "x"), (None, "v", "a"), (3, None, "n")], key=repr)
+
+
 def test_published_evaluation_figures(spark):
     rows = [(1, ["python", "sql", "pandas"], ["python", "sql", "pandas", "git"]), (2, ["aws", "docker"], ["aws", "azure"])]
     df = Ev.with_prf(spark.createDataFrame(rows, "id int, p array<string>, t array<string>"), "p", "t")
