@@ -28,7 +28,7 @@ CUT_BLANKS = re.compile(r"[^ \u2581] +[^ \u2581]")
 
 STRETCH = 1 << 20
 #: Bytes that the lookup holds (twice this at most), with what an entry costs besides, and the longest entry in characters.
-CACHE_BYTES, ENTRY, LONGEST = 32 << 20, 200, 64
+CACHE_BYTES, ENTRY, LONGEST = 16 << 20, 200, 64
 
 
 def stretches(text: str, cut: re.Pattern, size: int | None = None) -> Iterator[str]:
