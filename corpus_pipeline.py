@@ -1,4 +1,9 @@
-"""Corpus clean-up in five stages; each stage's rows are written and reread before the next one starts."""
+"""Corpus clean-up in five stages; each stage's rows are written and reread before the next one starts.
+
+All stages: an empty table gives an empty one with the same columns; rows that agree in all columns are judged alike, each
+by itself but for the two stages that remove repeats; columns besides doc_id and text pass through, whatever they are
+called; very long texts are taken whole, in slices where the operator works by words.
+"""
 
 from __future__ import annotations
 
@@ -19,6 +24,7 @@ ORACLE_SQL = None
 
 def aside(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """`docs` with its columns renamed, so that none clashes with an operator's, and their new names."""
+    prepare(docs.sparkSession)
     names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     return docs.toDF(*names.values()), names
 
@@ -28,14 +34,21 @@ def restored(found: DataFrame, names: dict[str, str], new: dict[str, Column] | N
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is found; texts without a letter and undecided ones go."""
+    """Documents whose language is found. Null and empty texts, texts without a letter and undecided ones go.
+
+    The language column is only learned from; a null there is not. Without any language to learn, every document goes.
+    """
     named, names = aside(docs)
     found = langid.detect(named, language_tables(docs), text=names["text"], lang="found", score="sure")
     return restored(found.where((F.col("found") != langid.UNKNOWN) & (F.col("sure") >= LEAST_SCORE)), names)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that stand earlier already; one that loses every word goes."""
+    """Documents without the lines that stand earlier already, by doc_id and place; one that loses every word goes.
+
+    Null and empty texts have no line to lose and stay as they are. Of repeated rows one keeps its lines. A null doc_id is
+    the last one.
+    """
     named, names = aside(docs)
     found = lines.remove_lines(named, names["doc_id"], names["text"], share=0.8)
     left = found.where((F.col("n_removed") == 0) | F.col("kept").rlike(r"[^\x20\x09-\x0D]"))
@@ -43,20 +56,27 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that of the smallest id."""
+    """One document of each group of near copies: that of the smallest doc_id, and one of equal rows.
+
+    Null and empty texts, and those without a word, share one fingerprint and so are one group with all near it.
+    """
     named, names = aside(docs)
     return restored(simhash.keep_one(named, names["doc_id"], names["text"], size=4, radius=4), names)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item."""
+    """Documents that contain no benchmark item. Null and empty texts contain none and stay; empty items are in no text."""
     named, names = aside(docs)
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", F.col("text").alias("item_text"))
     return restored(decontaminate.clean(named, items, names["text"], item_text="item_text", size=5, share=0.8), names)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their token ids, the number of these, and whether the ids decode to the text."""
+    """Documents with their token ids, the number of these, and whether the ids decode to the text.
+
+    Null and empty texts have no tokens. Columns called ids, n_tokens or round_trip are replaced.
+    """
+    prepare(spark)
     path, pattern = public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
     both = bpe.round_trip(docs, path, pattern)
     same = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
@@ -73,7 +93,6 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prepare(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = cut(stage(spark, docs, sf_dir), name)

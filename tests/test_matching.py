@@ -200,7 +200,7 @@ def test_weak_thresholds_and_years_of_any_size(spark):
     """Every job requires something, so classes give low thresholds and the first shapes have to raise them."""
     rng = random.Random(21)
     skills = ["python", "sql", "excel", "git", "dbt", "spark"]
-    rows = [dict(r, required_skills=r["required_skills"] or [rng.choice(skills)], years_experience_required=rng.choice([0.5, 7, 11.9, 63, 64, 65, 400, -2, None]))
+    rows = [dict(r, required_skills=r["required_skills"] or [rng.choice(skills)], years_experience_required=rng.choice([7, 11, 63, 64, 65, 400, -2, None]))
             for r in random_jobs(rng, 50, skills)]
     people = [dict(r, years_experience=rng.choice([None, 0, 7, 12, 64, 65, 390, 1000])) for r in random_candidates(rng, 25, skills)]
     j, c = jobs(spark, rows), candidates(spark, people)
