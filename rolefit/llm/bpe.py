@@ -14,8 +14,8 @@ repeated rows and ties need no rule, and an empty table gives an empty table.
 from __future__ import annotations
 
 import base64
-import hashlib
 import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import STRETCH, Bytes, Lookup
-from .common import with_new
+from .common import release, with_new
 
 #: Matches that are merged at once.
 ROWS = 1 << 14
@@ -97,10 +97,11 @@ class Pairs:
 
     def __init__(self, ranks: dict[bytes, int]):
         get = ranks.get
-        found = [
-            (left, right, rank) for token, rank in ranks.items() for k in range(1, len(token))
-            if (left := get(token[:k])) is not None and (right := get(token[k:])) is not None
-        ]
+        found = array("q")
+        for token, rank in ranks.items():
+            for k in range(1, len(token)):
+                if (left := get(token[:k])) is not None and (right := get(token[k:])) is not None:
+                    found.extend((left, right, rank))
         table = np.array(found, np.int64).reshape(-1, 3)
         keys = table[:, 0] << 32 | table[:, 1]
         order = np.argsort(keys)
@@ -174,9 +175,7 @@ def merge_many(pieces: list[bytes], first: np.ndarray, pairs: Pairs) -> list[byt
 
 
 class Codec:
-    """What a worker keeps between batches: the split pattern, the ranks and the chunks met lately."""
-
-    kept: dict[str, "Codec"] = {}
+    """What a task keeps between batches: the split pattern, the ranks and the chunks met lately."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.find = ranks, regex.compile(pattern).findall
@@ -188,13 +187,6 @@ class Codec:
         self.tokens, self.pairs = Bytes(tokens), Pairs(ranks)
         self.first = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int64)
 
-    @classmethod
-    def of(cls, ranks: dict[bytes, int], pattern: str, key: str) -> "Codec":
-        if key not in cls.kept:
-            cls.kept.clear()
-            cls.kept[key] = cls(ranks, pattern)
-        return cls.kept[key]
-
     def pack_many(self, chunks: list[str]) -> list[bytes]:
         """Packed ids of each chunk, from its matches; each distinct match is merged once."""
         matches = list(map(self.find, chunks))
@@ -243,9 +235,7 @@ class Codec:
 
 def vocabulary(spark, path: str, pattern: str):
     """The ranks as a broadcast value: a vocabulary file is small (some MB) whatever the corpus is."""
-    ranks = read_ranks(path)
-    key = hashlib.sha256(repr((path, pattern, len(ranks), sorted(ranks.items())[:64])).encode()).hexdigest()
-    return spark.sparkContext.broadcast((ranks, pattern, key))
+    return spark.sparkContext.broadcast((read_ranks(path), pattern))
 
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -254,9 +244,11 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
 
     @F.arrow_udf("binary")
     def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        codec = Codec.of(*shared.value)
+        codec = Codec(*shared.value)
         for texts in batches:
             yield pa.array(codec.encode_all([t or "" for t in texts.to_pylist()]), pa.binary())
+        del codec
+        release()
 
     return with_new(df, {ids: encoded(F.col(text))})
 
@@ -267,9 +259,11 @@ def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str =
 
     @F.arrow_udf("binary")
     def decoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        codec = Codec.of(*shared.value)
+        codec = Codec(*shared.value)
         for packed in batches:
             yield pa.array(codec.decode_all([b or b"" for b in packed.to_pylist()]), pa.binary())
+        del codec
+        release()
 
     return with_new(df, {out: decoded(F.col(ids))})
 
@@ -280,10 +274,13 @@ def round_trip(df: DataFrame, path: str, pattern: str, text: str = "text", ids:
 
     @F.arrow_udf("struct<ids:binary,decoded:binary>")
     def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        codec = Codec.of(*shared.value)
+        codec = Codec(*shared.value)
+        texts = packed = None
         for texts in batches:
             packed = codec.encode_all([t or "" for t in texts.to_pylist()])
             yield pa.StructArray.from_arrays([pa.array(packed, pa.binary()), pa.array(codec.decode_all(packed), pa.binary())], ["ids", "decoded"])
+        del codec, texts, packed
+        release()
 
     pair = both(F.col(text))
     return with_new(df, {ids: pair["ids"], out: pair["decoded"]})
