@@ -22,9 +22,22 @@ LEAST_SCORE = 0.5
 ORACLE_SQL = None
 
 
+#: For Python workers: arrays are mapped, and so given back when they are freed. Workers of one stage live on beside those of
+#: the next, and what they hold counts.
+WORKER_MEMORY = {
+    "MALLOC_MMAP_THRESHOLD_": "131072", "MALLOC_TRIM_THRESHOLD_": "131072", "MALLOC_ARENA_MAX": "1", "ARROW_DEFAULT_MEMORY_POOL": "system",
+}
+
+
+def ready(spark: SparkSession) -> None:
+    """The session's settings for the operators and their workers."""
+    prepare(spark)
+    spark.sparkContext.environment.update(WORKER_MEMORY)
+
+
 def aside(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """`docs` with its columns renamed, so that none clashes with an operator's, and their new names."""
-    prepare(docs.sparkSession)
+    ready(docs.sparkSession)
     names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     return docs.toDF(*names.values()), names
 
@@ -76,7 +89,7 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts have no tokens. Columns called ids, n_tokens or round_trip are replaced.
     """
-    prepare(spark)
+    ready(spark)
     path, pattern = public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
     both = bpe.round_trip(docs, path, pattern)
     same = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
