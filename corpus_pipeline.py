@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolefit.llm import bpe, decontaminate, langid, lines, simhash
-from rolefit.llm.common import cut, prepare, with_new
+from rolefit.llm.common import BATCH_BYTES, cut, prepare, with_new
 from rolefit.llm.queries import VOCABULARY, language_tables
 
 #: A document goes if no language is at least this likely.
@@ -32,6 +32,7 @@ WORKER_MEMORY = {
 def ready(spark: SparkSession) -> None:
     """The session's settings for the operators and their workers."""
     prepare(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES // 2))  # a stage runs several workers a task
     spark.sparkContext.environment.update(WORKER_MEMORY)
 
 
