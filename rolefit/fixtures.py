@@ -257,3 +257,28 @@ def with_copies(staging: DataFrame) -> DataFrame:
         "source_job_id": F.concat("source_job_id", F.lit("-b")),
     })
     return staging.unionByName(again).unionByName(renamed)
+
+
+# --- payloads as lines ------------------------------------------------------------------
+
+def payload_lines(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """JSON lines of every kind of payload, some outside their limits and some cut off."""
+    c, k, o = F.col("c"), F.col("ord"), F.col("o_orderkey")
+
+    def lines(rows: DataFrame, key: Column) -> DataFrame:
+        line = F.to_json(F.struct(*[name for name in rows.columns if name not in ("c", "ord", "o_orderkey")]))
+        return rows.select(F.when(key % 10 == 3, F.left(line, F.lit(5))).otherwise(line).alias("value"))
+
+    number = F.regexp_extract("candidate_id", "[0-9]+", 0).cast("bigint")
+    people = candidate_payloads(spark, sf_dir).withColumn("c", number).withColumns({
+        "years_experience": F.when(c % 10 == 1, -1).otherwise(F.col("years_experience")),
+        "full_name": F.when(c % 10 != 2, F.col("full_name"))})
+    offers = jobs(spark, sf_dir).withColumn("title", F.when(k % 10 != 5, F.col("title")))
+    wishes = preferences(spark, sf_dir).select(number.alias("c"), "preferences.*").withColumn(
+        "min_score", F.when(c % 10 == 1, 101).when(c % 10 == 2, -1).otherwise(F.col("min_score")))
+    orders = table(spark, sf_dir, "orders")
+    requests = orders.select("o_orderkey", candidate_id(F.col("o_custkey")).alias("candidate_id"),
+                             (o % 104).alias("top_k"), (o % 7).alias("limit_jobs"))
+    previews = orders.select("o_orderkey", (o % 505).alias("limit"))
+    return {"candidate": lines(people, c), "job": lines(offers, k), "preference": lines(wishes, c),
+            "request": lines(requests, o), "preview": lines(previews, o)}

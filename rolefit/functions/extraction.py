@@ -5,12 +5,16 @@ All of it is per-row column work, so a corpus of any size needs no shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from rolefit.functions import text as X
 from rolefit.functions import vocab
 
 UNSPECIFIED, PREFERRED, REQUIRED = 0, 1, 2
+# fixed values: letters that case-insensitive matching equates with i and s
+FOLDED = ("ıſ", "is")
 
 
 def lowered(text: Column) -> Column:
@@ -112,23 +116,36 @@ def cut_section(cut: Column, headings: list[str], patterns: SkillPatterns) -> Co
 
 
 def skill_hits(cut: Column, patterns: SkillPatterns) -> Column:
-    """All hits of a cut text as array<struct<skill, label>>, in text order.
-
-    The context of a hit is put together from the pieces around it. A piece has
-    at least one character, so a fixed number of pieces always suffices: the
-    work per hit is bounded and grows with the text length, not its square.
-    """
-    n, ahead = vocab.CONTEXT_CHARS, vocab.CONTEXT_CHARS + patterns.longest
+    """All hits of a cut text as array<struct<skill, label>>, in text order."""
     starts_table = F.expr("map(" + ", ".join(
         f"{X.sql_literal(alias)}, array(" + ", ".join(
             f"named_struct('skill', {X.sql_literal(skill)}, 'length', {length})" for skill, length in starts) + ")"
         for alias, starts in sorted(patterns.at_start.items())) + ")")
 
+    def starts_of(following: Column) -> Column:
+        alias = F.regexp_extract(following, "^" + patterns.term, 0)
+        return F.try_element_at(starts_table, F.translate(alias, *FOLDED))
+
+    return labelled_hits(cut, starts_of, patterns.longest)
+
+
+def labelled_hits(cut: Column, starts_of: Callable[[Column], Column], longest: int | Column) -> Column:
+    """Hits of a text that is cut at the start of each.
+
+    ``starts_of`` gives array<struct<skill, length>> of the aliases that begin what
+    follows a cut, none of more than ``longest`` characters. The context of a hit is
+    put together from the pieces around it. A piece has at least one character, so a
+    bounded number of pieces always suffices: the work per hit is bounded and grows
+    with the text length, not its square.
+    """
+    n, ahead = vocab.CONTEXT_CHARS, vocab.CONTEXT_CHARS + longest
+    some = ahead if isinstance(ahead, Column) else F.lit(ahead)
+
     def ends(pieces: Column) -> Column:
         return F.struct(
             F.transform(pieces, lambda p, i: F.right(
                 F.when(i == 0, p.substr(F.lit(2), F.length(p))).otherwise(p), F.lit(n))).alias("tails"),
-            F.transform(pieces, lambda p: F.left(p, F.lit(ahead))).alias("heads"))
+            F.transform(pieces, lambda p: F.left(p, some)).alias("heads"))
 
     def around(e: Column) -> Column:
         """What stands before and after the start of each hit; hit i starts piece i + 1."""
@@ -136,14 +153,13 @@ def skill_hits(cut: Column, patterns: SkillPatterns) -> Column:
             first = F.greatest(i - (n - 2), F.lit(1))
             return F.struct(
                 F.right(F.array_join(F.slice(e["tails"], first, i - first + 2), ""), F.lit(n)).alias("before"),
-                F.left(F.array_join(F.slice(e["heads"], i + 2, ahead), ""), F.lit(ahead)).alias("following"))
+                F.left(F.array_join(F.slice(e["heads"], i + 2, ahead), ""), some).alias("following"))
 
         return F.transform(F.slice(e["heads"], 2, F.size(e["heads"])), sides)
 
     def named(hit: Column) -> Column:
-        alias = F.regexp_extract(hit["following"], "^" + patterns.term, 0)
         return F.struct(hit["before"].alias("before"), hit["following"].alias("following"),
-                        F.try_element_at(starts_table, F.translate(alias, "ıſ", "is")).alias("starts"))
+                        starts_of(hit["following"]).alias("starts"))
 
     def contexts(hit: Column) -> Column:
         return F.transform(hit["starts"], lambda s: F.struct(

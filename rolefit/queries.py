@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from rolefit import fixtures as fx
 from rolefit.functions import extraction as E
 from rolefit.functions import normalise as N
 from rolefit.functions import text as X
+from rolefit.functions import vocab
 from rolefit.operators import curate as C
 from rolefit.operators import dedup as D
 from rolefit.operators import enrich as En
@@ -19,6 +21,7 @@ from rolefit.operators import pairs as P
 from rolefit.operators import preferences as Pref
 from rolefit.operators import recommend as Rec
 from rolefit.operators import staging as St
+from rolefit.operators import taxonomy as Tx
 from rolefit.plans import pipelines as Plan
 from rolefit.session import counted, fresh_path
 from rolefit.sources import datasets as Ds
@@ -367,6 +370,14 @@ def skill_hits(spark, sf_dir):
     return E.hit_rows(rows, "hits", "job_uid").groupBy("job_uid", "skill", "label").agg(F.count("*").alias("n_hits"))
 
 
+@query
+def skill_hits_by_table(spark, sf_dir):
+    """The same hits, with the taxonomy as a table that the words of the texts are joined with."""
+    taxonomy = spark.createDataFrame([(s, a) for s, names in vocab.SKILL_ALIASES.items() for a in names], "skill string, alias string")
+    rows = Tx.with_hits(texts(spark, sf_dir), "hits", F.col("text"), taxonomy, collapsed=True)
+    return E.hit_rows(rows, "hits", "job_uid").groupBy("job_uid", "skill", "label").agg(F.count("*").alias("n_hits"))
+
+
 @query
 def skills_required_preferred(spark, sf_dir):
     rows = E.with_skills(texts(spark, sf_dir), "text", collapsed=True)
@@ -584,6 +595,33 @@ def job_payload_scan(spark, sf_dir):
     return checked.groupBy("violations").agg(F.count("*").alias("n_rows"))
 
 
+@query
+def landed_payloads(spark, sf_dir):
+    """Both feeds landed as response files, wrapped and bare in turn, read back in their order and staged."""
+    base, order = fresh_path(spark, "landed"), Window.partitionBy("source", "source_company").orderBy("ord")
+    staged = []
+    for feed, rows, stage in [(feeds.FEED_A, fx.feed_a(spark, sf_dir), St.stage_feed_a), (feeds.FEED_B, fx.feed_b(spark, sf_dir), St.stage_feed_b)]:
+        feeds.land_payloads(rows, f"{base}/{feed}", feed, 500, wrapped=F.col("page").cast("bigint") % 2 == 0)
+        staged.append(St.postprocess(stage(feeds.read_payloads(spark, f"{base}/{feed}", feed), INGESTED_AT, VERSION)))
+    return St.unify(*staged).select(
+        "job_uid", "title_raw", "description_hash", "metadata_raw", F.row_number().over(order).cast("bigint").alias("place"))
+
+
+@query
+def payload_quarantine(spark, sf_dir):
+    """Payloads of every kind, some of them broken: rows accepted, rejected, and quarantined for each reason."""
+    base = fresh_path(spark, "settled")
+    out = []
+    for kind, lines in fx.payload_lines(spark, sf_dir).items():
+        path = f"{base}/landed/{kind}"
+        lines.write.text(path)
+        kept, lost = Pay.settle(spark, path, kind, base)
+        counts = spark.createDataFrame([("accepted", kept), ("rejected", lost)], "reason string, n_rows bigint")
+        reasons = Pay.quarantined(spark, base, kind).select(F.explode("violations").alias("reason")).groupBy("reason").agg(F.count("*").alias("n_rows"))
+        out.append(counts.unionByName(reasons).select(F.lit(kind).alias("kind"), "reason", "n_rows"))
+    return reduce(DataFrame.unionByName, out)
+
+
 # --- evaluation -------------------------------------------------------------------------------------
 
 def _eval_rows(spark, sf_dir):

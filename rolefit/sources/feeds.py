@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from rolefit.functions import text as X
 
@@ -42,36 +40,51 @@ def ingestion_order(feed: str, board_rank: Column, pos: Column) -> Column:
 
 
 def read_payloads(spark: SparkSession, path: str, feed: str) -> DataFrame:
-    """Feed responses landed as files ``<feed>_<board>_jobs_raw_<run>.json``.
+    """Feed responses landed as files, named ``<feed>_<board>_jobs_raw_<run>.json`` or
+    below a folder ``source_company=<board>``.
 
     Takes the response object (rows under a key, feed A only) as well as the
     bare list. One file is one response of one board, so the unit read by a
     task is what the feed itself delivers at once. Rows keep their position,
-    and files of one board follow each other by name.
+    and files of one board follow each other by path. That order comes from a
+    join with the listing, whose files are not opened; no name meets the driver.
+    A file that is no JSON has no rows.
     """
     row = FEED_ROW[feed]
-    files = spark.read.text(path, wholetext=True).select(
-        "value", F.col("_metadata.file_name").alias("file"))
+    found = F.col("_metadata.file_path").alias("path")
+    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select("value", found)
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(found)
+    board = F.coalesce(X.nullif_blank(F.regexp_extract("path", "/source_company=([^/]+)/[^/]+", 1)),
+                       F.regexp_extract("path", rf"/{feed}_([^/]+)_jobs_raw_[^/]*$", 1))
+    order = Window.partitionBy("board").orderBy("path")
+    placed = listing.withColumn("board", board).withColumn("place", F.row_number().over(order).cast("bigint") - 1)
     rows = F.from_json("value", f"ARRAY<STRUCT<{row}>>")
     if feed in _TOP_LEVEL_KEY:
         key = _TOP_LEVEL_KEY[feed]
         wrapped = F.from_json("value", f"STRUCT<{key}: ARRAY<STRUCT<{row}>>>")[key]
         rows = F.when(F.ltrim("value").startswith("{"), wrapped).otherwise(rows)
-    board = F.regexp_extract("file", rf"^{feed}_(.+)_jobs_raw_", 1).alias("board")
-    # Names only: the listing does not open the files, and the driver has made it anyway.
-    listing = spark.read.format("binaryFile").load(path).select(F.substring_index("path", "/", -1).alias("file"))
-    names = sorted({row["file"] for row in listing.collect()})
-    places, seen = {}, Counter()
-    for name in names:
-        of = name.partition("_jobs_raw_")[0]
-        places[name], seen[of] = seen[of], seen[of] + 1
-    place = F.coalesce(X.lookup(places, F.col("file")) if places else F.lit(None), F.lit(0)).cast("bigint")
     # Outer, so that the planner does not parse every file twice to test for rows.
-    read = (files.select(board, place.alias("place"), F.posexplode_outer(rows).alias("pos", "row"))
+    read = (files.join(placed, "path").select("board", "place", F.posexplode_outer(rows).alias("pos", "row"))
             .filter(F.col("pos").isNotNull()))
     return read.select("board", (F.shiftleft("place", _ROW_BITS) + F.col("pos")).alias("pos"), "row.*")
 
 
+def land_payloads(rows: DataFrame, path: str, feed: str, page_rows: int, wrapped: Column) -> None:
+    """Rows as responses of at most ``page_rows`` rows of one board, a file each.
+
+    ``wrapped`` says of a page whether it is a response object or a bare list
+    (feed B knows only lists).
+    """
+    page = F.lpad(F.floor(F.col("pos") / page_rows).cast("string"), 12, "0")
+    line = F.to_json(F.struct(*[c for c in rows.columns if c not in ("board", "pos")]))
+    pages = (rows.select(F.col("board").alias("source_company"), page.alias("page"), F.struct("pos", line.alias("row")).alias("row"))
+             .groupBy("source_company", "page").agg(F.sort_array(F.collect_list("row"))["row"].alias("rows")))
+    body = F.concat(F.lit("["), F.array_join("rows", ","), F.lit("]"))
+    if feed in _TOP_LEVEL_KEY:
+        body = F.when(wrapped, F.concat(F.lit(f'{{"{_TOP_LEVEL_KEY[feed]}":'), body, F.lit("}"))).otherwise(body)
+    pages.select("source_company", "page", body.alias("value")).write.partitionBy("source_company", "page").text(path)
+
+
 def raw_folder(base: str, feed: str, run_ts: str) -> str:
     return f"{base}/run_ts={run_ts}/source={feed}"
 

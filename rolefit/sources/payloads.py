@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from rolefit.functions import text as X
@@ -17,6 +17,13 @@ PREFERENCES = T.StructType([
     T.StructField("min_score", T.IntegerType()),
 ])
 
+REQUEST = T.StructType([
+    T.StructField("candidate_id", T.StringType()),
+    T.StructField("top_k", T.IntegerType()),
+    T.StructField("limit_jobs", T.IntegerType()),
+])
+PREVIEW = T.StructType([T.StructField("limit", T.IntegerType())])
+
 CORRUPT = "_corrupt_record"
 
 # --- fixed values: constraints as (column, name of the violation, least, most) -----
@@ -78,3 +85,44 @@ def job_payloads(spark: SparkSession, path: str) -> DataFrame:
 
 def preference_payloads(spark: SparkSession, path: str) -> DataFrame:
     return with_violations(read_payloads(spark, path, PREFERENCES), ranges=PREFERENCE_RANGES)
+
+
+#: Schema and constraints of each kind of payload.
+KINDS = {
+    "candidate": (CANDIDATE_INPUT, {"required": CANDIDATE_REQUIRED, "ranges": CANDIDATE_RANGES}),
+    "job": (JOB_INPUT, {"required": JOB_REQUIRED}),
+    "preference": (PREFERENCES, {"ranges": PREFERENCE_RANGES}),
+    "request": (REQUEST, {"required": ["candidate_id"], "ranges": REQUEST_RANGES}),
+    "preview": (PREVIEW, {"ranges": PREVIEW_RANGES}),
+}
+
+
+def settle(spark: SparkSession, path: str, kind: str, base: str) -> tuple[int, int]:
+    """Scan payloads of one kind once: rows that keep all constraints go to the accepted table, the others to quarantine.
+
+    Both are folders of one write. A quarantined row keeps its violations and its text (as read, or the line itself where
+    it is not readable). Returns the numbers of accepted and rejected rows, observed while they are written. Settling a
+    kind again replaces both of its tables.
+    """
+    schema, constraints = KINDS[kind]
+    checked = with_violations(read_payloads(spark, path, schema), **constraints)
+    rejected, seen = F.size("violations") > 0, Observation()
+    text = F.coalesce(CORRUPT, F.to_json(F.struct(*schema.names)))
+    (checked.select(*schema.names, "violations", F.when(rejected, text).alias("payload"), (~rejected).alias("accepted"))
+     .observe(seen, F.count_if("accepted").alias("kept"), F.count_if(~F.col("accepted")).alias("lost"))
+     .write.mode("overwrite").partitionBy("accepted").parquet(f"{base}/{kind}"))
+    return seen.get["kept"], seen.get["lost"]
+
+
+def _settled(spark: SparkSession, base: str, kind: str) -> DataFrame:
+    schema = T.StructType([*KINDS[kind][0].fields, T.StructField("violations", T.ArrayType(T.StringType())),
+                           T.StructField("payload", T.StringType()), T.StructField("accepted", T.BooleanType())])
+    return spark.read.schema(schema).parquet(f"{base}/{kind}")
+
+
+def accepted(spark: SparkSession, base: str, kind: str) -> DataFrame:
+    return _settled(spark, base, kind).filter("accepted").drop("violations", "payload", "accepted")
+
+
+def quarantined(spark: SparkSession, base: str, kind: str) -> DataFrame:
+    return _settled(spark, base, kind).filter("NOT accepted").select("violations", "payload")
