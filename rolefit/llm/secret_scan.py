@@ -1,10 +1,15 @@
 """Secrets in texts: three fixed patterns, and strings that a dictionary-primed compressor finds new.
 
-Novelty of a candidate is the number of bytes it adds to the zstandard frame of the text before it, when the compressor
-already knows the identifiers that stand in the corpus next to sensitive words. Words, names and paths are in the
+Novelty of a candidate is the number of bytes it adds to the zstandard frame of the text before it, measured against a
+random string of its length, when the compressor already knows the identifiers that stand in the corpus next to sensitive words. Words, names and paths are in the
 dictionary or repeat their surroundings and add little; random strings add nearly a byte a character while they are short.
 The literals of longer ones are Huffman-coded down to the entropy of their alphabet (half a byte for hex digits), so a long
 string is also judged by its pieces, whose literals are left as they are; one new piece makes the whole string new.
+zstandard only repeats whole stretches, so a name that the dictionary does not hold costs as much as a random string. The
+dictionary also gives the letter pairs of known names: runs of letters whose pairs are likelier among them than all letters
+alike read like names, and a string is only new if at most half of it does. So paths, host names and rare words are not
+reported, and random strings are, whatever their alphabet. With an empty dictionary nothing reads like a name. Letters that
+are themselves among the commonest identifier parts of the corpus (a secret in very many texts) are known, not new.
 
 Null and empty texts hold no secrets. Columns of the same name as a result are replaced, all others pass through. Rows
 are worked on one by one; an empty table gives an empty one (with an empty dictionary).
@@ -15,7 +20,9 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from random import Random
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -35,10 +42,13 @@ REACH = 96
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.~-]{16,}")
 RUN = re.compile(r"[A-Za-z0-9+/_=.~-]+")
 INSIDE = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=.~-")
+LETTERS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 #: The most characters of a piece of a long candidate.
 PIECE = 32
 #: The parts of identifiers that go to the dictionary: runs of letters, which random strings have short ones of.
 PART = re.compile(r"[A-Za-z]{3,24}")
+#: Runs of letters that may be names, with one capital at most or of capitals only, and the short number or separator after.
+NAME = re.compile(r"([A-Z]?[a-z]{3,}|[A-Z]{4,})[^A-Za-z]{0,3}")
 
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 
@@ -69,6 +79,30 @@ def may_hold(text: str) -> bool:
     return any(w in low for w in ("pass", "pwd", "secret", "token", "key", "credential", "bearer", "auth", "akia"))
 
 
+class Names:
+    """Letter pairs of known names: which runs of letters read like one."""
+
+    def __init__(self, dictionary: bytes):
+        counts = np.full((27, 26), 0.5)  # by the letter before (the last row: none) and the letter
+        for part in PART.findall(dictionary.decode()):
+            at = self._letters(part)
+            np.add.at(counts, (at[:-1], at[1:]), 1)
+        self.gain = np.log(counts / counts.sum(axis=1, keepdims=True) * 26)
+
+    @staticmethod
+    def _letters(run: str) -> np.ndarray:
+        return np.frombuffer(b"{" + run.lower().encode(), np.uint8) - np.uint8(97)  # "{" follows "z"
+
+    def known(self, string: str) -> int:
+        """Characters of `string` in its runs, if these together read like names; each with the number or separator after it."""
+        total, gain = 0, 0.0
+        for m in NAME.finditer(string):
+            at = self._letters(m[1])
+            gain += self.gain[at[:-1], at[1:]].sum()
+            total += len(m[0])
+        return total if gain > 1e-9 else 0
+
+
 class Novelty:
     """Marginal compressed bytes of a string after its surroundings."""
 
@@ -80,15 +114,23 @@ class Novelty:
         plain = zstandard.ZstdCompressionParameters.from_level(level, strategy=zstandard.STRATEGY_FAST, target_length=1, write_content_size=0, write_checksum=0, write_dict_id=0)
         self.plain = zstandard.ZstdCompressor(dict_data=known, compression_params=plain).compress
         self.share = share
+        self.names = Names(dictionary)
+        self.draw, self.drawn = Random(0), b""
+
+    def random(self, n: int) -> bytes:
+        """A fixed random string of `n` characters."""
+        if n > len(self.drawn):
+            self.drawn += bytes(self.draw.choices(LETTERS, k=2 * n - len(self.drawn)))
+        return self.drawn[:n]
 
     def marginal(self, around: str, candidate: str, frame) -> int:
-        before = around.encode()
-        return len(frame(before + candidate.encode())) - len(frame(before))
+        """Bytes that `candidate` adds, against a random string as long: a short frame alone may be left uncompressed."""
+        before, n = around.encode(), len(candidate)
+        return n + len(frame(before + candidate.encode())) - len(frame(before + self.random(n)))
 
     def new(self, around: str, string: str, frame) -> bool:
-        rest = string[1:]  # a capital at the start of a word says nothing
-        kinds = sum(map(bool, (re.search("[a-z]", rest), re.search("[A-Z]", rest), re.search("[0-9]", rest))))
-        return kinds >= 2 and self.marginal(around, string, frame) >= self.share * len(string)
+        n = len(string)
+        return self.marginal(around, string, frame) >= self.share * n and 2 * self.names.known(string) <= n
 
     def novel(self, text: str, start: int, end: int) -> bool:
         if self.new(text[max(0, start - REACH) : start], text[start:end], self.frame):
