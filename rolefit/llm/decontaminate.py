@@ -1,7 +1,9 @@
 """Benchmark decontamination: size-partitioned MinHash containment search.
 
-Shingles are `size` consecutive words (A-Z folded, words end at ASCII white space) as a set; a text of fewer words is one
-shingle, a text without words has none. A document contains an item if it holds at least `share` of the item's shingles.
+Shingles are `size` consecutive words (A-Z folded, words end at ASCII white space) as a set; an item of fewer words is one
+shingle, a text without words has none. A document contains an item if it holds at least `share` of the item's shingles; so
+an item of two to `size` - 1 words is looked for among the document's runs of as many words, anywhere in it. A single word
+says nothing inside a longer text, so an item of one word is only contained in documents that are that word.
 
 Items are partitioned by size: partition k holds the items of 2**k to 2**(k+1) - 1 shingles. An item's sketch is its
 least MinHash values, as many as the largest size of its partition allows a containing document to miss, plus one; so any
@@ -17,7 +19,7 @@ Empty tables give no pairs. Extra columns of either table are not read; ids are
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,8 +42,16 @@ def shingles(text: bytes, size: int) -> set[bytes]:
     return set(map(b" ".join, zip(*(words[k:] for k in range(size)))))
 
 
-def shingle_hashes(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, text) of all shingles, repeats included; a shorter text is one shingle."""
+def runs(words: list[bytes], length: int) -> set[bytes]:
+    """The runs of `length` words; of one word only if it is all."""
+    if length == 1:
+        return set(words) if len(words) == 1 else set()
+    return set(map(b" ".join, zip(*(words[k:] for k in range(length)))))
+
+
+def shingle_hashes(texts: pa.Array, size: int, shorter: Iterable[int] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, text) of all shingles, repeats included; a shorter text is one shingle, and all its runs of the `shorter`
+    lengths (two words or more) are besides."""
     words = Words(texts, SPACE, BYTE_FOLDED)
     n, of = np.diff(words.first), words.text_of_word()
     runs = run_hashes(words.hashes, size)
@@ -52,6 +62,11 @@ def shingle_hashes(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
         if len(short):
             hashes.append(run_hashes(words.hashes, length)[words.first[short]])
             owner.append(short)
+    for length in shorter:
+        runs_ = run_hashes(words.hashes, length)
+        at = np.flatnonzero((of[: len(runs_)] == of[length - 1 :]) & (n[of[: len(runs_)]] > length)) if len(runs_) else np.zeros(0, int)
+        hashes.append(runs_[at])
+        owner.append(of[at])
     return np.concatenate(hashes), np.concatenate(owner)
 
 
@@ -63,6 +78,7 @@ class Sketches:
     item: np.ndarray
     ids: list
     sets: list[set[bytes]]
+    lengths: list[int]  # words of an item's shingles
 
     @classmethod
     def of(cls, ids: list, texts: list[bytes], size: int, share: float) -> "Sketches":
@@ -79,7 +95,10 @@ class Sketches:
             items.append(np.full(len(least), k))
         values, items = np.concatenate(values or [np.zeros(0, np.uint64)]), np.concatenate(items or [np.zeros(0, int)])
         order = np.argsort(values, kind="stable")
-        return cls(values[order], items[order], ids, [shingles(t, size) for t in texts])
+        return cls(values[order], items[order], ids, [shingles(t, size) for t in texts], [min(size, len(t.split())) for t in texts])
+
+    def shorter(self, size: int) -> list[int]:
+        return sorted({n for n in self.lengths if 1 < n < size})
 
     def table(self) -> np.ndarray:
         """Whether any value begins with these 16 bits: a fast first test."""
@@ -102,17 +121,20 @@ def _search(docs: DataFrame, items: Sketches, doc_type: str, item_type: DataType
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
-        may = known.table()
+        may, shorter = known.table(), known.shorter(size)
         item_ids = pa.array(known.ids, to_arrow_type(item_type))
         for batch in batches:
             texts, docs_at, items_at, hits = batch.column(1), [], [], []
             for first, part in slices(texts):
-                last, held = -1, set()
-                for t, k in known.candidates(*shingle_hashes(part, size), may).tolist():
+                last, words, held = -1, [], {}
+                for t, k in known.candidates(*shingle_hashes(part, size, shorter), may).tolist():
                     if t != last:
-                        last, held = t, shingles(part[t].as_py().encode(), size)
+                        last, words, held = t, part[t].as_py().encode().translate(FOLD).split(), {}
+                    length = known.lengths[k]
+                    if length not in held:
+                        held[length] = runs(words, length)
                     need = known.sets[k]
-                    both = len(need & held)
+                    both = len(need & held[length])
                     if both >= share * len(need) - 1e-9:
                         docs_at.append(first + t)
                         items_at.append(k)

@@ -52,7 +52,13 @@ def _shingles(table: str, key: str) -> str:
 
 
 CONTAINED = f"""
-WITH d AS ({_shingles('documents', 'doc_id')}), b AS ({_shingles('benchmark', 'item_id')}),
+WITH lengths AS (
+  SELECT DISTINCT len(regexp_extract_all(text, {WORDS})) AS n FROM benchmark WHERE len(regexp_extract_all(text, {WORDS})) BETWEEN 2 AND 4
+), d AS ({_shingles('documents', 'doc_id')}
+  UNION SELECT doc_id, array_to_string(words[i:i + n - 1], ' ') AS shingle
+  FROM (SELECT doc_id, regexp_extract_all({LOWERED.format('text')}, {WORDS}) AS words FROM documents WHERE text IS NOT NULL) x
+    JOIN lengths ON len(words) > n, unnest(range(1, len(words) - n + 2)) AS t(i)
+), b AS ({_shingles('benchmark', 'item_id')}),
 n AS (SELECT item_id, count(*) AS n_shingles FROM b GROUP BY item_id)
 SELECT d.doc_id, b.item_id, count(*) AS n_shared, any_value(n.n_shingles) AS n_shingles
 FROM d JOIN b USING (shingle) JOIN n ON n.item_id = b.item_id
