@@ -3,7 +3,9 @@
 Words are runs of letters and digits, A-Z folded. Features are words, pairs of neighbours and pairs with one or two words
 between them, hashed to `1 << bits` coordinates; a feature counts once in a text, however often it occurs. Every
 coordinate has its own learning rate, and the L1 term leaves few weights other than zero, so the broadcast weights stay
-below the fixed number of coordinates.
+below the fixed number of coordinates. L1 does not prune the bias. It starts from the log odds of the learned rows' labels,
+counted with one more toxic and two more clean ones; then it is learned like the weights, so of one row a label or so it
+says little and a text without any known feature can score on either side of 0.5.
 
 The regression is fitted on a bounded sample of the labelled rows (`common.fit_sample`), ordered by a hash of the text. Null and empty texts have no feature and score the bias alone. Rows without a label (null) are not
 learned from; if no row has one, every weight is zero and every score 0.5. Repeated rows score alike. Columns of the same
@@ -40,20 +42,23 @@ def features(texts: pa.Array, bits: int) -> Iterator[tuple[int, int, np.ndarray,
 
 
 class Ftrl:
-    """FTRL-proximal: z and n of each coordinate; the last coordinate is the bias."""
+    """FTRL-proximal: z and n of each coordinate; the last one is the bias, which `start` is added to and L1 may leave out."""
 
-    def __init__(self, bits: int, alpha: float, beta: float, l1: float, l2: float):
+    def __init__(self, bits: int, alpha: float, beta: float, l1: float, l2: float, start: float = 0.0, prune_bias: bool = True):
         self.z, self.n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)
-        self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
+        self.alpha, self.beta, self.l2, self.start = alpha, beta, l2, start
+        self.l1 = np.full((1 << bits) + 1, l1)
+        if not prune_bias:
+            self.l1[-1] = 0.0
 
     def weights(self, at) -> np.ndarray:
         z, n = self.z[at], self.n[at]
-        kept = np.abs(z) > self.l1
-        return np.where(kept, (np.sign(z) * self.l1 - z) / ((self.beta + np.sqrt(n)) / self.alpha + self.l2), 0.0)
+        l1 = self.l1[at]
+        return np.where(np.abs(z) > l1, (np.sign(z) * l1 - z) / ((self.beta + np.sqrt(n)) / self.alpha + self.l2), 0.0)
 
     def learn(self, at: np.ndarray, label: int) -> None:
         w = self.weights(at)
-        gradient = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - label
+        gradient = 1 / (1 + np.exp(-np.clip(self.start + w.sum(), -35, 35))) - label
         n = self.n[at]
         more = n + gradient * gradient
         self.z[at] += gradient - (np.sqrt(more) - np.sqrt(n)) / self.alpha * w
@@ -62,7 +67,7 @@ class Ftrl:
 
 def fit(labelled: DataFrame, text: str, label: str, bits: int = 20, passes: int = 6, alpha: float = 3.0,
         beta: float = 1.0, l1: float = 4.0, l2: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
-    """Coordinates and weights other than zero, from `labelled`, a bounded sample; one task learns them in one order."""
+    """Coordinates and weights other than zero, and the bias at 1 << bits, from `labelled`, a bounded sample; one task learns them in one order."""
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -77,13 +82,16 @@ def fit(labelled: DataFrame, text: str, label: str, bits: int = 20, passes: int
 
     def trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [(np.frombuffer(a, np.int32), y) for b in batches for a, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-        bias, model = 1 << bits, Ftrl(bits, alpha, beta, l1, l2)
+        toxic, bias = sum(y for _, y in rows), 1 << bits
+        start = float(np.log((toxic + 1) / (len(rows) - toxic + 2))) if rows else 0.0
+        model = Ftrl(bits, alpha, beta, l1, l2, start, prune_bias=False)
         rows = [(np.append(a, bias), y) for a, y in rows]
         for _ in range(passes):
             for at, y in rows:
                 model.learn(at, y)
-        found = np.flatnonzero(np.abs(model.z) > l1)
-        yield pa.RecordBatch.from_pydict({"at": pa.array(found, pa.int64()), "w": pa.array(model.weights(found), pa.float64())})
+        found = np.flatnonzero(np.abs(model.z[:-1]) > l1)
+        weights = np.append(model.weights(found), start + model.weights(np.array([bias])))
+        yield pa.RecordBatch.from_pydict({"at": pa.array(np.append(found, 1 << bits), pa.int64()), "w": pa.array(weights, pa.float64())})
 
     sample = labelled.where(F.col(label).isNotNull()).select(
         F.coalesce(F.col(text), F.lit("")).alias("text"), (F.col(label) > 0).cast("int").alias("label"), F.xxhash64(F.lit("order"), text).alias("rank")

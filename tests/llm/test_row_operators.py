@@ -73,12 +73,29 @@ def test_novel_strings_on_borders():
 
 
 def contained(docs, items, size, share):
-    def shingles(t):
-        words = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t).encode().split()
-        return {tuple(words[i : i + size]) for i in range(len(words) - size + 1)} or ({tuple(words)} if words else set())
+    def words(t):
+        return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t).encode().split()
 
-    sets = [(i, shingles(t)) for i, t in items if t]
-    return sorted((d, i, len(s & mine), len(s)) for d, t in docs if t for mine in [shingles(t)] for i, s in sets if s and len(s & mine) >= share * len(s) - 1e-9)
+    def runs(w, n):
+        return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if n != 1 or len(w) == 1 else set()
+
+    out = []
+    for i, t in items:
+        w = words(t or "")
+        n = min(size, len(w))
+        need = {tuple(w)} if n == 1 else runs(w, n) if w else set()
+        out += [(d, i, both, len(need)) for d, text in docs if text and need for both in [len(need & runs(words(text), n))] if both >= share * len(need) - 1e-9]
+    return sorted(out)
+
+
+def test_short_items_inside_long_documents(llm):
+    docs = [(1, "a b c The answer is forty two d e f g"), (2, "the answer is"), (3, "the answer"), (4, "answer"), (5, "the  ANSWER\nis forty"), (6, None), (7, "an answer is the forty"), (1, "answer")]
+    items = [(10, "the answer is forty"), (11, "The Answer"), (12, "answer"), (13, "is forty two"), (14, "a b c the answer is"), (15, ""), (11, "the answer")]
+    d, b = llm.createDataFrame(docs, "doc_id bigint, text string"), llm.createDataFrame(items, "item_id int, text string")
+    found = sorted((r.doc_id, r.item_id) for r in decontaminate.contained(d, b).collect())
+    assert found == sorted([(1, 10), (1, 11), (1, 11), (1, 13), (1, 14), (2, 11), (2, 11), (3, 11), (3, 11), (4, 12), (1, 12), (5, 10), (5, 11), (5, 11)])
+    assert found == [x[:2] for x in contained(docs, items, 5, 0.8)]
+    assert sorted(r.text or "" for r in decontaminate.clean(d, b).collect()) == ["", "an answer is the forty"]
 
 
 def test_contained_items(llm, odd_texts, no_texts):
@@ -212,3 +229,11 @@ def test_folds(llm):
 
 def test_smallest_tables(llm):
     assert op1_toxicity(llm, SF).count() == op10_language_id(llm, SF).count() == llm.read.parquet(f"{SF}/documents.parquet").count()
+
+
+@pytest.mark.parametrize("copies", [5, 40])
+def test_balanced_labels_call_no_unknown_text_toxic(llm, copies):
+    labelled = llm.createDataFrame([(f"you vile thing number {i}", 1) for i in range(copies)] + [(f"a kind thing number {i}", 0) for i in range(copies)], "text string, toxic int")
+    model = toxicity.fit(labelled, "text", "toxic")
+    probes = llm.createDataFrame([("unrelated sentence here",), ("",), (None,)], "text string")
+    assert all(r.score < 0.5 for r in toxicity.score(probes, model).collect())
