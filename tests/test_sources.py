@@ -251,3 +251,25 @@ def test_candidate_features(spark):
     r = Fe.candidate_features(Fe.parse_candidates(df)).first()
     assert (r["candidate_id"], r["seniority"], r["seniority_rank"], r["skills"], r["keyword_blob"]) == (
         "candidate_001", "manager", 5, ["git", "sql", "excel"], "vp of sales hello git sql excel")
+
+
+def test_settled_payloads(spark, tmp_path):
+    lines = ['{"candidate_id": "a", "top_k": 5}', '{"candidate_id": "b", "top_k": 0, "limit_jobs": 0}', '{"candidate_id": "c", "top_k": "x"}', "{broken", '{"top_k": 100}']
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "r.json").write_text("\n".join(lines))
+    base = str(tmp_path / "out")
+    for _ in range(2):  # settling again replaces
+        assert Pay.settle(spark, str(tmp_path / "in"), "request", base) == (1, 4)
+    assert [tuple(r) for r in Pay.accepted(spark, base, "request").collect()] == [("a", 5, None)]
+    kept = {tuple(r["violations"]): r["payload"] for r in Pay.quarantined(spark, base, "request").collect()}
+    assert kept[("top_k below 1", "limit_jobs below 1")] == '{"candidate_id":"b","top_k":0,"limit_jobs":0}'
+    assert kept[("candidate_id missing", "not readable")] == "{broken" and kept[("candidate_id missing",)] == '{"top_k":100}'
+    assert kept[("not readable",)] == lines[2]
+
+
+def test_payload_files_of_a_board_follow_each_other(spark, tmp_path):
+    for name, ids in [("lever_acme_jobs_raw_2026-02", ["c"]), ("lever_acme_jobs_raw_2026-01", ["a", "b"]), ("lever_other_jobs_raw_2026-01", ["z"])]:
+        (tmp_path / f"{name}.json").write_text(json.dumps([dict(POST_B, id=i) for i in ids]))
+    (tmp_path / "lever_broken_jobs_raw_2026-01.json").write_text("no list")
+    rows = feeds.read_payloads(spark, str(tmp_path), feeds.FEED_B).orderBy("board", "pos").collect()
+    assert [(r["board"], r["id"]) for r in rows] == [("acme", "a"), ("acme", "b"), ("acme", "c"), ("other", "z")]
