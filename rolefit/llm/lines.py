@@ -10,12 +10,16 @@ same document. Lines without words are never removed.
 3. Prefix filter: two similar lines share a token among the first n - ceil(share * n) + 1 of each; each first line goes to
    each token of its prefix. Where they meet, pairs are dropped by length, by the position of the shared token, and by a
    sketch of parity bits, about as many as tokens (bits that differ cannot be more than tokens that differ). All three
-   lose no similar pair.
+   lose no similar pair. The lines of many tokens travel together, as arrays in a row for each bucket of tokens; the
+   number of buckets grows with the prefixes.
 4. Of the pairs that are left, each line keeps the earliest for each token: one similar line is enough. The tokens of both
-   are fetched and the Jaccard similarity is worked out. Lines without success try all the candidates that were left out.
+   are fetched once, from the texts that have a line asked for, and the Jaccard similarity is worked out. Lines without
+   success try all the candidates that were left out.
 5. The removed lines' numbers go back to the texts that lose lines; the others are not shuffled.
 
-A prefix token above `limit` lines is dealt in blocks that meet in pairs, so no task gets a hot token whole.
+A prefix token above `limit` lines is dealt in blocks that meet in pairs, so no task gets a hot token whole. The tables that
+say which texts and lines are asked for grow with these, up to 2**28 bits (32 MB); beyond, more lines than asked for are
+fetched and fall out in the join.
 
 Lines with the same id and number (repeated rows) do not stand earlier than each other, so both stay; texts that share an
 id are told apart by 32 bits of a hash. Null texts stay null,
@@ -36,9 +40,11 @@ from pyspark.sql import functions as F
 from .common import cut
 from .kernel import Words, mix, slices, whole_runs
 
-#: Bits of the table of word counts, and of the tables that say which lines are asked for.
-COUNT_BITS, ASKED_BITS = 18, 22
+#: Bits of the table of word counts, and the most that a table of marks may have.
+COUNT_BITS, MARK_BITS = 18, 28
 CHUNK = 1 << 14
+#: Prefix tokens in a bucket, about, and those made at a time.
+BUCKET, COPIES = 1 << 19, 1 << 20
 #: Neighbours in a token's list that are compared in one numpy pass each; longer lists are compared in blocks.
 LAGS = 32
 LAST_ID = (1 << 63) - 1
@@ -76,6 +82,53 @@ def spot_hashes(o: np.ndarray, spot: np.ndarray) -> np.ndarray:
     return mix(o.view(np.uint64) ^ mix(spot.view(np.uint64)))
 
 
+def text_hashes(o: np.ndarray, spot: np.ndarray) -> np.ndarray:
+    """The same for all spots of one text, which end in 32 bits of its hash."""
+    return spot_hashes(o, spot & 0xFFFFFFFF)
+
+
+class Marks:
+    """Which hashes are marked: a table of bits by the first bits of a hash, at least eight for each marked one up to
+    2**MARK_BITS in all. Some others are marked too."""
+
+    def __init__(self, df: DataFrame, rows: int, hashes: Callable[[np.ndarray, np.ndarray], np.ndarray]):
+        """`df` has columns o and spot, and about `rows` rows."""
+        self.bits = bits = min(MARK_BITS, max(10, (8 * rows).bit_length()))
+        part = min(20, bits)
+
+        def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    at = np.unique(hashes(batch.column(0).to_numpy(), batch.column(1).to_numpy()) >> np.uint64(64 - bits)).astype(np.int64)
+                    parts, first = np.unique(at >> part, return_index=True)
+                    ends = (np.append(first, len(at)) * 4).astype(np.int32)
+                    low = (at & ((1 << part) - 1)).astype("<u4")
+                    yield pa.RecordBatch.from_arrays([pa.array(parts), binaries(ends, low)], ["part", "places"])
+
+        def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tables: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for k, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                    tables.setdefault(k, np.zeros(1 << part, bool))[np.frombuffer(found, "<u4")] = True
+            yield pa.RecordBatch.from_arrays([pa.array(list(tables), pa.int64()), pa.array([np.packbits(t).tobytes() for t in tables.values()], pa.binary())], ["part", "places"])
+
+        shape = "part bigint, places binary"
+        table = np.zeros((1 << (bits - part), (1 << part) >> 3), np.uint8)
+        for row in df.select("o", "spot").mapInArrow(places, shape).repartition("part").mapInArrow(joined, shape).toLocalIterator():
+            table[row["part"]] = np.frombuffer(row["places"], np.uint8)
+        self.table = df.sparkSession.sparkContext.broadcast(table.ravel())
+        self.hashes = hashes
+
+    def of(self, o: np.ndarray, spot: np.ndarray) -> np.ndarray:
+        at = (self.hashes(o, spot) >> np.uint64(64 - self.bits)).astype(np.int64)
+        return (self.table.value[at >> 3] << (at & 7).astype(np.uint8)) & 128 > 0
+
+
+def binaries(ends: np.ndarray, data: np.ndarray) -> pa.Array:
+    """Binary values that are the stretches of `data` between the byte positions `ends`."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(data))])
+
+
 class Lines:
     """Distinct tokens of the lines of some texts, rarest first: for line k the values[first[k]:first[k + 1]]."""
 
@@ -115,16 +168,21 @@ def _parity(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.bitwise_xor.reduceat(np.uint32(1) << (values & np.uint64(31)).astype(np.uint32), first) if len(first) else np.zeros(0, np.uint32)
 
 
+def sketch_words(n: np.ndarray) -> np.ndarray:
+    """64-bit words of the sketch of a line of n tokens."""
+    return 1 << np.maximum(0, np.ceil(np.log2(np.maximum(1, 0.75 * n / 64))).astype(np.int64))
+
+
 def _sketches(values: np.ndarray, first: np.ndarray) -> pa.Array:
     """Parity bits of each line: 64 or a larger power of two, at least three for four tokens."""
     n = np.diff(first)
-    words = 1 << np.maximum(0, np.ceil(np.log2(np.maximum(1, 0.75 * n / 64))).astype(np.int64))
+    words = sketch_words(n)
     ends = np.concatenate(([0], np.cumsum(words)))
     of = np.repeat(np.arange(len(n)), n)
     bit = (values & (words[of].astype(np.uint64) * np.uint64(64) - np.uint64(1))).astype(np.int64)
     flat = np.zeros(ends[-1], "<u8")
     np.bitwise_xor.at(flat, ends[of] + (bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
-    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((ends * 8).astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
+    return binaries(ends * 8, flat)
 
 
 LEADING = "o bigint, spot bigint, s1 bigint, s2 bigint, sketch binary, prefix array<int>, later array<struct<o:bigint,spot:bigint>>"
@@ -166,15 +224,21 @@ def _prefix_hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
     yield batch.column(0).flatten().to_numpy().view(np.uint32).astype(np.uint64) << np.uint64(32)
 
 
+ENTRIES = "bucket bigint, route binary, o binary, spot binary, shape binary, sketch binary"
+
+
 def _entries(firsts: DataFrame, crowds, limit: int, wanted=None) -> DataFrame:
-    """(route, o, spot, shape, sketch) for each prefix token of each first line.
+    """A row for each bucket of routes in a part of a batch, with the route, o, spot, shape and sketch of each prefix token
+    of each first line as arrays. Tokens that no other line can have are left out.
 
     route is the token and a pair of its blocks; shape is the line's number of tokens, the place of the token, and the
     side in a pair of different blocks. Only the tokens marked in `wanted`, if it is given.
     """
+    buckets = max(1, -(-int(crowds.value.sum()) // BUCKET))
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks_of = np.minimum(-(-crowds.value // limit), 1 << 15)
+        met = crowds.value > 1 if wanted is None else (crowds.value > 1) & wanted.value
         for batch in batches:
             o, spot, s2 = (batch.column(k).to_numpy() for k in range(3))
             sketches, lists = batch.column(3), batch.column(4)
@@ -182,37 +246,57 @@ def _entries(firsts: DataFrame, crowds, limit: int, wanted=None) -> DataFrame:
             row = np.repeat(np.arange(len(o)), size)
             i = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
             token = lists.flatten().to_numpy().view(np.uint32).astype(np.int64)
-            if wanted is not None:
-                keep = np.flatnonzero(wanted.value[token >> (32 - COUNT_BITS)])
-                row, i, token = row[keep], i[keep], token[keep]
-            blocks = np.maximum(1, blocks_of[token >> (32 - COUNT_BITS)])
+            keep = np.flatnonzero(met[token >> (32 - COUNT_BITS)])
+            row, i, token = row[keep], i[keep], token[keep]
+            blocks = blocks_of[token >> (32 - COUNT_BITS)]
             own = ((spot_hashes(o, spot) >> np.uint64(20)).astype(np.int64) & 0xFFFFFFF)[row] % blocks
-            copies = np.repeat(np.arange(len(row)), blocks)
-            other = np.arange(len(copies)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-            row, i, token, own = row[copies], i[copies], token[copies], own[copies]
-            low, high = np.minimum(own, other), np.maximum(own, other)
-            side = (own == high) & (low != high)
-            route = ((token - (1 << 31)) << 32) + (low << 16) + high
-            shape = s2[row] >> 32 << 32 | i << 1 | side
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (route, o[row], spot[row], shape)] + [sketches.take(pa.array(row))], ["route", "o", "spot", "shape", "sketch"])
-
-    return firsts.select("o", "spot", "s2", "sketch", "prefix").mapInArrow(found, "route bigint, o bigint, spot bigint, shape bigint, sketch binary")
+            total, a = np.cumsum(blocks), 0
+            while a < len(row):
+                b = max(a + 1, int(np.searchsorted(total, total[a] - blocks[a] + COPIES, side="right")))
+                copies = a + np.repeat(np.arange(b - a), blocks[a:b])
+                other = np.arange(len(copies)) + total[a] - blocks[a] - (total - blocks)[copies]
+                mine = own[copies]
+                low, high = np.minimum(mine, other), np.maximum(mine, other)
+                side = (mine == high) & (low != high)
+                route = ((token[copies] - (1 << 31)) << 32) + (low << 16) + high
+                shape = s2[row[copies]] >> 32 << 32 | i[copies] << 1 | side
+                bucket = (mix(route.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                bucket, line = bucket[order], row[copies[order]]
+                first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+                ends = np.append(first, len(line))
+                taken = sketches.take(pa.array(line))
+                offsets = np.frombuffer(taken.buffers()[1], np.int32)[taken.offset :]
+                columns = [binaries(ends * 8, x) for x in (route[order], o[line], spot[line], shape[order])]
+                sketch = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets[ends].tobytes()), taken.buffers()[2]])
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[first]), *columns, sketch], ["bucket", "route", "o", "spot", "shape", "sketch"])
+                a = b
+
+    return firsts.select("o", "spot", "s2", "sketch", "prefix").mapInArrow(found, ENTRIES)
+
+
+def _flat(column: pa.Array, kind: str) -> np.ndarray:
+    """The numbers of all values of a binary column, one after the other."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], kind, (ends[-1] - ends[0]) >> 3, ends[0])
 
 
 class Meeting:
-    """Rows of some routes, sorted by route and place, and the filters on pairs of them."""
+    """Entries of whole buckets, sorted by route and place, and the filters on pairs of them."""
 
     def __init__(self, batch: pa.RecordBatch, share: float):
-        self.route, self.o, self.spot, shape = (batch.column(k).to_numpy() for k in range(4))
+        route, o, spot, shape = (_flat(batch.column(k), "<i8") for k in range(1, 5))
+        order = np.lexsort((spot, o, route))
+        self.route, self.o, self.spot, shape = route[order], o[order], spot[order], shape[order]
         self.share = share
         self.n, self.i, self.side = shape >> 32, (shape >> 1) & 0x7FFFFFFF, shape & 1
         self.crossed = (self.route & 0xFFFF) != ((self.route >> 16) & 0xFFFF)
-        sketches = batch.column(4)
-        offsets = np.frombuffer(sketches.buffers()[1], np.int32)[sketches.offset : sketches.offset + len(sketches) + 1].astype(np.int64) >> 3
-        data = sketches.buffers()[2]
-        self.words = np.frombuffer(data, "<u8", data.size >> 3)
-        self.at, self.size = offsets[:-1], np.diff(offsets)
-        self.short = np.bitwise_xor.reduceat(self.words, self.at) if len(self.at) else self.words[:0]
+        self.words = _flat(batch.column(5), "<u8")
+        size = np.empty(len(order), np.int64)
+        size[order] = self.size = sketch_words(self.n)
+        at = np.cumsum(size) - size
+        self.at = at[order]
+        self.short = np.bitwise_xor.reduceat(self.words, at)[order]
 
     def may(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Whether row x can be an earlier similar line of row y."""
@@ -287,30 +371,31 @@ class Meeting:
             yield best[y], y, number[y] > 1
 
 
-def _pairs(entries: DataFrame, share: float, asked=None) -> DataFrame:
+def _pairs(entries: DataFrame, share: float, asked: Marks | None = None) -> DataFrame:
     """(o, spot, x_o, x_spot, more), once for each token: candidates of the later line (o, spot), all of them for the lines
     marked in `asked`."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in whole_runs(batches, 1):
             rows = Meeting(batch, share)
-            every = None if asked is None else asked.value[(spot_hashes(rows.o, rows.spot) >> np.uint64(64 - ASKED_BITS)).astype(np.int64)]
+            every = None if asked is None else asked.of(rows.o, rows.spot)
             for x, y, more in rows.pairs(every):
                 if len(x):
                     yield pa.RecordBatch.from_arrays([pa.array(z) for z in (rows.o[y], rows.spot[y], rows.o[x], rows.spot[x], more)], ["o", "spot", "x_o", "x_spot", "more"])
 
-    met = entries.repartition("route").sortWithinPartitions("route", "o", "spot")
+    met = entries.repartition("bucket").sortWithinPartitions("bucket")
     return met.mapInArrow(found, "o bigint, spot bigint, x_o bigint, x_spot bigint, more boolean")
 
 
-def _ids(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-    yield spot_hashes(batch.column(0).to_numpy(), batch.column(1).to_numpy())
-
-
 def _similar(docs: DataFrame, pairs: DataFrame, rank, share: float) -> DataFrame:
     """(o, spot) of the later lines with a candidate that is similar by the exact Jaccard similarity."""
     ids = pairs.select("o", "spot").union(pairs.select("x_o", "x_spot"))
-    asked = docs.sparkSession.sparkContext.broadcast(slots(ids, ASKED_BITS, _ids) > 0)
+    rows = 2 * pairs.count()
+    asked, texts = Marks(ids, rows, spot_hashes), Marks(ids, rows, text_hashes)
+
+    @F.arrow_udf("boolean")
+    def has_some(o: pa.Array, body: pa.Array) -> pa.Array:
+        return pa.array(texts.of(o.to_numpy(), body.to_numpy()))
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -320,7 +405,7 @@ def _similar(docs: DataFrame, pairs: DataFrame, rank, share: float) -> DataFrame
 
                 def wanted(lines: Lines) -> np.ndarray:
                     o, spot = os[first + lines.text], _spots(lines.number, bodies[first + lines.text])
-                    pick = asked.value[(spot_hashes(o, spot) >> np.uint64(64 - ASKED_BITS)).astype(np.int64)]
+                    pick = asked.of(o, spot)
                     mine.extend((o, spot, pick))
                     return pick
 
@@ -332,7 +417,8 @@ def _similar(docs: DataFrame, pairs: DataFrame, rank, share: float) -> DataFrame
                 tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(lines.values.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(o[pick]), pa.array(spot[pick]), tokens], ["o", "spot", "tokens"])
 
-    sets = docs.select("o", "body", "text").mapInArrow(found, "o bigint, spot bigint, tokens array<bigint>")
+    having = docs.select("o", "body", "text").where(has_some("o", "body"))
+    sets = cut(having.mapInArrow(found, "o bigint, spot bigint, tokens array<bigint>"), "sets")
     x = sets.select(F.col("o").alias("x_o"), F.col("spot").alias("x_spot"), F.col("tokens").alias("x_tokens"))
     both = pairs.select("o", "spot", "x_o", "x_spot").join(sets, ["o", "spot"]).join(x, ["x_o", "x_spot"])
     shared = F.size(F.array_intersect("tokens", "x_tokens"))
@@ -377,7 +463,7 @@ def remove_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shar
     flagged = cut(_similar(docs, pairs, rank, share), "similar")
     open_ = cut(pairs.where("more").select(*line).distinct().join(flagged, line, "left_anti"), "open")
     if open_.limit(1).count():
-        again = spark.sparkContext.broadcast(slots(open_, ASKED_BITS, _ids) > 0)
+        again = Marks(open_, open_.count(), spot_hashes)
         tokens = slots(firsts.join(open_, line, "left_semi").select("prefix"), COUNT_BITS, _prefix_hashes)
         entries = _entries(firsts, crowds, limit, spark.sparkContext.broadcast(tokens > 0))
         rest = _pairs(entries, share, again).select(*line, "x_o", "x_spot").distinct()
@@ -387,15 +473,14 @@ def remove_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shar
     # A line that follows in its part is later than its class's first one, unless both have one place (repeated rows).
     follows = led.select(F.inline("later"), "later_than").where(F.struct("o", F.shiftright("spot", 32).alias("number")) > F.col("later_than"))
     lost = cut(led.where("gone").select(*line).union(follows.select(*line)).union(flagged), "lost")
-    touched = spark.sparkContext.broadcast(slots(lost.select("o"), ASKED_BITS, lambda batch: iter([spot_hashes(batch.column(0).to_numpy(), np.zeros(len(batch), np.int64))])) > 0)
+    touched = Marks(lost, lost.count(), text_hashes)
     # Texts of one o (all rows with a null id) are told apart, so that a group is the lines of one text.
     half = F.lit(0xFFFFFFFF)
     gone = lost.groupBy(F.col("o").alias("gone_o"), F.col("spot").bitwiseAND(half).alias("gone_body")).agg(F.collect_set("spot").alias("spots"))
 
     @F.arrow_udf("boolean")
-    def loses(ids: pa.Array) -> pa.Array:
-        o = ids.to_numpy()
-        return pa.array(touched.value[(spot_hashes(o, np.zeros(len(o), np.int64)) >> np.uint64(64 - ASKED_BITS)).astype(np.int64)])
+    def loses(o: pa.Array, body: pa.Array) -> pa.Array:
+        return pa.array(touched.of(o.to_numpy(), body.to_numpy()))
 
     @F.arrow_udf(RESULT)
     def dropped(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -414,7 +499,7 @@ def remove_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shar
                 left.append(t)
             yield pa.StructArray.from_arrays([pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(left, pa.string())], ["n_lines", "n_removed", "kept"])
 
-    asked = docs.withColumn("loses", loses("o"))
+    asked = docs.withColumn("loses", loses("o", "body"))
     own_lines = (F.col("o") == F.col("gone_o")) & (F.col("body").bitwiseAND(half) == F.col("gone_body"))
     cutting = asked.where("loses").join(gone, own_lines, "left").withColumn("result", dropped("text", "spots"))
     count = F.when(F.col("text") != "", F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).otherwise(0)

@@ -65,6 +65,29 @@ def test_hot_tokens_in_blocks(llm):
     check(df, limit=20)
 
 
+def test_many_buckets(llm, monkeypatch):
+    """Tokens dealt to many buckets, with blocks of hot ones, find the same lines."""
+    draw = random.Random(3)
+    words = [f"w{int(draw.expovariate(0.05))}" for _ in range(200)]
+    bases = [" ".join(draw.choices(words, k=draw.choice([4, 9, 20, 200]))) for _ in range(12)]
+    rows = [(i, "\n".join(varied(draw, draw.choice(bases), words) for _ in range(draw.randint(1, 5)))) for i in range(50)]
+    df = llm.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    monkeypatch.setattr(lines, "BUCKET", 40)
+    check(df)
+    check(df, limit=4)
+
+
+def test_marks(llm):
+    """Every marked place is found again, and few others are."""
+    draw = np.random.default_rng(2)
+    o, spot = draw.integers(-(1 << 62), 1 << 62, (2, 3000))
+    df = llm.createDataFrame(list(zip(o[:1500].tolist(), spot[:1500].tolist())), "o bigint, spot bigint").repartition(4)
+    marks = lines.Marks(df, 1500, lines.spot_hashes)
+    assert marks.of(o[:1500], spot[:1500]).all() and marks.of(o[1500:], spot[1500:]).mean() < 0.2
+    none = lines.Marks(df.limit(0), 0, lines.text_hashes)
+    assert not none.of(o, spot).any()
+
+
 def test_lines_that_fail_try_the_rest(llm):
     """The earliest candidate passes all filters, since its tokens' parity bits cancel, but only a later one is similar."""
     names = [f"t{i}" for i in range(400)]
