@@ -18,8 +18,8 @@ same document. Lines without words are never removed.
 5. The removed lines' numbers go back to the texts that lose lines; the others are not shuffled.
 
 A prefix token above `limit` lines is dealt in blocks that meet in pairs, so no task gets a hot token whole. The tables that
-say which texts and lines are asked for grow with these, up to 2**28 bits (32 MB); beyond, more lines than asked for are
-fetched and fall out in the join.
+say which texts and lines are asked for grow with these, from 2**22 up to 2**28 bits (32 MB); beyond, more lines than asked for
+are fetched and fall out in the join.
 
 Lines with the same id and number (repeated rows) do not stand earlier than each other, so both stay; texts that share an
 id are told apart by 32 bits of a hash. Null texts stay null,
@@ -44,7 +44,7 @@ from .kernel import Words, mix, slices, whole_runs
 COUNT_BITS, MARK_BITS = 18, 28
 CHUNK = 1 << 14
 #: Prefix tokens in a bucket, about, and those made at a time.
-BUCKET, COPIES = 1 << 19, 1 << 20
+BUCKET, COPIES = 1 << 17, 1 << 20
 #: Neighbours in a token's list that are compared in one numpy pass each; longer lists are compared in blocks.
 LAGS = 32
 LAST_ID = (1 << 63) - 1
@@ -88,13 +88,13 @@ def text_hashes(o: np.ndarray, spot: np.ndarray) -> np.ndarray:
 
 
 class Marks:
-    """Which hashes are marked: a table of bits by the first bits of a hash, at least eight for each marked one up to
-    2**MARK_BITS in all. Some others are marked too."""
+    """Which hashes are marked: a table of bits by the first bits of a hash, at least 64 for each marked one up to
+    2**MARK_BITS in all. A few others are marked too."""
 
     def __init__(self, df: DataFrame, rows: int, hashes: Callable[[np.ndarray, np.ndarray], np.ndarray]):
         """`df` has columns o and spot, and about `rows` rows."""
-        self.bits = bits = min(MARK_BITS, max(10, (8 * rows).bit_length()))
-        part = min(20, bits)
+        self.bits = bits = min(MARK_BITS, max(22, (64 * rows).bit_length()))
+        part = 20
 
         def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -129,6 +129,18 @@ def binaries(ends: np.ndarray, data: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(data))])
 
 
+def sorted_within(token: np.ndarray, of: np.ndarray, lines: int) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of each line in order; one sort by the line and the first bits of the token where these tell them apart."""
+    bits = max(1, lines.bit_length())
+    key = of.astype(np.uint64) << np.uint64(64 - bits) | token >> np.uint64(bits)
+    order = np.argsort(key)
+    key, found = key[order], token[order]
+    if ((key[1:] == key[:-1]) & (found[1:] != found[:-1])).any():
+        order = np.lexsort((token, of))
+        found = token[order]
+    return found, of[order]
+
+
 class Lines:
     """Distinct tokens of the lines of some texts, rarest first: for line k the values[first[k]:first[k + 1]]."""
 
@@ -148,8 +160,7 @@ class Lines:
             h, of = h[pick[of]], of[pick[of]]
         low = np.uint64(64 - COUNT_BITS)
         token = (rank[(h >> low).astype(np.int64)] << low) | (h & ((np.uint64(1) << low) - np.uint64(1)))
-        order = np.lexsort((token, of))
-        token, of = token[order], of[order]
+        token, of = sorted_within(token, of, len(keep))
         new = np.concatenate(([True], (token[1:] != token[:-1]) | (of[1:] != of[:-1])))[: len(of)]
         self.values, of = token[new], of[new]
         self.first = np.searchsorted(of, np.arange(len(keep) + 1))
@@ -297,6 +308,11 @@ class Meeting:
         at = np.cumsum(size) - size
         self.at = at[order]
         self.short = np.bitwise_xor.reduceat(self.words, at)[order]
+        self.most = np.minimum(self.n * ((1 - share) / (1 + share)), 64).astype(np.float32) + np.float32(1e-3)
+
+    def near(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether the short sketches of x and y leave a pair possible: far fewer than all pairs have to be looked at closer."""
+        return np.bitwise_count(self.short[x] ^ self.short[y]) <= self.most[x] + self.most[y]
 
     def may(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Whether row x can be an earlier similar line of row y."""
@@ -338,13 +354,13 @@ class Meeting:
             ys = ys[place[ys] >= lag]
             if not len(ys):
                 break
-            xs = ys - lag
-            ok = self.may(xs, ys)
+            y = ys[self.near(ys - lag, ys)]
+            y = y[self.may(y - lag, y)]
             if every is None:
-                best[ys[ok]] = xs[ok]
-                number[ys[ok]] += 1
+                best[y] = y - lag
+                number[y] += 1
             else:
-                yield xs[ok], ys[ok], np.zeros(ok.sum(), bool)
+                yield y - lag, y, np.zeros(len(y), bool)
         for a, b in zip(cuts[:-1][size > LAGS + 1].tolist(), cuts[1:][size > LAGS + 1].tolist()):
             left = np.arange(a + 1, b) if every is None else a + 1 + np.flatnonzero(every[a + 1 : b])
             step = 256
@@ -355,8 +371,9 @@ class Meeting:
                 for z in range(0, len(left), 4096):
                     y = left[z : z + 4096]
                     x = np.arange(low, min(b, low + step))
-                    xs, ys = np.repeat(x[None, :], len(y), 0).ravel(), np.repeat(y, len(x))
-                    ok = (xs < ys) & self.may(xs, ys)
+                    of_y, of_x = np.nonzero((x[None, :] < y[:, None]) & self.near(x[None, :], y[:, None]))
+                    xs, ys = x[of_x], y[of_y]
+                    ok = self.may(xs, ys)
                     xs, ys = xs[ok], ys[ok]
                     if every is not None:
                         yield xs, ys, np.zeros(len(xs), bool)
