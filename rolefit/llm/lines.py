@@ -114,7 +114,7 @@ class Marks:
 
         shape = "part bigint, places binary"
         table = np.zeros((1 << (bits - part), (1 << part) >> 3), np.uint8)
-        for row in df.select("o", "spot").mapInArrow(places, shape).repartition("part").mapInArrow(joined, shape).toLocalIterator():
+        for row in df.select("o", "spot").mapInArrow(places, shape).repartition("part").mapInArrow(joined, shape).collect():
             table[row["part"]] = np.frombuffer(row["places"], np.uint8)
         self.table = df.sparkSession.sparkContext.broadcast(table.ravel())
         self.hashes = hashes
