@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rolefit.functions import text as X
 from rolefit.operators.pairs import settled
+from rolefit.session import merge_join
 
 GRAM = 3
 
@@ -115,7 +116,7 @@ def with_job_keys(jobs: DataFrame, wanted: DataFrame) -> DataFrame:
         F.coalesce("title_keys", X.empty_strings()),
         _keys("l", F.array("f_location")), _keys("d", F.col("j_dom")),
         _keys("s", F.array("f_seniority")), _keys("w", F.array("f_workplace")))
-    return (jobs.join(titles, "f_title", "left")
+    return (merge_join(jobs, titles, "f_title", "left")
             .select(*jobs.columns, F.explode_outer(keys).alias("key")))
 
 

@@ -34,7 +34,7 @@ from rolefit.functions import vocab
 from rolefit.operators import pairs as P
 from rolefit.operators import preferences as Pref
 from rolefit.operators.features import CANDIDATE_SIGNATURE, JOB_SIGNATURE
-from rolefit.session import written
+from rolefit.session import merge_join, written
 from rolefit.sources.payloads import PREFERENCES
 
 # Rows of one item per block on each side: a block is at most the square of it.
@@ -195,7 +195,7 @@ def block_join(left: DataFrame, right: DataFrame, keys: list[str], left_id: str,
     counts = counts.select(*keys, _blocks(F.col("__l")).alias("__lb"), _blocks(F.col("__r")).alias("__rb"))
 
     def blocked(df, own, other, row_id):
-        return (df.join(counts, keys)
+        return (merge_join(df, counts, keys)
                 .withColumn(f"{own}_no", F.pmod(F.xxhash64(row_id), F.col(own)).cast("int"))
                 .withColumn(f"{other}_no", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
                 .drop("__lb", "__rb"))
@@ -231,11 +231,11 @@ def by_rarity(signatures: DataFrame) -> DataFrame:
         members = F.collect_list(F.when(F.col("family") == family, F.struct("n", "item")))
         return F.sort_array(members)["item"].alias(column)
 
-    ordered = items.join(counts, ["family", "item"]).groupBy("sid").agg(
+    ordered = merge_join(items, counts, ["family", "item"]).groupBy("sid").agg(
         *[rarest_first(f, c) for f, c in lists.items()])
     rest = signatures.select("sid", *[c for c in signatures.columns if c not in ("sid", *lists.values())])
     empty = {c: F.coalesce(F.col(c), F.array().cast("array<string>")) for c in lists.values()}
-    return rest.join(ordered, "sid", "left").withColumns(empty)
+    return merge_join(rest, ordered, "sid", "left").withColumns(empty)
 
 
 def job_items(signatures: DataFrame) -> DataFrame:
@@ -341,7 +341,7 @@ def openable(items: DataFrame, groups: DataFrame) -> DataFrame:
     by_class = shape_bounds(items, groups).join(blocks, "shape")
     asked = candidate_items(groups.select("gid", "c_class", "floor", "floor_ord", "c_skills", "c_dom"))
     asked = asked.select("gid", "c_class", "floor", "floor_ord", "family", "item").distinct()
-    met = asked.join(by_class, ["c_class", "family", "item"]).filter(_beats_floor(F.col("bound"), F.col("earliest")))
+    met = merge_join(asked, by_class, ["c_class", "family", "item"]).filter(_beats_floor(F.col("bound"), F.col("earliest")))
     return met.select("gid", "family", "item", "shape", "bound", "jobs", "earliest")
 
 
@@ -383,7 +383,7 @@ def _first_shared() -> Column:
 
 def scored_pairs(opened: DataFrame, items: DataFrame, groups: DataFrame) -> DataFrame:
     """(gid, sid, score) of the pairs in the opened shapes that reach the group's floor, each at its first shared item."""
-    asked = opened.select("gid", "family", "item", "shape").join(groups, "gid")
+    asked = merge_join(opened.select("gid", "family", "item", "shape"), groups, "gid")
     met = block_join(asked, items, ["family", "item", "shape"], "gid", "sid")
     near = met.filter(_can_reach_floor())
     shared = near.withColumns({f"__{f}": F.array_intersect(job, have)
@@ -409,13 +409,13 @@ def sharing_pairs(signatures: DataFrame, groups: DataFrame, k: int) -> DataFrame
     kth = F.max(F.struct((-F.col("score")).alias("down"), F.col("sid").alias("ord")))
     reached = found.groupBy("gid").agg(F.when(F.count("*") >= k, kth).alias("kth"))
     # The better of both k-th places.
-    both = classed.join(reached, "gid", "left").withColumn(
+    both = merge_join(classed, reached, "gid", "left").withColumn(
         "kth", F.least("kth", F.struct((-F.col("floor")).alias("down"), F.col("floor_ord").alias("ord"))))
     raised = both.withColumns({"floor": -F.col("kth.down"), "floor_ord": F.col("kth.ord")}).drop("kth")
-    left = rows.filter(~F.col("first")).join(raised.select("gid", "floor", "floor_ord"), "gid")
+    left = merge_join(rows.filter(~F.col("first")), raised.select("gid", "floor", "floor_ord"), "gid")
     rest = scored_pairs(left.filter(_beats_floor(F.col("bound"), F.col("earliest"))), items, raised)
     best = top_k(found.drop("rank").unionByName(rest), ["gid"], _best_first("sid"), k)
-    return best.drop("rank").join(signatures.select("sid", "members"), "sid")
+    return merge_join(best.drop("rank"), signatures.select("sid", "members"), "sid")
 
 
 # --- recommendations ---------------------------------------------------------------------
@@ -424,9 +424,9 @@ def best_jobs(jobs: DataFrame, groups: DataFrame, k: int) -> DataFrame:
     """(gid, ord, rank): top k over all jobs."""
     signatures = written(job_signatures(jobs, JOB_SIGNATURE, k), "signatures")
     lists = written(class_lists(job_classes(signatures, k), groups, k), "class-lists")
-    floored = groups.join(thresholds(lists, k), CANDIDATE_CLASS)
+    floored = merge_join(groups, thresholds(lists, k), CANDIDATE_CLASS)
     shared = _expand(sharing_pairs(signatures, floored, k), ["gid"], k).drop("rank")
-    by_class = groups.select("gid", *CANDIDATE_CLASS).join(lists, CANDIDATE_CLASS).select(
+    by_class = merge_join(groups.select("gid", *CANDIDATE_CLASS), lists, CANDIDATE_CLASS).select(
         "gid", "score", "ord")
     # A job found both ways counts with its true score, the higher one.
     each = shared.unionByName(by_class).groupBy("gid", "ord").agg(F.max("score").alias("score"))
@@ -477,7 +477,8 @@ def recommend(jobs: DataFrame, candidates: DataFrame, k: int = DEFAULT_TOP_K) ->
     chosen = best_jobs(jobs, groups.filter(F.col("facets").isNull()), k)
     if with_preferences:
         chosen = chosen.unionByName(best_preferred_jobs(jobs, groups.filter(F.col("facets").isNotNull()), k))
-    pairs = written(chosen, "chosen").join(groups.select("gid", *CANDIDATE_SIGNATURE), "gid").join(jobs, "ord")
+    met = merge_join(written(chosen, "chosen"), groups.select("gid", *CANDIDATE_SIGNATURE), "gid")
+    pairs = merge_join(met, jobs, "ord")
     told = P.with_explanation(P.with_hard_filters(P.with_score(pairs)))
     rows = told.select(
         "gid", "rank", "ord", "job_id", "title", "company", "location", "workplace_type",
@@ -490,7 +491,7 @@ def recommend(jobs: DataFrame, candidates: DataFrame, k: int = DEFAULT_TOP_K) ->
     for_people = people.select("candidate_id", "gid", "min_score")
     if with_preferences:
         # A threshold cuts the end of a list: the order does not depend on it.
-        matched = for_people.join(P.settled(rows, "score"), "gid").filter(F.col("score") >= F.col("min_score"))
+        matched = merge_join(for_people, P.settled(rows, "score"), "gid").filter(F.col("score") >= F.col("min_score"))
     else:
-        matched = for_people.join(rows, "gid")
+        matched = merge_join(for_people, rows, "gid")
     return matched.drop("gid", "min_score")

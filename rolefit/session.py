@@ -53,6 +53,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def merge_join(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """Join of two tables that both grow with the input.
+
+    The planner goes by the size of files, in which repeated texts take next to no room, and so would collect a whole
+    table in the driver to broadcast it.
+    """
+    return left.hint("merge").join(right, on, how)
+
+
 def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
     """``written``, with the number of rows as observed while they are written."""
     seen = Observation()

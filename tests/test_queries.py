@@ -68,6 +68,20 @@ def test_wide_rows_are_not_sorted_to_be_reduced(spark, name):
     assert "SortAggregate" not in text and "hint" not in text.lower()
 
 
+@pytest.mark.parametrize("name", ["recommend_from_latest", "recommend_preferences", "recommend_topk"])
+def test_no_table_that_grows_is_broadcast(spark, name, monkeypatch):
+    plans, write = [], Rec.written
+
+    def seen(df, table):
+        plans.append(plan(df))
+        return write(df, table)
+
+    monkeypatch.setattr(Rec, "written", seen)
+    plans.append(plan(QUERIES[name](spark, SF)))
+    for key in ["gid", "sid", "ord", "c_class"]:
+        assert not any(f"BroadcastHashJoin [{key}#" in text for text in plans), key
+
+
 def test_top_k_is_limited_before_the_shuffle(spark):
     from rolefit import queries as Q
     from rolefit.operators import recommend as Rec
