@@ -12,18 +12,28 @@ rows of the taxonomy count once. An alias without any letter or digit is in no t
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rolefit.functions import extraction as E
 from rolefit.functions import text as X
-from rolefit.session import written
+from rolefit.session import merge_join, written
 
 HITS = "array<struct<skill: string, label: int>>"
 TEXT, KEY, ALIASES = "__taxonomy_text", "__taxonomy_key", "__taxonomy_aliases"
 
 
 def _folded(c: Column) -> Column:
-    return F.translate(c, *E.FOLDED)
+    """``translate`` by FOLDED; texts without these letters, nearly all, pass at the cost of a search."""
+    for letter, plain in zip(*E.FOLDED):
+        c = F.replace(c, F.lit(letter), F.lit(plain))
+    return c
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, also where ``use`` has it inside a lambda."""
+    return F.transform(F.array(value), use)[0]
 
 
 def _words(c: Column) -> Column:
@@ -54,15 +64,15 @@ def candidates(texts: DataFrame, taxonomy: DataFrame) -> DataFrame:
     filed = (known.select("alias", "skills", F.explode("words").alias("word")).join(frequency, "word")
              .groupBy("alias").agg(F.min_by("word", F.struct("n", "word")).alias("word"), F.first("skills").alias("skills")))
     entry = F.struct("alias", _pattern(F.col("alias")).alias("pattern"), "skills")
-    return words.join(filed, "word").groupBy(KEY).agg(F.collect_list(entry).alias(ALIASES))
+    return merge_join(words, filed, "word").groupBy(KEY).agg(F.collect_list(entry).alias(ALIASES))
 
 
 def _starts_of(following: Column) -> Column:
     """The aliases that stand alone at the beginning of ``following``."""
-    def stands(alias: Column) -> Column:
-        return F.startswith(_folded(following), alias) & ~following.substr(F.length(alias) + 1, F.lit(1)).rlike(X.WORD)
+    def stands(folded: Column, alias: Column) -> Column:
+        return F.startswith(folded, alias) & ~following.substr(F.length(alias) + 1, F.lit(1)).rlike(X.WORD)
 
-    found = F.filter(F.col(ALIASES), lambda c: stands(c["alias"]))
+    found = _bound(_folded(following), lambda folded: F.filter(F.col(ALIASES), lambda c: stands(folded, c["alias"])))
     return F.flatten(F.transform(found, lambda c: F.transform(
         c["skills"], lambda skill: F.struct(skill.alias("skill"), F.length(c["alias"]).alias("length")))))
 
@@ -70,10 +80,11 @@ def _starts_of(following: Column) -> Column:
 def with_hits(df: DataFrame, name: str, text: Column, taxonomy: DataFrame, collapsed: bool = False) -> DataFrame:
     """Add ``name``, the hits of a whole lower-cased text, as ``extraction.with_hits`` does."""
     plain = F.concat(F.lit(" "), F.trim(text) if collapsed else X.clean_text(text))
-    rows = df.withColumn(TEXT, F.coalesce(plain, F.lit(" "))).withColumn(KEY, F.xxhash64(TEXT))
+    # Written, since the words and the join below both read them: the texts are made once.
+    rows = written(df, "texts").withColumn(TEXT, F.coalesce(plain, F.lit(" "))).withColumn(KEY, F.xxhash64(TEXT))
     found = candidates(rows, taxonomy)
-    rows = rows.join(found, KEY, "left").withColumn(
-        ALIASES, F.filter(ALIASES, lambda c: F.contains(_folded(F.col(TEXT)), c["alias"])))
+    rows = merge_join(rows, found, KEY, "left").withColumn(
+        ALIASES, _bound(_folded(F.col(TEXT)), lambda folded: F.filter(F.col(ALIASES), lambda c: F.contains(folded, c["alias"]))))
     any_alias = F.array_join(F.transform(ALIASES, lambda c: c["pattern"]), "|")
     hit = F.concat(F.lit(f"(?<![a-z0-9])(?<!{X.WORD})(?=(?:"), any_alias, F.lit(f")(?!{X.WORD}))"))
     cut = F.when(F.size(ALIASES) > 0, F.regexp_replace(TEXT, hit, F.lit(E.MARK)))

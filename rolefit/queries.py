@@ -374,7 +374,7 @@ def skill_hits(spark, sf_dir):
 def skill_hits_by_table(spark, sf_dir):
     """The same hits, with the taxonomy as a table that the words of the texts are joined with."""
     taxonomy = spark.createDataFrame([(s, a) for s, names in vocab.SKILL_ALIASES.items() for a in names], "skill string, alias string")
-    rows = Tx.with_hits(texts(spark, sf_dir), "hits", F.col("text"), taxonomy, collapsed=True)
+    rows = Tx.with_hits(texts(spark, sf_dir).drop("title"), "hits", F.col("text"), taxonomy, collapsed=True)
     return E.hit_rows(rows, "hits", "job_uid").groupBy("job_uid", "skill", "label").agg(F.count("*").alias("n_hits"))
 
 

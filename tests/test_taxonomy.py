@@ -58,3 +58,14 @@ def test_odd_tables(spark):
     assert sorted((r["alias"], sorted(h["skill"] for h in r["h"])) for r in out.collect()) == [("a", ["db", "query"]), ("b", ["db", "query"]), ("c", ["cpp"])]
     assert all(r["h"] == [] for r in Tx.with_hits(df, "h", F.col("t"), odd.limit(0)).collect())
     assert Tx.with_hits(df.limit(0), "h", F.col("t"), odd).count() == 0
+
+
+def test_texts_are_made_once_and_never_broadcast(spark, monkeypatch):
+    """The words and the hits read the same written texts; what is found for each text grows with them."""
+    names, write = [], Tx.written
+    monkeypatch.setattr(Tx, "written", lambda df, name: names.append(name) or write(df, name))
+    df = rows_of(spark, ["sql and ſql", "python"]).withColumn("t", F.concat("t", F.lit(" once")))
+    out = Tx.with_hits(df, "h", F.col("t"), table_of(spark, vocab.SKILL_ALIASES))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "texts" in names and " once" not in plan and f"BroadcastHashJoin [{Tx.KEY}" not in plan
+    assert "translate" not in plan and "SortMergeJoin [word#" in plan
