@@ -132,10 +132,9 @@ def match_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
     return (
-        orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
-        .select(candidate_id(F.col("o_custkey")).alias("candidate_id"),
-                job_id(F.col("l_partkey")).alias("job_id"))
-        .distinct()
+        lines.join(orders.hint("shuffle_hash"), F.col("o_orderkey") == F.col("l_orderkey"))
+        .select("o_custkey", "l_partkey").distinct()
+        .select(candidate_id(F.col("o_custkey")).alias("candidate_id"), job_id(F.col("l_partkey")).alias("job_id"))
     )
 
 

@@ -24,10 +24,37 @@ def settled(df: DataFrame, *names: str) -> DataFrame:
 def requested_pairs(requests: DataFrame, jobs: DataFrame, candidates: DataFrame) -> DataFrame:
     """Join a (candidate_id, job_id) request table with both prepared sides.
 
-    Two equi-joins; which side is broadcast is left to the size statistics
-    and to AQE, which also splits a hot job or candidate.
+    The prepared sides grow with the input too and are never broadcast. Each task holds its part of them in a hash table
+    and lets the requests, which are many more, pass unsorted; AQE splits a hot job or candidate. The candidate's columns
+    travel with every request to the jobs, so they are packed into as few bytes as they take.
     """
-    return requests.join(candidates, "candidate_id").join(jobs, "job_id")
+    packed = [c for c in candidates.columns if c != "candidate_id"]
+    narrow = candidates.select("candidate_id", *[_packed(candidates, c).alias(c) for c in packed])
+    met = requests.join(narrow.hint("shuffle_hash"), "candidate_id").join(jobs.hint("shuffle_hash"), "job_id")
+    return met.withColumns({c: _unpacked(candidates, c) for c in packed})
+
+
+#: Between the items of a packed list; a list with an item that holds it is not packed.
+BETWEEN = "\x1f"
+
+
+def _packed(df: DataFrame, name: str) -> Column:
+    """A list of texts as one text and a list, one of which is NULL. The text has ``BETWEEN`` before every item."""
+    c = F.col(name)
+    if dict(df.dtypes)[name] != "array<string>":
+        return c
+    plain = ~F.exists(c, lambda item: item.isNull() | F.contains(item, F.lit(BETWEEN)))
+    text = F.array_join(F.transform(c, lambda item: F.concat(F.lit(BETWEEN), item)), "")
+    return F.struct(F.when(plain, text).alias("text"), F.when(~plain, c).alias("items"))
+
+
+def _unpacked(df: DataFrame, name: str) -> Column:
+    c = F.col(name)
+    if dict(df.dtypes)[name] != "array<string>":
+        return c
+    text = c["text"]
+    items = F.split(text.substr(F.lit(2), F.length(text)), BETWEEN)
+    return F.when(text == "", X.empty_strings()).when(text.isNotNull(), items).otherwise(c["items"])
 
 
 def set_counts() -> dict[str, Column]:

@@ -23,7 +23,7 @@ from rolefit.operators import recommend as Rec
 from rolefit.operators import staging as St
 from rolefit.operators import taxonomy as Tx
 from rolefit.plans import pipelines as Plan
-from rolefit.session import counted, fresh_path
+from rolefit.session import counted, fresh_path, merge_join
 from rolefit.sources import datasets as Ds
 from rolefit.sources import feeds
 from rolefit.sources import payloads as Pay
@@ -200,7 +200,7 @@ def preference_filter(spark, sf_dir):
     """Requested pairs that pass the candidate's preferences."""
     prefs = fx.preferences(spark, sf_dir)
     jobs = Pref.with_facets(match_jobs(spark, sf_dir))
-    candidates = match_candidates(spark, sf_dir).join(prefs, "candidate_id", "left")
+    candidates = merge_join(match_candidates(spark, sf_dir), prefs, "candidate_id", "left")
     candidates = candidates.withColumn("preferences", Pref.prepared(F.col("preferences")))
     scored = P.with_score(P.requested_pairs(fx.match_requests(spark, sf_dir), jobs, candidates))
     return Pref.preference_filter(scored, F.col("preferences")).select("candidate_id", "job_id", "score")

@@ -254,3 +254,16 @@ def test_top_k_limits(spark):
         Rec.recommend(None, None, 0)
     with pytest.raises(ValueError):
         Rec.recommend(None, None, 101)
+
+
+def test_requested_pairs_keep_lists_and_broadcast_nothing(spark):
+    from rolefit.operators import pairs as P
+
+    lists = [["a", "b"], [], None, [""], ["x\x1fy", "z"], ["a", None], ["", "q"]]
+    candidates = spark.createDataFrame([(f"c{i}", v, 1.0) for i, v in enumerate(lists)], "candidate_id string, c_skills array<string>, c_years double")
+    jobs = spark.createDataFrame([("j", ["a"])], "job_id string, j_req array<string>")
+    requests = spark.createDataFrame([(f"c{i}", "j") for i in range(len(lists))], "candidate_id string, job_id string")
+    out = P.requested_pairs(requests, jobs, candidates)
+    assert {r["candidate_id"]: r["c_skills"] for r in out.collect()} == {f"c{i}": v for i, v in enumerate(lists)}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" not in plan
