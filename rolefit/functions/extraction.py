@@ -235,19 +235,20 @@ def years_of_experience(text: Column) -> Column:
     t = text
     ws, num = X.WS, f"({X.DIGIT}+)"
     years, yrs = X.fold_pattern("years"), X.fold_pattern("yrs")
-    # fixed values: number patterns, with a plain word each needs (a cheap test first)
+    # What follows a number that counts, looked at from the number, so that one pass finds all of them: "3 years",
+    # "3+ yrs", "3 - 5 years", "3 to 5 years". Ends of ranges are numbers before "years" themselves.
+    span = f"(?:-|to){ws}*{X.DIGIT}+{ws}*"
+    named = f"({X.DIGIT}++)(?={ws}*+(?:{span})?{years}|" + r"\+?" + f"{ws}*+(?:{years}|{yrs}))"
+    # fixed values: number patterns, with plain words of which each needs one (a cheap test first)
     patterns = [
-        ("year", f"{num}" + r"\+?" + f"{ws}*{years}"),
-        ("yr", f"{num}" + r"\+?" + f"{ws}*{yrs}"),
-        ("mum", f"{X.fold_pattern('minimum')}{ws}+of{ws}+{num}"),
-        ("lea", f"at{ws}+{X.fold_pattern('least')}{ws}+{num}"),
-        ("year", f"{num}{ws}*-{ws}*{X.DIGIT}+{ws}*{years}"),
-        ("year", f"{num}{ws}*to{ws}*{X.DIGIT}+{ws}*{years}"),
+        (["year", "yr"], named),
+        (["mum"], f"{X.fold_pattern('minimum')}{ws}+of{ws}+{num}"),
+        (["lea"], f"at{ws}+{X.fold_pattern('least')}{ws}+{num}"),
     ]
     numbers = [
-        F.when(F.contains(t, F.lit(word)), F.regexp_extract_all(t, F.lit(p), F.lit(1)))
+        F.when(X.any_contains(t, words), F.regexp_extract_all(t, F.lit(p), F.lit(1)))
         .otherwise(X.empty_strings())
-        for word, p in patterns
+        for words, p in patterns
     ]
     return F.array_max(F.transform(F.concat(*numbers), X.whole_number))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import sys
 import unicodedata
+from collections.abc import Callable
 from functools import cache, reduce
 
 from pyspark.sql import Column, functions as F
@@ -58,6 +59,11 @@ def lookup(entries: dict, key: Column) -> Column:
     return F.try_element_at(literal_map(entries), key)
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often ``use`` has it and also inside a lambda."""
+    return F.transform(F.array(value), use)[0]
+
+
 def nullif_blank(c: Column) -> Column:
     return F.when(c != "", c)
 
@@ -142,9 +148,11 @@ def _decode_entity(part: Column) -> Column:
 
 def decode_entities(c: Column) -> Column:
     """Each character reference is decoded once; unknown names stay."""
-    parts = F.split(c, "&")
-    decoded = F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(_decode_entity(p)))
-    return F.when(F.contains(c, F.lit("&")), F.array_join(decoded, "")).otherwise(c)
+    def decoded(text: Column) -> Column:
+        parts = F.transform(F.split(text, "&"), lambda p, i: F.when(i == 0, p).otherwise(_decode_entity(p)))
+        return F.when(F.contains(text, F.lit("&")), F.array_join(parts, "")).otherwise(text)
+
+    return bound(c, decoded)
 
 
 def html_to_text(c: Column) -> Column:

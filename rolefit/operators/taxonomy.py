@@ -12,8 +12,6 @@ rows of the taxonomy count once. An alias without any letter or digit is in no t
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rolefit.functions import extraction as E
@@ -31,11 +29,6 @@ def _folded(c: Column) -> Column:
     return c
 
 
-def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value worked out once, also where ``use`` has it inside a lambda."""
-    return F.transform(F.array(value), use)[0]
-
-
 def _words(c: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(c, F.lit(f"({X.WORD}+)"), F.lit(1)))
 
@@ -72,7 +65,7 @@ def _starts_of(following: Column) -> Column:
     def stands(folded: Column, alias: Column) -> Column:
         return F.startswith(folded, alias) & ~following.substr(F.length(alias) + 1, F.lit(1)).rlike(X.WORD)
 
-    found = _bound(_folded(following), lambda folded: F.filter(F.col(ALIASES), lambda c: stands(folded, c["alias"])))
+    found = X.bound(_folded(following), lambda folded: F.filter(F.col(ALIASES), lambda c: stands(folded, c["alias"])))
     return F.flatten(F.transform(found, lambda c: F.transform(
         c["skills"], lambda skill: F.struct(skill.alias("skill"), F.length(c["alias"]).alias("length")))))
 
@@ -84,7 +77,7 @@ def with_hits(df: DataFrame, name: str, text: Column, taxonomy: DataFrame, colla
     rows = written(df, "texts").withColumn(TEXT, F.coalesce(plain, F.lit(" "))).withColumn(KEY, F.xxhash64(TEXT))
     found = candidates(rows, taxonomy)
     rows = merge_join(rows, found, KEY, "left").withColumn(
-        ALIASES, _bound(_folded(F.col(TEXT)), lambda folded: F.filter(F.col(ALIASES), lambda c: F.contains(folded, c["alias"]))))
+        ALIASES, X.bound(_folded(F.col(TEXT)), lambda folded: F.filter(F.col(ALIASES), lambda c: F.contains(folded, c["alias"]))))
     any_alias = F.array_join(F.transform(ALIASES, lambda c: c["pattern"]), "|")
     hit = F.concat(F.lit(f"(?<![a-z0-9])(?<!{X.WORD})(?=(?:"), any_alias, F.lit(f")(?!{X.WORD}))"))
     cut = F.when(F.size(ALIASES) > 0, F.regexp_replace(TEXT, hit, F.lit(E.MARK)))

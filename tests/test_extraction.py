@@ -150,3 +150,12 @@ def test_enrich_tolerates_missing_columns(spark):
     row = En.enrich(full).first()
     assert (row["required_skills"], row["years_experience_extracted"], row["education_extracted"],
             row["seniority_inferred"]) == (["sql"], 4, "master", "senior")
+
+
+@pytest.mark.parametrize("text, expected", [
+    ("1-2-3 years, 4+ to 9 years", 9), ("7 to 5 years", 7), ("12 - 5years", 12), ("8-9 yrs 3 yrs", 9), ("6+5 years", 5), ("11 to yrs", None),
+])
+def test_years_are_found_in_one_pass(spark, text, expected):
+    out = spark.createDataFrame([(text,)], "t string").select(E.years_of_experience(F.col("t")).alias("y"))
+    assert out.first()["y"] == expected
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 3
