@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rolefit.functions import text as X
 from rolefit.functions import vocab
+from rolefit.session import spread
 
 SKILLS = [
     "python", "sql", "machine_learning", "deep_learning", "data_analysis", "pandas", "numpy", "spark", "aws", "azure",
@@ -194,7 +195,7 @@ def feed_a(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     html = F.concat(F.col("html"), F.lit("<div><p>"), say["required"], F.lit("&nbsp;</p><p>R&amp;D "),
                     say["preferred"], F.lit("</p></div>"))
-    return table(spark, sf_dir, "pages").select(
+    return spread(table(spark, sf_dir, "pages"), "page_id").select(
         F.concat(F.lit("board_"), k % 4).alias("board"),
         F.floor(k / 4).alias("pos"),
         k.alias("id"),
@@ -224,7 +225,7 @@ def feed_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feed B rows from the documents: the whole text between the requirement texts."""
     k = F.col("doc_id")
     say = posting_sentences(k)
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents"), "doc_id").select(
         F.col("source").alias("board"),
         k.alias("pos"),
         k.cast("string").alias("id"),

@@ -53,6 +53,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Deal rows out over all tasks, by keys that differ from row to row, before work that is heavy for each row.
+
+    A file is read by one task for each of its row groups, which may be one or two for all its texts. The number of
+    tasks is given, since by size AQE would join them into few again.
+    """
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return df.repartition(tasks, *keys)
+
+
 def merge_join(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
     """Join of two tables that both grow with the input.
 

@@ -102,3 +102,14 @@ def test_extraction_needs_no_shuffle(spark):
     df = spark.read.parquet(f"{SF}/documents.parquet").select(F.col("doc_id").alias("job_uid"),
                                                               F.col("text").alias("description"))
     assert "Exchange" not in plan(En.enrich(df))
+
+
+@pytest.mark.parametrize("name", ["skill_hits", "education_min", "skills_required_preferred"])
+def test_texts_of_few_row_groups_are_dealt_over_all_tasks(spark, name):
+    """The given tables have one row group each, so two tasks would read all postings."""
+    from pyspark.sql import functions as F
+    from rolefit import queries as Q
+
+    rows = Q.texts(spark, SF).groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert len(rows) > 16 and max(r["count"] for r in rows) * 8 < sum(r["count"] for r in rows)
+    assert "REPARTITION_BY_NUM" in plan(QUERIES[name](spark, SF))
