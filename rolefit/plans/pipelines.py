@@ -11,6 +11,7 @@ from rolefit.operators import features as Fe
 from rolefit.operators import pairs as P
 from rolefit.operators import recommend as Rec
 from rolefit.operators import staging as St
+from rolefit.session import prepare
 from rolefit.sources import datasets as Ds
 from rolefit.sources import feeds
 
@@ -67,6 +68,7 @@ def prepared_candidates(payloads: DataFrame, preferences: DataFrame | None = Non
 
 def match(requests: DataFrame, jobs: DataFrame, payloads: DataFrame) -> DataFrame:
     """Full result of each requested (candidate_id, job_id) pair."""
+    prepare(requests.sparkSession)
     return P.match_result(P.requested_pairs(
         requests, Fe.match_jobs(jobs), prepared_candidates(payloads)))
 
@@ -74,6 +76,7 @@ def match(requests: DataFrame, jobs: DataFrame, payloads: DataFrame) -> DataFram
 def recommend(jobs: DataFrame, payloads: DataFrame, preferences: DataFrame | None = None,
               top_k: int = Rec.DEFAULT_TOP_K) -> DataFrame:
     """Best jobs per candidate from given match-ready jobs (with a unique ``ord``)."""
+    prepare(jobs.sparkSession)
     return Rec.recommend(Fe.match_jobs(jobs), prepared_candidates(payloads, preferences), top_k)
 
 

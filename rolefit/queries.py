@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
+from functools import reduce, wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -23,7 +23,7 @@ from rolefit.operators import recommend as Rec
 from rolefit.operators import staging as St
 from rolefit.operators import taxonomy as Tx
 from rolefit.plans import pipelines as Plan
-from rolefit.session import counted, fresh_path, merge_join
+from rolefit.session import counted, fresh_path, merge_join, prepare
 from rolefit.sources import datasets as Ds
 from rolefit.sources import feeds
 from rolefit.sources import payloads as Pay
@@ -38,8 +38,13 @@ QUERIES: dict[str, Query] = {}
 
 
 def query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = fn
-    return fn
+    @wraps(fn)
+    def prepared(spark, sf_dir):
+        prepare(spark)
+        return fn(spark, sf_dir)
+
+    QUERIES[fn.__name__] = prepared
+    return prepared
 
 
 def flat(name: str, alias: str | None = None) -> Column:

@@ -25,6 +25,20 @@ def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
     return spark
 
 
+# fixed values: Spark's setting, and the size in bytes from which the JVM only interprets a method
+METHOD_LIMIT, COMPILED_BYTES = "spark.sql.codegen.hugeMethodLimit", 8000
+
+
+def prepare(spark: SparkSession) -> None:
+    """Settings that wide projections need.
+
+    All steps of a stage are generated as one method. The rules of an explanation make it longer than what the JVM
+    compiles, so that it is interpreted for each row; above this limit Spark generates each projection in short methods.
+    """
+    if int(spark.conf.get(METHOD_LIMIT)) > COMPILED_BYTES:
+        spark.conf.set(METHOD_LIMIT, str(COMPILED_BYTES))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder all executors see, from spark.checkpoint.dir.
 

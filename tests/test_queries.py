@@ -113,3 +113,12 @@ def test_texts_of_few_row_groups_are_dealt_over_all_tasks(spark, name):
     rows = Q.texts(spark, SF).groupBy(F.spark_partition_id().alias("task")).count().collect()
     assert len(rows) > 16 and max(r["count"] for r in rows) * 8 < sum(r["count"] for r in rows)
     assert "REPARTITION_BY_NUM" in plan(QUERIES[name](spark, SF))
+
+
+@pytest.mark.parametrize("name", ["match_explanations", "match_pairs"])
+def test_no_method_is_generated_that_the_jvm_does_not_compile(spark, name):
+    limit = "spark.sql.codegen.hugeMethodLimit"
+    spark.conf.unset(limit)
+    assert int(spark.conf.get(limit)) > 8000
+    assert QUERIES[name](spark, SF).count() > 0
+    assert int(spark.conf.get(limit)) <= 8000
