@@ -260,12 +260,12 @@ def _education_pattern(phrase: str) -> str:
     return f"(?<!{X.WORD}){body}(?!{X.WORD})" if phrase in vocab.EDUCATION_WORDS else body
 
 
-# fixed values: letters of which each phrase of a level holds some (a cheap test first)
+# fixed values: words of which each phrase of a level holds one (a cheap test first, so they have to be rare in prose)
 _EDUCATION_LETTERS = {
     "high_school": ["chool"],
-    "associate": ["degree"],
-    "bachelor": ["degree", "b.", "bsc", "bſc"],
-    "master": ["degree", "m.", "mba", "msc", "mſc"],
+    "associate": ["ate degree", "ate'"],
+    "bachelor": ["bachelor", "ba degree", "bs degree", "bſ degree", "b.sc", "b.ſc", "bsc", "bſc"],
+    "master": ["ter degree", "ter'", "ms degree", "mſ degree", "m.sc", "m.ſc", "msc", "mſc", "mba"],
     "phd": ["phd", "ph.d", "doctor"],
 }
 

@@ -159,3 +159,15 @@ def test_years_are_found_in_one_pass(spark, text, expected):
     out = spark.createDataFrame([(text,)], "t string").select(E.years_of_experience(F.col("t")).alias("y"))
     assert out.first()["y"] == expected
     assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 3
+
+
+def test_cheap_education_words_are_in_every_phrase_but_not_in_prose():
+    from itertools import product
+
+    folded = {"i": "iı", "s": "sſ"}
+    for level, phrases in vocab.EDUCATION_PHRASES.items():
+        words = E._EDUCATION_LETTERS[level]
+        for phrase in phrases:
+            for letters in product(*[folded.get(ch, ch) for ch in phrase]):
+                assert any(w in "".join(letters) for w in words)
+        assert not any(w in "a lorem ipsum. any degree will do, club." for w in words)
