@@ -76,7 +76,6 @@ def match(requests: DataFrame, jobs: DataFrame, payloads: DataFrame) -> DataFram
 def recommend(jobs: DataFrame, payloads: DataFrame, preferences: DataFrame | None = None,
               top_k: int = Rec.DEFAULT_TOP_K) -> DataFrame:
     """Best jobs per candidate from given match-ready jobs (with a unique ``ord``)."""
-    prepare(jobs.sparkSession)
     return Rec.recommend(Fe.match_jobs(jobs), prepared_candidates(payloads, preferences), top_k)
 
 

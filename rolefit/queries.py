@@ -35,12 +35,14 @@ VERSION = "1.0.0"
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+# fixed values: queries that explain every pair
+EXPLAINED = {"match_explanations", "match_pairs"}
 
 
 def query(fn: Query) -> Query:
     @wraps(fn)
     def prepared(spark, sf_dir):
-        prepare(spark)
+        prepare(spark, fn.__name__ in EXPLAINED)
         return fn(spark, sf_dir)
 
     QUERIES[fn.__name__] = prepared

@@ -29,14 +29,17 @@ def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
 METHOD_LIMIT, COMPILED_BYTES = "spark.sql.codegen.hugeMethodLimit", 8000
 
 
-def prepare(spark: SparkSession) -> None:
-    """Settings that wide projections need.
+def prepare(spark: SparkSession, explained: bool = True) -> None:
+    """Setting for explanations, taken back for other work.
 
     All steps of a stage are generated as one method. The rules of an explanation make it longer than what the JVM
     compiles, so that it is interpreted for each row; above this limit Spark generates each projection in short methods.
+    Spark reads the setting when the table is computed.
     """
-    if int(spark.conf.get(METHOD_LIMIT)) > COMPILED_BYTES:
+    if explained and int(spark.conf.get(METHOD_LIMIT)) > COMPILED_BYTES:
         spark.conf.set(METHOD_LIMIT, str(COMPILED_BYTES))
+    elif not explained and spark.conf.get(METHOD_LIMIT) == str(COMPILED_BYTES):
+        spark.conf.unset(METHOD_LIMIT)
 
 
 def shared_folder(spark: SparkSession) -> str:

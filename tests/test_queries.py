@@ -122,3 +122,5 @@ def test_no_method_is_generated_that_the_jvm_does_not_compile(spark, name):
     assert int(spark.conf.get(limit)) > 8000
     assert QUERIES[name](spark, SF).count() > 0
     assert int(spark.conf.get(limit)) <= 8000
+    QUERIES["education_min"](spark, SF)
+    assert int(spark.conf.get(limit)) > 8000
