@@ -81,7 +81,7 @@ def sorted_distinct(items: Column) -> Column:
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
-    return table(spark, sf_dir, "part").select(
+    return spread(table(spark, sf_dir, "part"), "p_partkey").select(
         F.concat(F.lit("fx::"), k % 5, F.lit("::"), k).alias("job_id"),
         k.alias("ord"),
         pick(TITLES, k).alias("title"),
@@ -111,7 +111,7 @@ def job_id(key: Column) -> Column:
 def candidate_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("c_custkey")
     skills = [pick(SKILLS, m * c + i) for m, i in SKILL_STEPS]
-    return table(spark, sf_dir, "customer").select(
+    return spread(table(spark, sf_dir, "customer"), "c_custkey").select(
         candidate_id(c).alias("candidate_id"),
         F.col("c_name").alias("full_name"),
         pick(TITLES, 5 * c + 2).alias("current_title"),

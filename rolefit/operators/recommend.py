@@ -21,6 +21,11 @@ exact facts make that feasible for many candidates and many jobs:
    they hold some jobs, then, with the k-th score of these as the threshold,
    what is left above it.
 
+Preferences that restrict the jobs take the same way. Distinct preferences meet the
+distinct values they test, not jobs, and each takes the first k jobs of a
+signature among those that pass it; then its candidates choose from these as
+others choose from all jobs.
+
 Joins are plain equi-joins on items and shapes. Frequent ones are split on both
 sides into blocks (see ``block_join``), so no task gets a hot one whole.
 """
@@ -41,6 +46,8 @@ from rolefit.sources.payloads import PREFERENCES
 BLOCK_ROWS = 1024
 # Scores are rounded to two digits, so a bound may miss by half of the last one.
 SLACK = 0.006
+# The ``pid`` of groups without a preference that restricts the jobs, and of all jobs.
+ANY = -1
 
 
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:
@@ -74,14 +81,19 @@ def job_signatures(jobs: DataFrame, signature: list[str], k: int) -> DataFrame:
 
 def with_group(candidates: DataFrame) -> DataFrame:
     """Add ``facets`` (preferences that restrict the jobs, else NULL), the score
-    threshold and ``gid``, equal for candidates with equal answers."""
+    threshold and ``gid``, equal for candidates with equal answers (a threshold
+    cuts the end of an answer later)."""
     p = F.col("preferences")
     known = candidates.withColumns({
-        "facets": F.when(Pref.restricts_jobs(p), p),
+        "facets": F.when(Pref.restricts_jobs(p), p.dropFields("min_score")),
         "min_score": F.coalesce(p["min_score"], F.lit(0.0)),
     })
-    return known.withColumn(
-        "gid", F.sha2(F.to_json(F.struct(*CANDIDATE_SIGNATURE, "facets")), 256))
+    return known.withColumns({"gid": _digest(*CANDIDATE_SIGNATURE, "facets"),
+                              "pkey": F.when(F.col("facets").isNotNull(), _digest("facets"))})
+
+
+def _digest(*columns: str) -> Column:
+    return F.sha2(F.to_json(F.struct(*columns)), 256)
 
 
 def _expand(best: DataFrame, keys: list[str], k: int) -> DataFrame:
@@ -105,8 +117,9 @@ def _from_state(prefix: str, state: str) -> dict[str, Column]:
 
 
 def job_classes(signatures: DataFrame, k: int) -> DataFrame:
-    """One row per class of jobs with its first k jobs."""
+    """One row per preference and class of jobs with its first k jobs."""
     columns = {
+        "pid": F.col("pid"),
         "j_need_given": F.col("j_need_given"), "j_years": F.col("j_years"),
         "j_edu_state": _state(F.col("j_edu"), F.col("j_edu_rank")),
         "j_sen_state": _state(F.col("j_sen"), F.col("j_sen_rank")),
@@ -123,7 +136,7 @@ def job_classes(signatures: DataFrame, k: int) -> DataFrame:
                                 **_from_state("j_sen", "j_sen_state")})
 
 
-CANDIDATE_CLASS = ["c_years_key", "c_edu_state", "c_sen_state", "n_cand_dom"]
+CANDIDATE_CLASS = ["pid", "c_years_key", "c_edu_state", "c_sen_state", "n_cand_dom"]
 
 
 def with_candidate_class(groups: DataFrame) -> DataFrame:
@@ -136,10 +149,11 @@ def with_candidate_class(groups: DataFrame) -> DataFrame:
 
 
 def class_lists(classes: DataFrame, groups: DataFrame, k: int) -> DataFrame:
-    """Best k jobs per candidate class if nothing were shared.
+    """Best k jobs per preference and candidate class if nothing were shared.
 
     Each job class is laid out over the fixed levels a candidate can have, which
-    makes this an equi-join; both sides are as small as the vocabulary.
+    makes this an equi-join; both sides are as small as the vocabulary for each
+    preference.
     """
     wanted = groups.select(*CANDIDATE_CLASS).distinct()
     laid_out = (
@@ -148,7 +162,7 @@ def class_lists(classes: DataFrame, groups: DataFrame, k: int) -> DataFrame:
         .withColumn("c_sen_state", F.explode(F.array(*[F.lit(s) for s in RANK_STATES])))
         .withColumn("n_cand_dom", F.explode(F.array(F.lit(0), F.lit(1))))
     )
-    met = wanted.join(laid_out, ["c_edu_state", "c_sen_state", "n_cand_dom"]).withColumns({
+    met = merge_join(wanted, laid_out, ["pid", "c_edu_state", "c_sen_state", "n_cand_dom"]).withColumns({
         **_from_state("c_edu", "c_edu_state"), **_from_state("c_sen", "c_sen_state"),
         "c_years": F.col("c_years_key").try_cast("double"),
         "req_hits": F.lit(0), "pref_hits": F.lit(0), "dom_hits": F.lit(0),
@@ -190,8 +204,8 @@ def block_join(left: DataFrame, right: DataFrame, keys: list[str], left_id: str,
     each row belongs to one block of its own side and meets every block of the
     other. Keys on one side only drop out beforehand.
     """
-    counts = left.groupBy(*keys).agg(F.count("*").alias("__l")).join(
-        right.groupBy(*keys).agg(F.count("*").alias("__r")), keys)
+    counts = merge_join(left.groupBy(*keys).agg(F.count("*").alias("__l")),
+                        right.groupBy(*keys).agg(F.count("*").alias("__r")), keys)
     counts = counts.select(*keys, _blocks(F.col("__l")).alias("__lb"), _blocks(F.col("__r")).alias("__rb"))
 
     def blocked(df, own, other, row_id):
@@ -312,36 +326,36 @@ def with_prune_class(groups: DataFrame) -> DataFrame:
 
 
 def shape_bounds(items: DataFrame, groups: DataFrame) -> DataFrame:
-    """(c_class, shape, bound): the most a pair can score, where it reaches the lowest floor of the class.
+    """(pid, c_class, shape, bound): the most a pair can score, where it reaches the lowest floor of the class.
 
     Classes and shapes meet by the fixed levels, as in ``class_lists``. Both are as small as the levels, the whole
-    years and the sizes of sets allow, whatever the number of rows.
+    years and the sizes of sets allow for each preference, whatever the number of rows.
     """
-    classes = groups.groupBy("c_class", "c_band", "c_edu_state", "c_sen_state", "n_cand_dom").agg(F.min("floor").alias("least"))
-    shapes = items.select("shape", *SHAPE).distinct()
+    classes = groups.groupBy("pid", "c_class", "c_band", "c_edu_state", "c_sen_state", "n_cand_dom").agg(F.min("floor").alias("least"))
+    shapes = items.select("pid", "shape", *SHAPE).distinct()
     laid_out = (
         shapes
         .withColumn("c_edu_state", F.explode(F.array(*[F.lit(s) for s in RANK_STATES])))
         .withColumn("c_sen_state", F.explode(F.array(*[F.lit(s) for s in RANK_STATES])))
         .withColumn("n_cand_dom", F.explode(F.array(F.lit(0), F.lit(1))))
     )
-    met = classes.join(laid_out, ["c_edu_state", "c_sen_state", "n_cand_dom"]).withColumns({
+    met = merge_join(classes, laid_out, ["pid", "c_edu_state", "c_sen_state", "n_cand_dom"]).withColumns({
         **_from_state("c_edu", "c_edu_state"), **_from_state("c_sen", "c_sen_state"),
         **_from_state("j_edu", "s_edu"), **_from_state("j_sen", "s_sen"),
         "c_years": F.col("c_band"), "j_need_given": F.col("s_need"), "j_years": F.col("s_years").cast("double"),
         "reach": F.col("s_reach").cast("double"), "reach_no_dom": F.col("s_reach_no_dom").cast("double"),
     })
     bounded = P.settled(met.withColumn("bound", F.least(F.col("s_cap").cast("double"), _most())), "bound")
-    return bounded.filter(F.col("bound") >= F.col("least") - SLACK).select("c_class", "shape", "bound")
+    return bounded.filter(F.col("bound") >= F.col("least") - SLACK).select("pid", "c_class", "shape", "bound")
 
 
 def openable(items: DataFrame, groups: DataFrame) -> DataFrame:
     """(gid, family, item, shape, bound, jobs) of the shapes that reach a group's floor."""
-    blocks = items.groupBy("family", "item", "shape").agg(F.count("*").alias("jobs"), F.min("sid").alias("earliest"))
-    by_class = shape_bounds(items, groups).join(blocks, "shape")
-    asked = candidate_items(groups.select("gid", "c_class", "floor", "floor_ord", "c_skills", "c_dom"))
-    asked = asked.select("gid", "c_class", "floor", "floor_ord", "family", "item").distinct()
-    met = merge_join(asked, by_class, ["c_class", "family", "item"]).filter(_beats_floor(F.col("bound"), F.col("earliest")))
+    blocks = items.groupBy("pid", "family", "item", "shape").agg(F.count("*").alias("jobs"), F.min("sid").alias("earliest"))
+    by_class = merge_join(shape_bounds(items, groups), blocks, ["pid", "shape"])
+    asked = candidate_items(groups.select("gid", "pid", "c_class", "floor", "floor_ord", "c_skills", "c_dom"))
+    asked = asked.select("gid", "pid", "c_class", "floor", "floor_ord", "family", "item").distinct()
+    met = merge_join(asked, by_class, ["pid", "c_class", "family", "item"]).filter(_beats_floor(F.col("bound"), F.col("earliest")))
     return met.select("gid", "family", "item", "shape", "bound", "jobs", "earliest")
 
 
@@ -382,9 +396,9 @@ def _first_shared() -> Column:
 
 
 def scored_pairs(opened: DataFrame, items: DataFrame, groups: DataFrame) -> DataFrame:
-    """(gid, sid, score) of the pairs in the opened shapes that reach the group's floor, each at its first shared item."""
+    """(gid, pid, sid, score) of the pairs in the opened shapes that reach the group's floor, each at its first shared item."""
     asked = merge_join(opened.select("gid", "family", "item", "shape"), groups, "gid")
-    met = block_join(asked, items, ["family", "item", "shape"], "gid", "sid")
+    met = block_join(asked, items, ["pid", "family", "item", "shape"], "gid", "sid")
     near = met.filter(_can_reach_floor())
     shared = near.withColumns({f"__{f}": F.array_intersect(job, have)
                                for f, (job, have) in FAMILIES.items()})
@@ -392,15 +406,16 @@ def scored_pairs(opened: DataFrame, items: DataFrame, groups: DataFrame) -> Data
         "__once": _first_shared(), **{f"{f}_hits": F.size(f"__{f}") for f in FAMILIES}})
     once = P.settled(counted, "__once").filter("__once")
     scored = P.settled(P.score_from_counts(once), "score").filter(_beats_floor(F.col("score"), F.col("sid")))
-    return scored.select("gid", "sid", "score")
+    return scored.select("gid", "pid", "sid", "score")
 
 
-def sharing_pairs(signatures: DataFrame, groups: DataFrame, k: int) -> DataFrame:
+def sharing_pairs(features: DataFrame, signatures: DataFrame, groups: DataFrame, k: int) -> DataFrame:
     """Best k signatures per candidate group among the pairs that share an item and
     can reach the group's floor."""
-    sized = by_rarity(signatures.drop("members")).withColumns({
+    sized = by_rarity(features.withColumnRenamed("jid", "sid")).withColumns({
         "n_req": F.size("j_req"), "n_pref": F.size("j_pref"), "n_dom": F.size("j_dom")})
-    items = written(with_shape(job_items(sized)), "items")
+    shaped = with_shape(job_items(sized)).withColumnRenamed("sid", "jid")
+    items = written(merge_join(signatures.select("pid", "jid", "sid"), shaped, "jid").drop("jid"), "items")
     classed = written(with_prune_class(groups), "classed")
     highest = Window.partitionBy("gid").orderBy(F.desc("bound"), "family", "item", "shape")
     before = F.sum("jobs").over(highest.rowsBetween(Window.unboundedPreceding, -1))
@@ -415,17 +430,59 @@ def sharing_pairs(signatures: DataFrame, groups: DataFrame, k: int) -> DataFrame
     left = merge_join(rows.filter(~F.col("first")), raised.select("gid", "floor", "floor_ord"), "gid")
     rest = scored_pairs(left.filter(_beats_floor(F.col("bound"), F.col("earliest"))), items, raised)
     best = top_k(found.drop("rank").unionByName(rest), ["gid"], _best_first("sid"), k)
-    return merge_join(best.drop("rank"), signatures.select("sid", "members"), "sid")
+    return merge_join(best.drop("rank"), signatures.select("pid", "sid", "members"), ["sid", "pid"])
 
 
 # --- recommendations ---------------------------------------------------------------------
 
-def best_jobs(jobs: DataFrame, groups: DataFrame, k: int) -> DataFrame:
-    """(gid, ord, rank): top k over all jobs."""
-    signatures = written(job_signatures(jobs, JOB_SIGNATURE, k), "signatures")
+def preference_table(groups: DataFrame) -> DataFrame:
+    """(pid, pkey, facets): the distinct preferences that restrict the jobs, numbered."""
+    asked = groups.filter(F.col("pkey").isNotNull()).select("pkey", "facets").distinct()
+    return written(asked.withColumn("pid", F.monotonically_increasing_id()), "preferences")
+
+
+def passing_values(preferences: DataFrame, values: DataFrame) -> DataFrame:
+    """(pid, fkey) of the values of jobs, distinct ones named by ``fkey``, that pass a preference.
+
+    A preference is looked up by the keys of one of its tests; the other tests follow in the same step.
+    """
+    keyed_preferences = preferences.withColumn("keys", Pref.preference_keys(F.col("facets"))).select(
+        "*", F.explode("keys").alias("key"))
+    keyed_values = Pref.with_job_keys(values, keyed_preferences.select("key").distinct())
+    met = block_join(keyed_preferences, keyed_values, ["key"], "pid", "fkey")
+    # Values may carry several keys of one preference: they are taken at the first.
+    first_key = F.try_element_at(F.filter("keys", Pref.key_fits_job), F.lit(1))
+    passing = met.filter(Pref.job_passes(F.col("facets"))).filter(F.col("key") == first_key)
+    return passing.select("pid", "fkey")
+
+
+def preferred_signatures(jobs: DataFrame, preferences: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """All signatures (``jid``), and (pid, jid, sid, members): the first k jobs of each among those that pass a
+    preference, or among all for ``ANY``."""
+    named = job_signatures(jobs, [*JOB_SIGNATURE, *Pref.FACETS], k).withColumns({
+        "jkey": _digest(*JOB_SIGNATURE), "fkey": _digest(*Pref.FACETS, "j_dom")})
+    named = written(named, "faceted")
+    numbers = named.groupBy("jkey").agg(F.min("sid").alias("jid"))
+    listed = written(merge_join(named.select("jkey", "fkey", "sid", "members"), numbers, "jkey").drop("jkey"), "listed")
+    passing = written(passing_values(preferences, named.select("fkey", *Pref.FACETS, "j_dom").distinct()), "passing")
+    met = block_join(passing, listed, ["fkey"], "pid", "sid").select("pid", "jid", "members")
+    every = met.unionByName(listed.select(F.lit(ANY).cast("bigint").alias("pid"), "jid", "members"))
+    firsts = top_k(every.select("pid", "jid", F.explode("members").alias("ord")), ["pid", "jid"], [F.asc("ord")], k)
+    signatures = firsts.groupBy("pid", "jid").agg(
+        F.min("ord").alias("sid"), F.sort_array(F.collect_list("ord")).alias("members"))
+    features = merge_join(numbers.select("jid"), named.select(F.col("sid").alias("jid"), *JOB_SIGNATURE), "jid")
+    return written(features, "features"), signatures
+
+
+def best_jobs(features: DataFrame, signatures: DataFrame, groups: DataFrame, k: int) -> DataFrame:
+    """(gid, ord, rank): top k over the jobs of each group's ``pid``.
+
+    ``features`` are the signatures by ``jid``, ``signatures`` the first jobs of each for a ``pid``.
+    """
+    signatures = written(merge_join(signatures, features, "jid"), "signatures")
     lists = written(class_lists(job_classes(signatures, k), groups, k), "class-lists")
     floored = merge_join(groups, thresholds(lists, k), CANDIDATE_CLASS)
-    shared = _expand(sharing_pairs(signatures, floored, k), ["gid"], k).drop("rank")
+    shared = _expand(sharing_pairs(features, signatures, floored, k), ["gid"], k).drop("rank")
     by_class = merge_join(groups.select("gid", *CANDIDATE_CLASS), lists, CANDIDATE_CLASS).select(
         "gid", "score", "ord")
     # A job found both ways counts with its true score, the higher one.
@@ -433,26 +490,6 @@ def best_jobs(jobs: DataFrame, groups: DataFrame, k: int) -> DataFrame:
     return top_k(each, ["gid"], _best_first("ord"), k).drop("score")
 
 
-def best_preferred_jobs(jobs: DataFrame, groups: DataFrame, k: int) -> DataFrame:
-    """(gid, ord, rank): top k for groups whose preferences restrict the jobs.
-
-    A preference is looked up by the keys of one of its tests; the other tests
-    and the score follow in the same step, and each task keeps k rows per group.
-    """
-    signatures = job_signatures(Pref.with_facets(jobs), [*JOB_SIGNATURE, *Pref.FACETS], k)
-    p = F.col("facets")
-    keyed_groups = groups.withColumn("keys", Pref.preference_keys(p)).select(
-        "*", F.explode("keys").alias("key"))
-    keyed_jobs = Pref.with_job_keys(signatures, keyed_groups.select("key").distinct())
-    met = block_join(keyed_groups, keyed_jobs, ["key"], "gid", "sid")
-    # A job may carry several keys of one preference: it is taken at the first.
-    first_key = F.try_element_at(F.filter("keys", Pref.key_fits_job), F.lit(1))
-    passing = met.filter(Pref.job_passes(p)).filter(F.col("key") == first_key)
-    scored = P.settled(P.with_score(passing), "score").filter(Pref.score_passes(p))
-    best = top_k(scored.select("gid", "sid", "members", "score"), ["gid"], _best_first("sid"), k)
-    return _expand(best, ["gid"], k).drop("score")
-
-
 # fixed values: limits of a request
 MAX_TOP_K = 100
 DEFAULT_TOP_K = 10
@@ -474,9 +511,18 @@ def recommend(jobs: DataFrame, candidates: DataFrame, k: int = DEFAULT_TOP_K) ->
     prepared = candidates.withColumn("preferences", Pref.prepared(F.col("preferences")))
     people = written(with_candidate_class(with_group(prepared)).drop("preferences"), "candidates")
     groups = written(people.drop("candidate_id", "min_score").distinct(), "groups")
-    chosen = best_jobs(jobs, groups.filter(F.col("facets").isNull()), k)
+    # Several steps read the jobs, which are worked out once.
+    jobs = written(Pref.with_facets(jobs) if with_preferences else jobs, "jobs")
+    free = groups.filter(F.col("pkey").isNull()).drop("facets", "pkey").withColumn("pid", F.lit(ANY).cast("bigint"))
     if with_preferences:
-        chosen = chosen.unionByName(best_preferred_jobs(jobs, groups.filter(F.col("facets").isNotNull()), k))
+        preferences = preference_table(groups)
+        bound = merge_join(groups.drop("facets"), preferences.select("pkey", "pid"), "pkey").drop("pkey")
+        features, signatures = preferred_signatures(jobs, preferences, k)
+        chosen = best_jobs(features, signatures, written(free.unionByName(bound), "asked"), k)
+    else:
+        signatures = written(job_signatures(jobs, JOB_SIGNATURE, k).withColumn("jid", F.col("sid")), "listed")
+        all_jobs = signatures.select(F.lit(ANY).cast("bigint").alias("pid"), "jid", "sid", "members")
+        chosen = best_jobs(signatures.select("jid", *JOB_SIGNATURE), all_jobs, free, k)
     met = merge_join(written(chosen, "chosen"), groups.select("gid", *CANDIDATE_SIGNATURE), "gid")
     pairs = merge_join(met, jobs, "ord")
     told = P.with_explanation(P.with_hard_filters(P.with_score(pairs)))

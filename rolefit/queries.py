@@ -232,7 +232,7 @@ def recommend_topk(spark, sf_dir):
 @query
 def recommend_preferences(spark, sf_dir):
     """Five best jobs of every candidate among those the preferences allow."""
-    candidates = match_candidates(spark, sf_dir).join(fx.preferences(spark, sf_dir), "candidate_id", "left")
+    candidates = merge_join(match_candidates(spark, sf_dir), fx.preferences(spark, sf_dir), "candidate_id", "left")
     return _recommendation(Rec.recommend(match_jobs(spark, sf_dir), candidates, 5))
 
 

@@ -239,6 +239,26 @@ def test_preferred_recommendations_equal_brute_force(spark, monkeypatch, seed, b
     assert ranked(Rec.recommend(j, c, 4)) == expected
 
 
+def test_candidates_of_one_preference_do_not_each_meet_all_values(spark, monkeypatch):
+    """24 kinds of candidates with one wish, and 60 jobs of one signature with a title each: the wish meets the titles once."""
+    met, join = [], Rec.block_join
+
+    def counted(left, right, keys, left_id, right_id):
+        out = join(left, right, keys, left_id, right_id)
+        met.append(out.count())
+        return out
+
+    monkeypatch.setattr(Rec, "block_join", counted)
+    j = jobs(spark, [{"job_id": f"j{i}", "title": f"Title {i}", "workplace_type": "remote", "required_skills": ["sql"]} for i in range(60)])
+    people = [{"candidate_id": f"c{i}", "skills": ["sql"] if i % 2 else ["git"], "years_experience": i} for i in range(24)]
+    wish = [(p["candidate_id"], ([], [], ["Remote"], [], None, 10 * (i % 7))) for i, p in enumerate(people)]
+    schema = f"candidate_id string, preferences {PREFERENCES.simpleString()}"
+    c = candidates(spark, people).join(spark.createDataFrame(wish, schema), "candidate_id", "left")
+    expected = brute_force(spark, j, c.withColumn("preferences", Pref.prepared(F.col("preferences"))), 3)
+    assert ranked(Rec.recommend(j, c, 3)) == expected
+    assert sum(met) < 24 * 60 / 4
+
+
 def test_score_range_and_order_of_input_rows(spark):
     rng = random.Random(11)
     rows = random_jobs(rng, 40, ["sql", "git"])

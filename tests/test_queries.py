@@ -115,6 +115,28 @@ def test_texts_of_few_row_groups_are_dealt_over_all_tasks(spark, name):
     assert "REPARTITION_BY_NUM" in plan(QUERIES[name](spark, SF))
 
 
+def test_given_jobs_and_candidates_are_dealt_over_all_tasks(spark):
+    from pyspark.sql import functions as F
+    from rolefit import fixtures as fx
+
+    for rows in (fx.jobs(spark, SF), fx.candidate_payloads(spark, SF)):
+        tasks = rows.groupBy(F.spark_partition_id().alias("task")).count().collect()
+        assert len(tasks) > 16 and max(r["count"] for r in tasks) * 8 < sum(r["count"] for r in tasks)
+
+
+def test_no_preference_that_grows_is_broadcast(spark, monkeypatch):
+    plans, write = [], Rec.written
+
+    def seen(df, table):
+        plans.append(plan(df))
+        return write(df, table)
+
+    monkeypatch.setattr(Rec, "written", seen)
+    plans.append(plan(QUERIES["recommend_preferences"](spark, SF)))
+    for key in ["candidate_id", "pid", "pkey", "jid", "jkey", "fkey", "shape"]:
+        assert not any(f"BroadcastHashJoin [{key}#" in text for text in plans), key
+
+
 @pytest.mark.parametrize("name", ["match_explanations", "match_pairs"])
 def test_no_method_is_generated_that_the_jvm_does_not_compile(spark, name):
     limit = "spark.sql.codegen.hugeMethodLimit"
