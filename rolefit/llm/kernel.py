@@ -20,6 +20,8 @@ PUNCTUATION = SPACE.copy()
 PUNCTUATION[[c for c in range(128) if not chr(c).isalnum()]] = True
 
 SLICE = 1 << 20
+#: Bytes that are hashed at a time: eight times as many, in a few arrays, stay in a core's cache.
+HASHED = 1 << 16
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 
@@ -85,7 +87,7 @@ def word_spans(data: np.ndarray, ends_word: np.ndarray) -> tuple[np.ndarray, np.
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = BYTE) -> np.ndarray:
     out, i = np.empty(len(starts), np.uint64), 0
     while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + SLICE, side="right")))
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + HASHED, side="right")))
         low, high = starts[i], ends[j - 1]
         out[i:j] = span_hashes(table[data[low:high]], starts[i:j] - low, ends[i:j] - low)
         i = j

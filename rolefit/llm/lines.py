@@ -46,7 +46,7 @@ CHUNK = 1 << 14
 #: Prefix tokens in a bucket, about, and those made at a time.
 BUCKET, COPIES = 1 << 17, 1 << 20
 #: Neighbours in a token's list that are compared in one numpy pass each; longer lists are compared in blocks.
-LAGS = 32
+LAGS = 128
 LAST_ID = (1 << 63) - 1
 
 
@@ -308,11 +308,12 @@ class Meeting:
         at = np.cumsum(size) - size
         self.at = at[order]
         self.short = np.bitwise_xor.reduceat(self.words, at)[order]
-        self.most = np.minimum(self.n * ((1 - share) / (1 + share)), 64).astype(np.float32) + np.float32(1e-3)
+        # Twice the bits that may differ, rounded up; a sum of two fits into a byte, and at most 128 are compared with it.
+        self.most = np.minimum(np.ceil(2 * self.n * ((1 - share) / (1 + share)) + 1e-3), 127).astype(np.uint8)
 
     def near(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Whether the short sketches of x and y leave a pair possible: far fewer than all pairs have to be looked at closer."""
-        return np.bitwise_count(self.short[x] ^ self.short[y]) <= self.most[x] + self.most[y]
+        return np.bitwise_count(self.short[x] ^ self.short[y]) << np.uint8(1) <= self.most[x] + self.most[y]
 
     def may(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Whether row x can be an earlier similar line of row y."""
@@ -368,10 +369,13 @@ class Meeting:
                 left = left[left > low]
                 if not len(left):
                     break
-                for z in range(0, len(left), 4096):
-                    y = left[z : z + 4096]
-                    x = np.arange(low, min(b, low + step))
-                    of_y, of_x = np.nonzero((x[None, :] < y[:, None]) & self.near(x[None, :], y[:, None]))
+                x = np.arange(low, min(b, low + step))
+                for z in range(0, len(left), 1024):
+                    y = left[z : z + 1024]
+                    close = self.near(x[None, :], y[:, None])
+                    if y[0] <= x[-1]:
+                        close &= x[None, :] < y[:, None]
+                    of_y, of_x = np.divmod(np.flatnonzero(close), len(x))
                     xs, ys = x[of_x], y[of_y]
                     ok = self.may(xs, ys)
                     xs, ys = xs[ok], ys[ok]

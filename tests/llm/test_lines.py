@@ -119,3 +119,27 @@ def test_null_ids_are_texts_of_their_own(llm):
     plan = lines.remove_lines(df)._jdf.queryExecution().optimizedPlan().toString()
     keys = [x.split("Aggregate [", 1)[1].split("], [", 1)[0] for x in plan.splitlines() if "collect_set" in x]
     assert keys and all(", " in x for x in keys)
+
+
+def test_lists_of_middling_length_are_compared_together(monkeypatch):
+    """200 tokens of 60 lines each: passes over all lists at once, not some for each list, and the same pairs either way."""
+    draw = np.random.default_rng(4)
+    route = np.repeat(np.arange(200), 60)
+    o, spot = draw.permutation(len(route)), draw.integers(0, 9, len(route)) << 32
+    shape, sketch = np.full(len(route), 20 << 32), draw.integers(0, 8, len(route))
+    batch = pa.RecordBatch.from_arrays([pa.array([0]), *[pa.array([x.astype("<i8").tobytes()]) for x in (route, o, spot, shape, sketch)]], ["bucket", "route", "o", "spot", "shape", "sketch"])
+    calls, near = [], lines.Meeting.near
+
+    def counted(self, x, y):
+        calls.append(1)
+        return near(self, x, y)
+
+    def pairs():
+        rows = lines.Meeting(batch, 0.9)
+        return sorted((int(a), int(b), bool(m)) for x, y, more in rows.pairs(None) for a, b, m in zip(x, y, more))
+
+    monkeypatch.setattr(lines.Meeting, "near", counted)
+    found = pairs()
+    assert found and len(calls) < 200
+    monkeypatch.setattr(lines, "LAGS", 4)
+    assert pairs() == found
